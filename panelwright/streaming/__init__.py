@@ -1,0 +1 @@
+"""Nothing streams here: every input is a table that is re-read as a whole. See README, "Not built"."""
