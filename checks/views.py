@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright.options import EvaluationOptions, PanelOptions
 from panelwright.plans.panel import PanelInputs, base_panel
-from panelwright.session import tune
+from panelwright.session import cut_lineage, tune
 
 FOCUS = "PROMO"
 OPT = PanelOptions(
@@ -82,6 +82,11 @@ def panel(spark, sf) -> DataFrame:
     return base_panel(inputs(spark, sf), OPT)
 
 
+def written_panel(spark, sf) -> DataFrame:
+    """The same as a written table, which is how evaluations read a panel."""
+    return cut_lineage(panel(spark, sf))
+
+
 def points(spark, sf) -> DataFrame:
     key = F.col("p_partkey")
     return table(spark, sf, "part").select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.positions import DEFAULT_PLAN, SplitPlan, medians
+from panelwright.options import PanelOptions
 
 
 def attach(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
@@ -25,12 +26,6 @@ def demean(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame
     )
 
 
-def attach_median(
-    df: DataFrame, keys: list[str], value: str, ids: list[str], name: str, plan: SplitPlan = DEFAULT_PLAN
-) -> DataFrame:
-    return df.join(medians(df, keys, value, ids, name, plan), keys, "left")
-
-
 def group_flags(df: DataFrame, min_group: int, focus_group: str | None) -> DataFrame:
     """Add `group_ok` (group large enough at that origin) and `in_focus`."""
     sized = attach(df, ["midx", "grp"], {"_group_size": F.count("*")})
@@ -39,34 +34,70 @@ def group_flags(df: DataFrame, min_group: int, focus_group: str | None) -> DataF
     ).drop("_group_size")
 
 
-def group_levels(df: DataFrame, short: int, long: int, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
-    """Level, spread, momentum and size of the group at the origin, and the entity's level against it."""
-    keys = ["midx", "grp"]
-    out = attach_median(df, keys, "log_value", ["entity", "midx"], "group_level_median", plan)
-    out = attach(
-        out,
-        keys,
-        {
-            "group_level_spread": F.stddev_samp("log_value"),
-            f"group_mom_{long}y": F.avg(f"mom_{long}y"),
-            f"group_mom_{short}y": F.avg(f"mom_{short}y"),
-            "group_log_size": F.ln(F.count("*").cast("double")),
-        },
+def slope(years: int, min_years: int) -> Column:
+    """Slope of `_growth_k` on the group means `_growth_k_m`, over the years where both are known."""
+    pairs = F.filter(
+        F.array(*[F.struct(F.col(f"_growth_{k}").alias("g"), F.col(f"_growth_{k}_m").alias("m")) for k in range(years)]),
+        lambda p: p["g"].isNotNull() & p["m"].isNotNull(),
     )
-    return out.withColumn("level_rel_group", F.col("log_value") - F.col("group_level_median"))
+    n = F.size(pairs).cast("double")
 
+    def total(of):
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + of(p))
 
-def subgroup_levels(df: DataFrame, short: int, long: int, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
-    """The same inside (group, subgroup). A missing subgroup is a subgroup of its own."""
-    keyed = df.withColumn("_sub", F.coalesce("sub", F.lit("")))
-    keys = ["midx", "grp", "_sub"]
-    out = attach_median(keyed, keys, "log_value", ["entity", "midx"], "_sub_median", plan)
-    out = attach(out, keys, {"_sub_short": F.avg(f"mom_{short}y"), "_sub_long": F.avg(f"mom_{long}y")})
-    return out.select(
-        *df.columns,
-        (F.col("log_value") - F.col("_sub_median")).alias("level_rel_sub"),
-        (F.col("_sub_median") - F.col("group_level_median")).alias("sub_level_rel_group"),
-        (F.col(f"mom_{short}y") - F.col("_sub_short")).alias(f"mom_{short}y_rel_sub"),
-        (F.col("_sub_short") - F.col(f"group_mom_{short}y")).alias(f"sub_mom_{short}y_rel"),
-        (F.col("_sub_long") - F.col(f"group_mom_{long}y")).alias(f"sub_mom_{long}y_rel"),
+    sums = F.struct(
+        total(lambda p: p["g"]).alias("g"),
+        total(lambda p: p["m"]).alias("m"),
+    )
+    mean_g, mean_m = F.try_divide(sums["g"], n), F.try_divide(sums["m"], n)
+    centred = F.transform(pairs, lambda p: F.struct((p["g"] - mean_g).alias("g"), (p["m"] - mean_m).alias("m")))
+    cov = F.aggregate(centred, F.lit(0.0), lambda acc, p: acc + p["g"] * p["m"])
+    var = F.aggregate(centred, F.lit(0.0), lambda acc, p: acc + p["m"] * p["m"])
+    return F.when(n >= min_years, F.try_divide(cov, var))
+
+
+def group_features(rows: DataFrame, opt: PanelOptions, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
+    """Everything an origin row learns from its group and subgroup: demeaned momentum and outcomes, beta, level,
+    spread, momentum and size of the group, level and momentum inside the subgroup, and the flags.
+
+    `rows` is read once per statistic, so pass a written table. All means of a group come from one aggregate."""
+    keys, ids = ["midx", "grp"], ["entity", "midx"]
+    short, long = f"mom_{opt.short_lag}y", f"mom_{opt.long_lag}y"
+    moved = [*[f"mom_{k}y" for k in opt.lags], *[f"fwd_{h}y" for h in opt.horizons]]
+    growth = [f"_growth_{k}" for k in range(opt.beta_window)]
+    keyed = rows.withColumn("_sub", F.coalesce("sub", F.lit("")))
+
+    in_group = keyed.groupBy(*keys).agg(
+        *[F.avg(c).alias(f"_mean_{c}") for c in moved],
+        *[F.avg(g).alias(f"{g}_m") for g in growth],
+        F.stddev_samp("log_value").alias("group_level_spread"),
+        F.count("*").alias("_size"),
+    )
+    in_sub = keyed.groupBy(*keys, "_sub").agg(F.avg(short).alias("_sub_short"), F.avg(long).alias("_sub_long"))
+    group_median = medians(keyed, keys, "log_value", ids, "group_level_median", plan)
+    sub_median = medians(keyed, [*keys, "_sub"], "log_value", ids, "_sub_median", plan)
+
+    wide = (
+        keyed.join(in_group.join(group_median, keys), keys, "left")
+        .join(in_sub.join(sub_median, [*keys, "_sub"]), [*keys, "_sub"], "left")
+    )
+    c = F.col
+    return wide.select(
+        *[n for n in rows.columns if n not in growth],
+        *[(c(f"mom_{k}y") - c(f"_mean_mom_{k}y")).alias(f"mom_{k}y_rel") for k in opt.lags],
+        *[(c(f"fwd_{h}y") - c(f"_mean_fwd_{h}y")).alias(f"target_{h}y") for h in opt.horizons],
+        (c("log_value") - c("group_level_median")).alias("level_rel_group"),
+        "group_level_median",
+        "group_level_spread",
+        c(f"_mean_{long}").alias(f"group_{long}"),
+        c(f"_mean_{short}").alias(f"group_{short}"),
+        F.ln(c("_size").cast("double")).alias("group_log_size"),
+        slope(opt.beta_window, opt.beta_min).alias("beta"),
+        (c("log_value") - c("_sub_median")).alias("level_rel_sub"),
+        (c("_sub_median") - c("group_level_median")).alias("sub_level_rel_group"),
+        (c(short) - c("_sub_short")).alias(f"{short}_rel_sub"),
+        (c("_sub_short") - c(f"_mean_{short}")).alias(f"sub_{short}_rel"),
+        (c("_sub_long") - c(f"_mean_{long}")).alias(f"sub_{long}_rel"),
+        (c("_size") >= opt.min_group).alias("group_ok"),
+        (c("grp") == F.lit(opt.focus_group)).alias("in_focus"),
     )

@@ -65,31 +65,3 @@ def panel_base(history: DataFrame, origin_months: DataFrame, meta: DataFrame) ->
         .join(origin_months, "midx")
         .join(meta.where(F.col("grp").isNotNull()), "entity")
     )
-
-
-def group_slope(base: DataFrame, years: int, min_years: int) -> DataFrame:
-    """Replace the `_growth_k` columns by `beta`: the slope of the entity's yearly growth on the mean yearly
-    growth of the entities of its group that are alive at the origin."""
-    growth = [f"_growth_{k}" for k in range(years)]
-    keys = ["midx", "grp"]
-    means = base.groupBy(*keys).agg(*[F.avg(g).alias(f"{g}_m") for g in growth])
-    pairs = F.filter(
-        F.array(*[F.struct(F.col(g).alias("g"), F.col(f"{g}_m").alias("m")) for g in growth]),
-        lambda p: p["g"].isNotNull() & p["m"].isNotNull(),
-    )
-
-    def total(of):
-        return F.aggregate("_pairs", F.lit(0.0), lambda acc, p: acc + of(p))
-
-    n = F.size("_pairs").cast("double")
-    centred = (
-        base.join(means, keys, "left")
-        .withColumn("_pairs", pairs)
-        .withColumn("_gm", F.try_divide(total(lambda p: p["g"]), n))
-        .withColumn("_mm", F.try_divide(total(lambda p: p["m"]), n))
-    )
-    cov = total(lambda p: (p["g"] - F.col("_gm")) * (p["m"] - F.col("_mm")))
-    var = total(lambda p: (p["m"] - F.col("_mm")) * (p["m"] - F.col("_mm")))
-    return centred.withColumn("beta", F.when(n >= min_years, F.try_divide(cov, var))).drop(
-        "_pairs", "_gm", "_mm", *growth, *[f"{g}_m" for g in growth]
-    )

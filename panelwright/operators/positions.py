@@ -120,18 +120,27 @@ def percentile_rank() -> Column:
 
 
 def add_percentiles(
-    df: DataFrame, keys: list[str], ids: list[str], columns: dict[str, str], plan: SplitPlan = DEFAULT_PLAN
+    df: DataFrame,
+    keys: list[str],
+    ids: list[str],
+    columns: dict[str, str],
+    plan: SplitPlan = DEFAULT_PLAN,
+    narrower: dict[str, dict[str, str]] | None = None,
 ) -> DataFrame:
     """Add percentile columns `{name: source}` within `keys`; missing values stay missing.
 
-    All columns go through one shuffle in long form and come back in one pivot by row."""
-    pairs = ", ".join(f"'{name}', cast(`{source}` as double)" for name, source in columns.items())
+    `narrower` adds columns ranked within `keys` plus one more column. All columns go through one shuffle in long
+    form, cut by name and key, and come back in one pivot by row."""
+    cells = [(name, source, "''") for name, source in columns.items()]
+    for extra, more in (narrower or {}).items():
+        cells += [(name, source, f"concat('=', cast(`{extra}` as string))") for name, source in more.items()]
+    stacked = ", ".join(f"'{name}', cast(`{source}` as double), {inside}" for name, source, inside in cells)
     long = df.select(
-        *dict.fromkeys([*keys, *ids]), F.expr(f"stack({len(columns)}, {pairs}) as (_name, _value)")
+        *dict.fromkeys([*keys, *ids]), F.expr(f"stack({len(cells)}, {stacked}) as (_name, _value, _inside)")
     )
-    ranked = with_positions(long, [*keys, "_name"], "_value", [*ids, "_name"], plan)
+    ranked = with_positions(long, [*keys, "_name", "_inside"], "_value", [*ids, "_name"], plan)
     wide = ranked.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("_name") == name, percentile_rank())).alias(name) for name in columns]
+        *[F.max(F.when(F.col("_name") == name, percentile_rank())).alias(name) for name, _, _ in cells]
     )
     return df.join(wide, ids, "left")
 

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import ratio, ratio_over_positive
 from panelwright.operators.features import ranked_columns
-from panelwright.operators.groups import demean, group_flags, group_levels, subgroup_levels
-from panelwright.operators.history import difference, group_slope, log_change, origins, panel_base, value_history
+from panelwright.operators.groups import demean, group_features
+from panelwright.operators.history import difference, log_change, origins, panel_base, value_history
 from panelwright.operators.macro import regime
 from panelwright.operators.neighbours import neighbour_gaps
 from panelwright.operators.positions import DEFAULT_PLAN, SplitPlan, add_percentiles
 from panelwright.operators.signs import add_trailing_signs
 from panelwright.operators.vintages import CHANGE_COLUMNS, vintage_asof, vintage_changes
 from panelwright.options import PanelOptions
+from panelwright.session import cut_lineage
 
 TEMPO_SERIES = ("inventory", "new_listings", "days_pending", "price_cut_share")
 TEMPO_COLUMNS = (
@@ -52,18 +53,7 @@ def base_panel(inputs: PanelInputs, opt: PanelOptions, plan: SplitPlan = DEFAULT
     """Entity-by-origin rows with momentum, outcomes, beta, group and subgroup features."""
     history = value_history(inputs.series, opt.lags, opt.horizons, opt.beta_window)
     rows = panel_base(history, origins(inputs.series, opt.min_origin_year), inputs.meta)
-    rows = group_slope(rows, opt.beta_window, opt.beta_min)
-    rows = demean(
-        rows,
-        ["midx", "grp"],
-        {
-            **{f"mom_{k}y_rel": f"mom_{k}y" for k in opt.lags},
-            **{f"target_{h}y": f"fwd_{h}y" for h in opt.horizons},
-        },
-    )
-    rows = group_levels(rows, opt.short_lag, opt.long_lag, plan)
-    rows = subgroup_levels(rows, opt.short_lag, opt.long_lag, plan)
-    return group_flags(rows, opt.min_group, opt.focus_group)
+    return group_features(cut_lineage(rows), opt, plan)
 
 
 def tempo_features(tempo: dict[str, DataFrame]) -> DataFrame | None:
@@ -91,88 +81,85 @@ def tempo_features(tempo: dict[str, DataFrame]) -> DataFrame | None:
     )
 
 
-def add_tempo(panel: DataFrame, tempo: dict[str, DataFrame]) -> DataFrame:
-    found = tempo_features(tempo)
-    if found is None:
-        empty = F.lit(None).cast("double")
-        return panel.select("*", *[empty.alias(c) for c in TEMPO_COLUMNS], empty.alias("_inventory"))
-    return panel.join(found, ["entity", "midx"], "left")
-
-
-def add_macro(panel: DataFrame, inputs: PanelInputs, opt: PanelOptions, plan: SplitPlan) -> DataFrame:
-    if inputs.rate is None or inputs.rent_index is None:
-        return panel.select("*", *[F.lit(None).cast("double").alias(c) for c in REGIME_COLUMNS])
-    months = regime(inputs.series, inputs.rate, inputs.rent_index, opt.macro_window, opt.macro_min, plan)
-    return panel.join(months, "midx", "left")
+def rent_features(rent: DataFrame, years: int) -> DataFrame:
+    return rent.select(
+        "entity", "midx", F.col("value").alias("_rent"), log_change("value", years).alias(f"rent_mom_{years}y")
+    )
 
 
-def add_rent(panel: DataFrame, rent: DataFrame | None, years: int) -> DataFrame:
-    """Rent yield and rent momentum with their group-relative twins."""
-    if rent is None:
-        found = panel.select("*", *[F.lit(None).cast("double").alias(c) for c in ("rent_yield", f"rent_mom_{years}y")])
-    else:
-        aligned = rent.select(
-            "entity", "midx", F.col("value").alias("_rent"), log_change("value", years).alias(f"rent_mom_{years}y")
-        )
-        found = (
-            panel.join(aligned, ["entity", "midx"], "left")
-            .withColumn("rent_yield", ratio(12 * F.col("_rent"), F.col("value")))
-            .drop("_rent")
-        )
-    return demean(
-        found, ["midx", "grp"], {"rent_yield_rel": "rent_yield", f"rent_mom_{years}y_rel": f"rent_mom_{years}y"}
+def asof_attributes(panel: DataFrame, attributes: DataFrame, opt: PanelOptions) -> tuple[DataFrame, DataFrame]:
+    """The vintage each origin reads (one for all its entities) and the attributes with their changes."""
+    features = vintage_changes(attributes, CHANGE_COLUMNS, opt.vintage_gap)
+    chosen = vintage_asof(
+        panel.select("origin_year").distinct(), features.select("vintage").distinct(), opt.publication_lag
     )
+    return chosen, features
 
 
-def add_neighbours(panel: DataFrame, coords: DataFrame | None, opt: PanelOptions) -> DataFrame:
+def add_sources(panel: DataFrame, inputs: PanelInputs, opt: PanelOptions, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
+    """Join every optional source onto the base rows. A source that is absent leaves its columns NULL, so the
+    schema never depends on which files were there. The ratios' group-relative twins need one aggregate."""
+    missing = F.lit(None).cast("double")
     momentum = f"mom_{opt.long_lag}y"
-    if coords is None:
-        names = ("nbr_level_gap", f"nbr_{momentum}_gap", "nbr_dist_km")
-        return panel.select("*", *[F.lit(None).cast("double").alias(c) for c in names])
-    gaps = neighbour_gaps(panel, coords, opt.neighbours, momentum)
-    return panel.join(gaps, ["entity", "midx"], "left")
-
-
-def add_attributes(panel: DataFrame, attributes: DataFrame | None, opt: PanelOptions) -> DataFrame:
-    """As-of attribute columns, ratios against the value, and changes over the vintage gap.
-
-    All entities of an origin read the same vintage, the latest one published by then."""
-    if attributes is None:
-        return panel
-    gap = opt.vintage_gap
-    features = vintage_changes(attributes, CHANGE_COLUMNS, gap)
-    chosen = vintage_asof(panel.select("origin_year").distinct(), features.select("vintage").distinct(), opt.publication_lag)
-    rows = panel.join(chosen, "origin_year", "left").join(features, ["entity", "vintage"], "left")
-    rows = (
-        rows.withColumn("price_to_income", F.col("log_value") - F.col("log_income"))
-        .withColumn("attr_rent_to_price", F.col("log_attr_rent") + F.ln(F.lit(12.0)) - F.col("log_value"))
-        .withColumn("inv_per_1k_units", ratio(1000 * F.col("_inventory"), F.exp("log_housing_units")))
-    )
-    twins = ["price_to_income", "log_income", "bachelors_share", "young_adult_share", *[f"d{gap}_{c}" for c in CHANGE_COLUMNS]]
-    return demean(rows, ["midx", "grp"], {f"{c}_rel": c for c in twins})
+    rent_mom = f"rent_mom_{opt.rent_lag}y"
+
+    def joined(rows, found, keys, columns):
+        if found is None:
+            return rows.select("*", *[missing.alias(c) for c in columns])
+        return rows.join(found, keys, "left")
+
+    ids = ["entity", "midx"]
+    months = None
+    if inputs.rate is not None and inputs.rent_index is not None:
+        months = regime(inputs.series, inputs.rate, inputs.rent_index, opt.macro_window, opt.macro_min, plan)
+    rent = None if inputs.rent is None else rent_features(inputs.rent, opt.rent_lag)
+    near = None if inputs.coords is None else neighbour_gaps(panel, inputs.coords, opt.neighbours, momentum)
+
+    rows = joined(panel, tempo_features(inputs.tempo), ids, (*TEMPO_COLUMNS, "_inventory"))
+    rows = joined(rows, months, ["midx"], REGIME_COLUMNS)
+    rows = joined(rows, rent, ids, ("_rent", rent_mom))
+    rows = joined(rows, near, ids, ("nbr_level_gap", f"nbr_{momentum}_gap", "nbr_dist_km"))
+    rows = rows.withColumn("rent_yield", ratio(12 * F.col("_rent"), F.col("value"))).drop("_rent")
+    twins = ["rent_yield", rent_mom]
+    if inputs.attributes is not None:
+        chosen, features = asof_attributes(panel, inputs.attributes, opt)
+        rows = rows.join(chosen, "origin_year", "left").join(features, ["entity", "vintage"], "left")
+        rows = rows.select("*", *attribute_ratios())
+        twins += ATTRIBUTE_TWINS + [f"d{opt.vintage_gap}_{c}" for c in CHANGE_COLUMNS]
+    return demean(rows.drop("_inventory"), ["midx", "grp"], {f"{c}_rel": c for c in twins})
+
+
+ATTRIBUTE_TWINS = ["price_to_income", "log_income", "bachelors_share", "young_adult_share"]
+
+
+def attribute_ratios() -> list:
+    """Attributes against the value, and listings per thousand housing units."""
+    return [
+        (F.col("log_value") - F.col("log_income")).alias("price_to_income"),
+        (F.col("log_attr_rent") + F.ln(F.lit(12.0)) - F.col("log_value")).alias("attr_rent_to_price"),
+        ratio(1000 * F.col("_inventory"), F.exp("log_housing_units")).alias("inv_per_1k_units"),
+    ]
 
 
 def add_ranks(panel: DataFrame, horizons: tuple[int, ...], plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
     """Percentiles inside (origin, group) of every entity-level feature and outcome, and of the outcome inside
-    (origin, group, subgroup)."""
+    (origin, group, subgroup), all in one ranking pass: the group is one more part of the key."""
     features = ranked_columns(panel)
-    ids = ["entity", "midx"]
+    keyed = panel.withColumn("_sub", F.coalesce("sub", F.lit("")))
     within_group = {**{f"cs_{c}": c for c in features}, **{f"target_{h}y_pct": f"fwd_{h}y" for h in horizons}}
-    out = add_percentiles(panel, ["midx", "grp"], ids, within_group, plan)
-    keyed = out.withColumn("_sub", F.coalesce("sub", F.lit("")))
     within_sub = {f"target_{h}y_sub_pct": f"fwd_{h}y" for h in horizons}
-    return add_percentiles(keyed, ["midx", "grp", "_sub"], ids, within_sub, plan).drop("_sub")
+    return add_percentiles(
+        keyed, ["midx", "grp"], ["entity", "midx"], within_group, plan, narrower={"_sub": within_sub}
+    ).drop("_sub")
 
 
 def build_panel(inputs: PanelInputs, opt: PanelOptions, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
-    rows = base_panel(inputs, opt, plan)
-    rows = add_tempo(rows, inputs.tempo)
-    rows = add_macro(rows, inputs, opt, plan)
-    rows = add_rent(rows, inputs.rent, opt.rent_lag)
-    rows = add_neighbours(rows, inputs.coords, opt)
-    rows = add_attributes(rows, inputs.attributes, opt).drop("_inventory")
+    """The whole panel. Three tables are written on the way: base rows, rows with group features, and rows with
+    every source, because several statistics read each of them."""
+    base = cut_lineage(base_panel(inputs, opt, plan))
+    rows = add_sources(base, inputs, opt, plan)
     if 1 in opt.horizons and 1 in opt.lags:
         rows = add_trailing_signs(
-            rows, window=opt.sign_window, minimum=opt.sign_min, min_pairs=opt.min_pairs, plan=plan
+            rows, base, window=opt.sign_window, minimum=opt.sign_min, min_pairs=opt.min_pairs, plan=plan
         )
-    return add_ranks(rows, opt.horizons, plan)
+    return add_ranks(cut_lineage(rows), opt.horizons, plan)

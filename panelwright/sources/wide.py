@@ -103,10 +103,11 @@ def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
 def read_observations(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(series, date, value) from a two-column file, columns by position, '.' for missing."""
     raw = spark.read.csv(path, header=True).toDF("date", "value")
-    return observations(raw, name)
+    return observations(raw.withColumn("series", F.lit(name)))
 
 
-def observations(raw: DataFrame, name: str) -> DataFrame:
+def observations(raw: DataFrame) -> DataFrame:
+    """Typed (series, date, value) rows from text; what is not a number is missing and dropped."""
     return raw.select(
-        F.lit(name).alias("series"), F.to_date("date").alias("date"), F.col("value").try_cast("double").alias("value")
+        "series", F.to_date("date").alias("date"), F.col("value").try_cast("double").alias("value")
     ).where("value is not null")
