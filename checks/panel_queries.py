@@ -10,6 +10,7 @@ from panelwright.functions import calendar, scalar
 from panelwright.operators import agreement, groups, history, macro, neighbours, positions, signs
 from panelwright.operators import vintages as vint
 from panelwright.plans import panel as plan
+from panelwright.session import cut_lineage
 from panelwright.sources import attributes, wide
 
 Q, O = {}, {}
@@ -382,7 +383,7 @@ def _(spark, sf):
 @query("n_neighbour_gaps", sql(f"select entity, {DEC}, {r('nbr_level_gap')}, {r('nbr_mom_3y_gap')}, {r('nbr_dist_km', digits=4)} from nbr_gaps"))
 def _(spark, sf):
     i = V.inputs(spark, sf)
-    rows = history.value_history(i.series, (3,), ())
+    rows = cut_lineage(history.value_history(i.series, (3,), ()))
     gaps = neighbours.neighbour_gaps(rows, i.coords, V.OPT.neighbours, "mom_3y")
     return V.rounded(gaps.withColumn("nbr_dist_km", F.round("nbr_dist_km", 4)))
 
