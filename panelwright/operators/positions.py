@@ -41,12 +41,12 @@ def _split(rows: DataFrame, keys: list[str], value: str, ids: list[str], plan: S
     sample = (
         per_slot.agg(F.min_by(value, row_hash).alias("_cut"))
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_cut")).alias("_all"))
+        .agg(F.sort_array(F.collect_list("_cut")).alias("_drawn"))
     )
     cuts = sample.select(
         *keys,
-        F.array_distinct("_all").alias("_cuts"),
-        F.array_distinct(F.filter("_all", lambda x, i: F.get("_all", i - 1) == x)).alias("_heavy"),
+        F.array_distinct("_drawn").alias("_cuts"),
+        F.array_distinct(F.filter("_drawn", lambda x, i: F.get("_drawn", i - 1) == x)).alias("_heavy"),
     ).withColumn("_coarse", F.filter("_cuts", lambda x, i: i % _STEP == _STEP - 1))
 
     v = F.col(value)
