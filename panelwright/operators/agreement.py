@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.positions import DEFAULT_PLAN, SplitPlan, average_rank, with_positions
+from panelwright.operators.positions import AVERAGE_RANK, DEFAULT_PLAN, SplitPlan, with_positions
 
 
 def paired_ranks(
@@ -13,23 +13,27 @@ def paired_ranks(
 ) -> DataFrame:
     """Rows with both values, with their average ranks `rank_a`, `rank_b` and, for `a`, its position."""
     cols = list(dict.fromkeys([*keys, *ids]))
-    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    long = both.select(*cols, F.expr(f"stack(2, 'a', cast(`{a}` as double), 'b', cast(`{b}` as double)) as (_side, _v)"))
+    both = pairs.where(f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL")
+    long = both.selectExpr(
+        *[f"`{c}`" for c in cols], f"stack(2, 'a', cast(`{a}` as double), 'b', cast(`{b}` as double)) as (_side, _v)"
+    )
     placed = with_positions(long, [*keys, "_side"], "_v", [*cols, "_side"], plan)
-    is_a, is_b = F.col("_side") == "a", F.col("_side") == "b"
+    side = lambda s, what, name: F.expr(f"max(CASE WHEN _side = '{s}' THEN {what} END) AS {name}")
     return placed.groupBy(*cols).agg(
-        F.max(F.when(is_a, average_rank())).alias("rank_a"),
-        F.max(F.when(is_b, average_rank())).alias("rank_b"),
-        F.max(F.when(is_b, F.col("_v"))).alias("value_b"),
-        F.max(F.when(is_a, F.col("_before"))).alias("before_a"),
-        F.max(F.when(is_a, F.col("_before") + F.col("_ties") - 1)).alias("last_a"),
-        F.max("_n").alias("n"),
+        side("a", AVERAGE_RANK, "rank_a"),
+        side("b", AVERAGE_RANK, "rank_b"),
+        side("b", "_v", "value_b"),
+        side("a", "_before", "before_a"),
+        side("a", "_before + _ties - 1", "last_a"),
+        F.expr("max(_n) AS n"),
     )
 
 
 def rank_correlation(min_pairs: int) -> Column:
-    spread = F.stddev_pop("rank_a") * F.stddev_pop("rank_b")
-    return F.when(F.count("*") >= min_pairs, F.try_divide(F.covar_pop("rank_a", "rank_b"), spread))
+    return F.expr(
+        f"CASE WHEN count(*) >= {min_pairs} THEN "
+        "try_divide(covar_pop(rank_a, rank_b), stddev_pop(rank_a) * stddev_pop(rank_b)) END"
+    )
 
 
 def top_minus_bottom(min_pairs: int) -> Column:
@@ -37,10 +41,10 @@ def top_minus_bottom(min_pairs: int) -> Column:
 
     A value is at or above the interpolated quantile exactly when the last position of its tie group reaches
     the next whole position, so positions are enough and no quantile is joined back."""
-    top = F.col("last_a") >= F.expr("(4 * (n - 1) + 4) div 5")
-    bottom = F.col("before_a") <= F.expr("(n - 1) div 5")
-    gap = F.avg(F.when(top, F.col("value_b"))) - F.avg(F.when(bottom, F.col("value_b")))
-    return F.when(F.count("*") >= min_pairs, gap)
+    return F.expr(
+        f"CASE WHEN count(*) >= {min_pairs} THEN avg(CASE WHEN last_a >= (4 * (n - 1) + 4) div 5 THEN value_b END) "
+        "- avg(CASE WHEN before_a <= (n - 1) div 5 THEN value_b END) END"
+    )
 
 
 def grouped_spearman(

@@ -36,24 +36,21 @@ def group_flags(df: DataFrame, min_group: int, focus_group: str | None) -> DataF
 
 def slope(years: int, min_years: int) -> Column:
     """Slope of `_growth_k` on the group means `_growth_k_m`, over the years where both are known."""
-    pairs = F.filter(
-        F.array(*[F.struct(F.col(f"_growth_{k}").alias("g"), F.col(f"_growth_{k}_m").alias("m")) for k in range(years)]),
-        lambda p: p["g"].isNotNull() & p["m"].isNotNull(),
-    )
-    n = F.size(pairs).cast("double")
-
-    def total(of):
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + of(p))
-
-    sums = F.struct(
-        total(lambda p: p["g"]).alias("g"),
-        total(lambda p: p["m"]).alias("m"),
-    )
-    mean_g, mean_m = F.try_divide(sums["g"], n), F.try_divide(sums["m"], n)
-    centred = F.transform(pairs, lambda p: F.struct((p["g"] - mean_g).alias("g"), (p["m"] - mean_m).alias("m")))
-    cov = F.aggregate(centred, F.lit(0.0), lambda acc, p: acc + p["g"] * p["m"])
-    var = F.aggregate(centred, F.lit(0.0), lambda acc, p: acc + p["m"] * p["m"])
-    return F.when(n >= min_years, F.try_divide(cov, var))
+    both = [f"(_growth_{k} IS NOT NULL AND _growth_{k}_m IS NOT NULL)" for k in range(years)]
+    n = " + ".join(f"cast({k} as int)" for k in both)
+
+    def total(term: str) -> str:
+        return "(" + " + ".join(
+            f"CASE WHEN {known} THEN {term.format(g=f'_growth_{k}', m=f'_growth_{k}_m')} ELSE 0D END"
+            for k, known in enumerate(both)
+        ) + ")"
+
+    mean_g, mean_m = f"try_divide({total('{g}')}, cast({n} as double))", f"try_divide({total('{m}')}, cast({n} as double))"
+    # transform over a one-element array names the two means once
+    cov = total("({g} - x.g) * ({m} - x.m)")
+    var = total("({m} - x.m) * ({m} - x.m)")
+    means = f"array(named_struct('g', {mean_g}, 'm', {mean_m}))"
+    return F.expr(f"get(transform({means}, x -> CASE WHEN {n} >= {min_years} THEN try_divide({cov}, {var}) END), 0)")
 
 
 def group_features(rows: DataFrame, opt: PanelOptions, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:

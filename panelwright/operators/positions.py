@@ -17,8 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,45 +31,79 @@ class SplitPlan:
 DEFAULT_PLAN = SplitPlan()
 _STEP = 32  # cuts are searched in two steps of at most about sqrt(max_splits) comparisons
 
-
-def _split(rows: DataFrame, keys: list[str], value: str, ids: list[str], plan: SplitPlan):
-    """Rows with (_range, _salt) plus a table of the ranges of the keys that were cut."""
-    row_hash = F.xxhash64(*ids)
-    drawn = rows.where(F.pmod(row_hash, F.lit(plan.rows_per_split)) == 0)
-    per_slot = drawn.groupBy(*keys, F.pmod(F.xxhash64(*ids, F.lit(1)), F.lit(plan.max_splits)).alias("_slot"))
-    sample = (
-        per_slot.agg(F.min_by(value, row_hash).alias("_cut"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_cut")).alias("_drawn"))
-    )
-    cuts = sample.select(
-        *keys,
-        F.array_distinct("_drawn").alias("_cuts"),
-        F.array_distinct(F.filter("_drawn", lambda x, i: F.get("_drawn", i - 1) == x)).alias("_heavy"),
-    ).withColumn("_coarse", F.filter("_cuts", lambda x, i: i % _STEP == _STEP - 1))
-
-    v = F.col(value)
-    coarse = F.size(F.filter("_coarse", lambda x: x < v))
-    fine = F.size(F.filter(F.slice("_cuts", coarse * _STEP + 1, _STEP), lambda x: x < v))
-    heavy = F.array_contains("_heavy", v)
-    was_cut = F.col("_cuts").isNotNull()
-    placed = rows.join(cuts, keys, "left").select(
-        *rows.columns,
-        was_cut.alias("_was_cut"),
-        F.when(was_cut, 2 * (coarse * _STEP + fine) + heavy.cast("int")).otherwise(0).alias("_range"),
-        F.when(was_cut & heavy, F.pmod(row_hash, F.lit(plan.tie_salts))).otherwise(0).alias("_salt"),
-    )
-    in_key = W.partitionBy(*keys)
-    salts = F.when(F.col("_range") % 2 == 1, plan.tie_salts - 1).otherwise(0)
-    ranges = (
-        placed.where("_was_cut")
-        .groupBy(*keys, "_range")
-        .agg(F.count("*").alias("_in_range"))
-        .withColumn("_offset", F.sum("_in_range").over(in_key.orderBy("_range")) - F.col("_in_range"))
-        .withColumn("_in_key", F.sum("_in_range").over(in_key))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint"))))
-    )
-    return placed.drop("_was_cut").withColumn("_salt", F.col("_salt").cast("bigint")), ranges
+# Written as SQL text: one statement is one call into the JVM and one analysis.
+_SPLIT = """
+drawn AS (
+  SELECT <keys>, min_by(<value>, _hash) AS _cut
+  FROM (SELECT *, xxhash64(<ids>) AS _hash FROM known) WHERE pmod(_hash, <rows_per_split>L) = 0
+  GROUP BY <keys>, pmod(xxhash64(<ids>, 1), <max_splits>L)),
+sorted AS (SELECT <keys>, sort_array(collect_list(_cut)) AS _drawn FROM drawn GROUP BY <keys>),
+cuts AS (
+  SELECT <keys>, array_distinct(_drawn) AS _cuts,
+         array_distinct(filter(_drawn, (x, i) -> get(_drawn, i - 1) = x)) AS _heavy,
+         filter(array_distinct(_drawn), (x, i) -> i % <step> = <step> - 1) AS _coarse
+  FROM sorted),
+searched AS (
+  SELECT *, size(filter(_coarse, x -> x < <value>)) AS _skip, array_contains(_heavy, <value>) AS _tied
+  FROM known LEFT JOIN cuts USING (<keys>)),
+placed AS (
+  SELECT <columns>, _cuts IS NOT NULL AS _was_cut,
+         CASE WHEN _cuts IS NULL THEN 0L ELSE 2L * (_skip * <step>
+              + size(filter(slice(_cuts, _skip * <step> + 1, <step>), x -> x < <value>))) + cast(_tied AS bigint) END AS _range,
+         CASE WHEN _tied THEN pmod(xxhash64(<ids>), <tie_salts>L) ELSE 0L END AS _salt
+  FROM searched),
+counted AS (SELECT <keys>, _range, count(*) AS _in_range FROM placed WHERE _was_cut GROUP BY <keys>, _range),
+summed AS (
+  SELECT *, sum(_in_range) OVER (PARTITION BY <keys> ORDER BY _range) - _in_range AS _offset,
+         sum(_in_range) OVER (PARTITION BY <keys>) AS _in_key
+  FROM counted),
+ranges AS (
+  SELECT <keys>, _range, _in_range, _offset, _in_key,
+         explode(sequence(0L, CASE WHEN _range % 2 = 1 THEN <tie_salts>L - 1 ELSE 0L END)) AS _salt
+  FROM summed)"""
+
+_POSITIONS = """
+WITH known AS (SELECT * FROM {rows} WHERE <value> IS NOT NULL), <split>,
+local AS (
+  SELECT *, rank() OVER (PARTITION BY <keys>, _range, _salt ORDER BY <value>) AS _rank,
+         count(*) OVER (PARTITION BY <keys>, _range, _salt ORDER BY <value>
+                        RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS _same,
+         count(*) OVER (PARTITION BY <keys>, _range, _salt) AS _rows
+  FROM placed)
+SELECT <columns>,
+       coalesce(_offset, 0L) + CASE WHEN _range % 2 = 1 THEN 0L ELSE _rank - 1L END AS _before,
+       CASE WHEN _range % 2 = 1 THEN _in_range ELSE _same END AS _ties,
+       coalesce(_in_key, _rows) AS _n
+FROM local LEFT JOIN ranges USING (<keys>, _range, _salt)"""
+
+_ROW_NUMBER = """
+WITH known AS (SELECT * FROM {rows}), <split>,
+local AS (
+  SELECT *, row_number() OVER (PARTITION BY <keys>, _range, _salt ORDER BY <value>) AS _row FROM placed)
+SELECT <columns>, cast(coalesce(_offset, 0L) + _row AS int) AS <name>
+FROM local LEFT JOIN ranges USING (<keys>, _range, _salt)"""
+
+
+def quoted(names: list[str]) -> str:
+    return ", ".join(f"`{n}`" for n in names)
+
+
+def _fill(text: str, rows: DataFrame, keys: list[str], value: str, ids: list[str], plan: SplitPlan, **more: str) -> str:
+    parts = {
+        "split": _SPLIT,
+        "columns": quoted(rows.columns),
+        "keys": quoted(keys),
+        "value": f"`{value}`",
+        "ids": quoted(ids),
+        "step": str(_STEP),
+        "rows_per_split": str(plan.rows_per_split),
+        "max_splits": str(plan.max_splits),
+        "tie_salts": str(plan.tie_salts),
+        **more,
+    }
+    for name, part in parts.items():
+        text = text.replace(f"<{name}>", part)
+    return text
 
 
 def with_positions(
@@ -78,45 +111,20 @@ def with_positions(
 ) -> DataFrame:
     """Keep rows with a value and add, per key: `_before` (rows with a smaller value), `_ties` (rows with the
     same value, itself included) and `_n` (rows). `keys` must not be NULL; `ids` identify a row."""
-    placed, ranges = _split(rows.where(F.col(value).isNotNull()), keys, value, ids, plan)
-    part = W.partitionBy(*keys, "_range", "_salt")
-    by_value = part.orderBy(value)
-    local = (
-        placed.withColumn("_rank", F.rank().over(by_value))
-        .withColumn("_same", F.count("*").over(by_value.rangeBetween(W.currentRow, W.currentRow)))
-        .withColumn("_rows", F.count("*").over(part))
-    )
-    tied = F.col("_range") % 2 == 1
-    return local.join(ranges, [*keys, "_range", "_salt"], "left").select(
-        *rows.columns,
-        (F.coalesce("_offset", F.lit(0)) + F.when(tied, 0).otherwise(F.col("_rank") - 1)).alias("_before"),
-        F.when(tied, F.col("_in_range")).otherwise(F.col("_same")).alias("_ties"),
-        F.coalesce("_in_key", "_rows").alias("_n"),
-    )
+    return rows.sparkSession.sql(_fill(_POSITIONS, rows, keys, value, ids, plan), rows=rows)
 
 
 def with_row_number(
-    rows: DataFrame, keys: list[str], order: list[Column], ids: list[str], name: str, plan: SplitPlan = DEFAULT_PLAN
+    rows: DataFrame, keys: list[str], order: list[str], ids: list[str], name: str, plan: SplitPlan = DEFAULT_PLAN
 ) -> DataFrame:
-    """Row number per key over a full order: `order` must end in something unique per key."""
-    ordered = rows.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    placed, ranges = _split(ordered, keys, "_order", ids, plan)
-    local = placed.withColumn(
-        "_row", F.row_number().over(W.partitionBy(*keys, "_range", "_salt").orderBy("_order"))
-    )
-    return local.join(ranges, [*keys, "_range", "_salt"], "left").select(
-        *rows.columns, (F.coalesce("_offset", F.lit(0)) + F.col("_row")).cast("int").alias(name)
-    )
-
-
-def average_rank() -> Column:
-    """Rank with ties averaged, from the columns of `with_positions`."""
-    return F.col("_before") + (F.col("_ties") + 1) / F.lit(2.0)
+    """Row number per key over a full order: the `order` expressions must end in something unique per key."""
+    ordered = rows.selectExpr("*", "struct(" + ", ".join(f"{c} AS o{i}" for i, c in enumerate(order)) + ") AS _order")
+    text = _fill(_ROW_NUMBER, ordered, keys, "_order", ids, plan, name=f"`{name}`")
+    return rows.sparkSession.sql(text, rows=ordered).drop("_order")
 
 
-def percentile_rank() -> Column:
-    """Average rank over the number of rows with a value: in (0, 1]."""
-    return average_rank() / F.col("_n")
+AVERAGE_RANK = "(_before + (_ties + 1) / 2.0D)"
+PERCENTILE = f"{AVERAGE_RANK} / _n"
 
 
 def add_percentiles(
@@ -127,7 +135,8 @@ def add_percentiles(
     plan: SplitPlan = DEFAULT_PLAN,
     narrower: dict[str, dict[str, str]] | None = None,
 ) -> DataFrame:
-    """Add percentile columns `{name: source}` within `keys`; missing values stay missing.
+    """Add percentile columns `{name: source}` within `keys`: average rank over the number of known values, in
+    (0, 1]; missing values stay missing.
 
     `narrower` adds columns ranked within `keys` plus one more column. All columns go through one shuffle in long
     form, cut by name and key, and come back in one pivot by row."""
@@ -135,12 +144,12 @@ def add_percentiles(
     for extra, more in (narrower or {}).items():
         cells += [(name, source, f"concat('=', cast(`{extra}` as string))") for name, source in more.items()]
     stacked = ", ".join(f"'{name}', cast(`{source}` as double), {inside}" for name, source, inside in cells)
-    long = df.select(
-        *dict.fromkeys([*keys, *ids]), F.expr(f"stack({len(cells)}, {stacked}) as (_name, _value, _inside)")
+    long = df.selectExpr(
+        *[f"`{c}`" for c in dict.fromkeys([*keys, *ids])], f"stack({len(cells)}, {stacked}) as (_name, _value, _inside)"
     )
     ranked = with_positions(long, [*keys, "_name", "_inside"], "_value", [*ids, "_name"], plan)
     wide = ranked.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("_name") == name, percentile_rank())).alias(name) for name, _, _ in cells]
+        *[F.expr(f"max(CASE WHEN _name = '{name}' THEN {PERCENTILE} END) AS `{name}`") for name, _, _ in cells]
     )
     return df.join(wide, ids, "left")
 
@@ -159,22 +168,13 @@ def quantiles(
     spots = with_positions(rows.select(*dict.fromkeys([*keys, *ids, value])), keys, value, ids, plan)
     picks, out = [], []
     for name, (num, den) in fractions.items():
-        low = F.expr(f"({num} * (_n - 1)) div {den}")
-        part = F.expr(f"(({num} * (_n - 1)) % {den}) / cast({den} as double)")
-
-        def at(position, label):
-            here = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_ties"))
-            return F.max(F.when(here, F.col(value))).alias(label)
-
-        picks += [
-            at(low, f"_{name}_lo"),
-            at(F.least(low + 1, F.col("_n") - 1), f"_{name}_hi"),
-            F.max(part).alias(f"_{name}_part"),
-        ]
-        out.append(
-            (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_part")).alias(name)
-        )
-    return spots.groupBy(*keys).agg(*picks).select(*keys, *out)
+        low = f"({num} * (_n - 1) div {den})"
+        for side, position in (("lo", low), ("hi", f"least({low} + 1, _n - 1)")):
+            here = f"_before <= {position} AND {position} < _before + _ties"
+            picks.append(F.expr(f"max(CASE WHEN {here} THEN `{value}` END) AS `_{name}_{side}`"))
+        picks.append(F.expr(f"max(({num} * (_n - 1)) % {den} / cast({den} as double)) AS `_{name}_part`"))
+        out.append(f"`_{name}_lo` + (`_{name}_hi` - `_{name}_lo`) * `_{name}_part` AS `{name}`")
+    return spots.groupBy(*keys).agg(*picks).selectExpr(*[f"`{k}`" for k in keys], *out)
 
 
 def medians(rows, keys, value, ids, name, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:

@@ -49,7 +49,7 @@ def rank_rows(scored: DataFrame, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
 
     The list may hold a third of all entities, so both come from split positions, not from one global window."""
     keyed = scored.withColumn("_all", F.lit(0))
-    ranked = with_row_number(keyed, ["_all"], [-F.col("score"), F.col("entity")], ["entity"], "rank", plan)
+    ranked = with_row_number(keyed, ["_all"], ["-score", "entity"], ["entity"], "rank", plan)
     out = add_percentiles(ranked, ["_all"], ["entity"], {"_pct": "score"}, plan)
     return out.withColumn("focus_percentile", 100 * F.col("_pct")).drop("_all", "_pct")
 

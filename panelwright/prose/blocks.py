@@ -205,7 +205,7 @@ def html_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?!\s*:)'
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
 
 
 def json_lines(docs: DataFrame) -> DataFrame:
@@ -216,15 +216,13 @@ def json_lines(docs: DataFrame) -> DataFrame:
         F.split("text", _JSON_STRING, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_JSON_STRING), 0).alias("hit")
     )
     rows = valid.select("doc_id", piece_starts(F.col("text")).alias("starts"), F.posexplode(zipped).alias("k", "z"))
-    so_far = W.partitionBy("doc_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    value = F.get(F.from_json(F.concat(F.lit("["), F.col("z.hit"), F.lit("]")), "array<string>"), F.lit(0))
-    rows = rows.select(
-        "doc_id",
-        "starts",
-        "k",
-        F.sum(newlines(F.col("z.gap"))).over(so_far).cast("int").alias("i"),
-        F.regexp_replace(value, r"<[^>]+>", ". ").alias("text"),
-    )
+    line = W.partitionBy("doc_id").orderBy("k")
+    hit, gap = F.col("z.hit"), F.col("z.gap")
+    above = F.sum(newlines(gap) + F.coalesce(newlines(hit), F.lit(0))).over(line.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("i", (F.coalesce(above, F.lit(0)) + newlines(gap)).cast("int"))
+    rows = rows.where(hit.isNotNull() & ~hit.endswith(":"))  # a string followed by a colon is a key
+    value = F.get(F.from_json(F.concat(F.lit("["), hit, F.lit("]")), "array<string>"), F.lit(0))
+    rows = rows.select("doc_id", "starts", "k", "i", F.regexp_replace(value, r"<[^>]+>", ". ").alias("text"))
     return rows.where(F.col("text").isNotNull() & ~not_prose(F.col("text")))
 
 

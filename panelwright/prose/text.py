@@ -91,23 +91,17 @@ def not_prose(text: Column) -> Column:
 _CLOSERS = "[\"'\u2019\u201d)\\]*_]"
 _SENTENCE_END = f"(?<=[.!?]{_CLOSERS}{{0,3}})\\s+"
 _ABBREVIATION = (
-    r"(?:^|\s)(?:[eE]\.g|[iI]\.e|vs|approx|cf|al|fig|eq|Mr|Mrs|Ms|Dr|Prof|Jr|Sr|U\.S|[A-Z])\." + f"{_CLOSERS}*$"
+    r"(?<=(?:^|[\s\x01])(?:[eE]\.g|[iI]\.e|vs|approx|cf|al|fig|eq|Mr|Mrs|Ms|Dr|Prof|Jr|Sr|U\.S|[A-Z])\."
+    + f"{_CLOSERS}{{0,3}})"
 )
 _MARK = "\x01"
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences: split after a stop, joined again after an abbreviation."""
-    parts = F.filter(F.transform(F.split(text, _SENTENCE_END, -1), trim), lambda p: p != "")
-    glued = F.transform(
-        parts,
-        lambda p, i: F.concat(
-            F.when(F.coalesce(F.get(parts, i - 1).rlike(_ABBREVIATION), F.lit(False)), " ").otherwise(_MARK), p
-        ),
-    )
-    return F.when(F.size(parts) > 0, F.split(F.substr(F.array_join(glued, ""), F.lit(2)), _MARK, -1)).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Array of sentences: marked after each stop, the mark taken back after an abbreviation, then split."""
+    marked = F.regexp_replace(text, _SENTENCE_END, _MARK)
+    glued = F.regexp_replace(marked, _ABBREVIATION + _MARK, " ")
+    return F.filter(F.transform(F.split(glued, _MARK, -1), trim), lambda s: s != "")
 
 
 def sentence_start(all_sentences: Column, position: Column) -> Column:
