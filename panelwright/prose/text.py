@@ -11,12 +11,73 @@ SPACE = " \t\r\n\x0b\x0c\u00a0\ufeff"
 # Java's \b counts accented letters as word characters while its \w does not; the rules are written for an
 # engine where both are ASCII.
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_ATOM = re.compile(r"\\.|\[(?:\\.|[^\]])*\]|\((?:\?(?:[:=!]|<[=!]))?|.", re.S)
+_QUANTIFIER = re.compile(r"[+*?]|\{\d+(?:,\d*)?\}")
+
+
+def _sequence(pattern: str) -> list[list[tuple[str, str]]]:
+    """Top-level alternatives of a pattern as lists of (atom, quantifier); a group is one atom."""
+    alternatives, at = [[]], 0
+    while at < len(pattern):
+        atom = _ATOM.match(pattern, at).group()
+        end = at + len(atom)
+        if atom.startswith("("):
+            depth = 1
+            while depth:
+                inner = _ATOM.match(pattern, end).group()
+                depth += inner.startswith("(") - (inner == ")")
+                end += len(inner)
+            atom = pattern[at:end]
+        if atom == "|":
+            alternatives.append([])
+        else:
+            mark = _QUANTIFIER.match(pattern, end)
+            alternatives[-1].append((atom, mark.group() if mark else ""))
+            end = mark.end() if mark else end
+        at = end
+    return alternatives
+
+
+def _always_word(items: list[tuple[str, str]], last: bool) -> bool:
+    """Whether what these atoms match surely starts (or ends) with an ASCII word character."""
+    for atom, mark in reversed(items) if last else items:
+        if atom.startswith("("):
+            inner = re.sub(r"^\((\?:)?", "", atom)[:-1]
+            word = not atom.startswith("(?") or atom.startswith("(?:")
+            word = word and all(_always_word(alt, last) for alt in _sequence(inner))
+        else:
+            word = re.fullmatch(r"\w|\\[wd]|\[(?:\w|\w-\w)+\]", atom) is not None
+        if not word:
+            return False
+        if mark not in ("?", "*") and not mark.startswith("{0"):
+            return True
+    return False
+
+
+def _with_boundaries(pattern: str) -> str:
+    """Each word boundary by the cheapest lookaround that says the same where it stands."""
+    out = []
+    for items in _sequence(pattern):
+        text = ""
+        for i, (atom, mark) in enumerate(items):
+            if atom == r"\b":
+                if _always_word(items[i + 1 :], False):
+                    atom = r"(?<!\w)"
+                elif _always_word(items[:i], True):
+                    atom = r"(?!\w)"
+                else:
+                    atom = _BOUNDARY
+            elif atom.startswith("("):
+                head = re.match(r"\((\?(?:[:=!]|<[=!]))?", atom).group()
+                atom = head + _with_boundaries(atom[len(head) : -1]) + ")"
+            text += atom + mark
+        out.append(text)
+    return "|".join(out)
 
 
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     """A rule pattern for Java's engine with ASCII word boundaries."""
-    out = re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m.group(1) + _BOUNDARY, pattern)
-    return ("(?i)" if ignore_case else "") + out
+    return ("(?i)" if ignore_case else "") + _with_boundaries(pattern)
 
 
 def trim(text: Column) -> Column:
