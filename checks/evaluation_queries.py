@@ -14,7 +14,7 @@ from panelwright.session import cut_lineage
 from panelwright.sources import panels
 
 Q, O = {}, {}
-SMALL_TREES = TreeSettings(step=0.2, trees=5, depth=4, min_rows=20, bins=64)
+SMALL_TREES = TreeSettings(step=0.3, trees=3, depth=4, min_rows=20, bins=64)
 RULES = {n: f for n, f in evaluation.baselines(1, 3).items() if n != "catch_up_neighbours"}
 
 
@@ -72,7 +72,7 @@ def _(spark, sf):
 
 @query("e_momentum_spearman", sql(f"select cast(yr as integer) as origin_year, n, {r('rho')} from ({spearman('yr', 'mom_1y_rel', 'target_1y', 'panel')})"))
 def _(spark, sf):
-    return V.rounded(agreement.grouped_spearman(V.panel(spark, sf), ["origin_year"], ["entity"], "mom_1y_rel", "target_1y"))
+    return V.rounded(agreement.grouped_spearman(V.written_panel(spark, sf), ["origin_year"], ["entity"], "mom_1y_rel", "target_1y"))
 
 
 @query("e_quintile_spread", sql(f"""select cast(p.yr as integer) as origin_year, count(*) as n, {r('''case when count(*) >= 50 then
@@ -81,7 +81,7 @@ def _(spark, sf):
        join (select yr, quantile_cont(mom_1y_rel, 0.8) as hi, quantile_cont(mom_1y_rel, 0.2) as lo from panel
              where mom_1y_rel is not null and target_1y is not null group by yr) q on q.yr = p.yr group by p.yr"""))
 def _(spark, sf):
-    return V.rounded(agreement.grouped_spread(V.panel(spark, sf), ["origin_year"], ["entity"], "mom_1y_rel", "target_1y"))
+    return V.rounded(agreement.grouped_spread(V.written_panel(spark, sf), ["origin_year"], ["entity"], "mom_1y_rel", "target_1y"))
 
 
 _metrics = ", ".join(r(m) for m in evaluation.METRICS)
@@ -220,12 +220,12 @@ def ranked_list(spark, sf):
     """Focus parts at the 2000 origin scored by a rule."""
     rows = V.written_panel(spark, sf).where("in_focus and origin_year = 2000 and mom_1y_rel is not null")
     rows = rows.withColumn("score", F.col("mom_1y_rel")).withColumn("city", F.concat(F.lit("Town "), (F.col("entity") % 7).cast("string")))
-    return ranking.rank_rows(rows)
+    return ranking.rank_rows(rows, ["origin_year"])
 
 
 def forecast(spark, sf):
-    """An outside figure for some parts: its next-year growth against its group, where the key is not a multiple of 3."""
-    return V.panel(spark, sf).where("origin_year = 2000 and entity % 3 <> 0").select("entity", (100 * F.col("target_1y")).alias("forecast_1y_pct"))
+    """An outside figure for some parts: its next-year growth against its group, known for all brands but one."""
+    return V.panel(spark, sf).where("origin_year = 2000 and sub <> 'Brand#11'").select("entity", (100 * F.col("target_1y")).alias("forecast_1y_pct"))
 
 
 @query("o_ranked_list", sql(f"select entity, cast(rank as integer) as rank, {r(pct('score', '1'), 'focus_percentile').replace('round(', 'round(100 * (', 1).replace(', 6)', '), 6)', 1)}, {r('score')} from list", list=_list))
@@ -255,7 +255,7 @@ def _(spark, sf):
     return V.rounded(ranking.list_shape(cut_lineage(ranked_list(spark, sf)), 15))
 
 
-_joined = "select l.*, 1 as one, f.f as fc from list l left join (select entity, 100 * target_1y as f from panel where yr = 2000 and entity % 3 <> 0) f on f.entity = l.entity"
+_joined = "select l.*, 1 as one, f.f as fc from list l left join (select entity, 100 * target_1y as f from panel where yr = 2000 and sub <> 'Brand#11') f on f.entity = l.entity"
 
 
 @query("j_forecast_on_ranking", sql(f"select entity, cast(rank as integer) as rank, {r('fc', 'forecast_1y_pct')} from joined", list=_list, joined=_joined))
@@ -268,7 +268,7 @@ def _(spark, sf):
        {r(f"(select rho from ({spearman('one', 'score', 'fc', 'joined')}))", 'rho')} from joined""", list=_list, joined=_joined))
 def _(spark, sf):
     rows = ranked_list(spark, sf).join(forecast(spark, sf), "entity", "left")
-    return V.rounded(ranking.outside_agreement(cut_lineage(rows), "forecast_1y_pct"))
+    return V.rounded(ranking.outside_agreement(cut_lineage(rows), "forecast_1y_pct", ["origin_year"]).drop("origin_year"))
 
 
 _pcts = f"select *, {pct('fwd_1y', 'yr, grp')} as tp from panel"
@@ -331,13 +331,13 @@ def model_panel(spark, sf):
 @query("m_model_scores")
 def _(spark, sf):
     rows = model_panel(spark, sf)
-    preds = plan.model_predictions(rows, 1, V.EVAL, SMALL_TREES, folds=[2000])
+    preds = plan.model_predictions(rows, 1, V.EVAL, SMALL_TREES)
     return evaluation.score(cut_lineage(preds))
 
 
 @query("m_feature_group_ablation")
 def _(spark, sf):
-    return plan.feature_group_ablation(model_panel(spark, sf), 1, V.EVAL, SMALL_TREES, folds=[2000])
+    return plan.feature_group_ablation(model_panel(spark, sf), 1, V.EVAL, SMALL_TREES)
 
 
 @query("m_permutation_importance")

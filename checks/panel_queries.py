@@ -62,11 +62,12 @@ def _(spark, sf):
     return attributes.header_row_table(docs, "text", ["place", "total", "part_a"], ["vintage"]).withColumnRenamed("place", "entity")
 
 
-@query("s_number_and_missing_mark", "select p_partkey as entity, case when p_partkey % 7 = 0 or p_partkey % 11 = 0 then null "
+@query("s_number_and_missing_mark", "select p_partkey as entity, case when p_size in (7, 11) then null "
        "else cast(p_size as double) end as size from part")
 def _(spark, sf):
     k = F.col("p_partkey")
-    text = F.when(k % 11 == 0, "n/a").when(k % 7 == 0, "-666666666").otherwise(F.col("p_size").cast("string"))
+    size = F.col("p_size")
+    text = F.when(size == 11, "n/a").when(size == 7, "-666666666").otherwise(size.cast("string"))
     return V.table(spark, sf, "part").select(k.alias("entity"), attributes.number(text).alias("size"))
 
 
@@ -98,12 +99,12 @@ def _(spark, sf):
 
 
 @query("s_merge_parts", "select coalesce(a.entity, b.entity) as entity, a.size, b.price from "
-       "(select p_partkey as entity, p_size as size from part where p_partkey % 3 <> 0) a full outer join "
-       "(select p_partkey as entity, p_retailprice as price from part where p_partkey % 5 <> 0) b on a.entity = b.entity")
+       "(select p_partkey as entity, p_size as size from part where p_size <= 40) a full outer join "
+       "(select p_partkey as entity, p_retailprice as price from part where p_type <> 'PROMO') b on a.entity = b.entity")
 def _(spark, sf):
     part = V.table(spark, sf, "part").withColumnRenamed("p_partkey", "entity")
-    left = part.where("entity % 3 <> 0").select("entity", F.col("p_size").alias("size"))
-    right = part.where("entity % 5 <> 0").select("entity", F.col("p_retailprice").alias("price"))
+    left = part.where("p_size <= 40").select("entity", F.col("p_size").alias("size"))
+    right = part.where("p_type <> 'PROMO'").select("entity", F.col("p_retailprice").alias("price"))
     return attributes.merge_parts(left, right, "entity")
 
 
@@ -112,10 +113,10 @@ def _(spark, sf):
     return V.rounded(V.vintages(spark, sf), 4)
 
 
-@query("s_observations", "select o_orderpriority as series, cast(o_orderdate as date) as date, o_totalprice as value from orders where o_orderkey % 9 <> 0")
+@query("s_observations", "select o_orderpriority as series, cast(o_orderdate as date) as date, o_totalprice as value from orders where o_orderpriority <> '5-LOW'")
 def _(spark, sf):
     obs = V.order_observations(spark, sf)
-    text = F.when(F.col("id") % 9 == 0, ".").otherwise(F.col("value").cast("string"))
+    text = F.when(F.col("series") == "5-LOW", ".").otherwise(F.col("value").cast("string"))
     raw = obs.select("series", F.col("date").cast("string").alias("date"), text.alias("value"))
     return wide.observations(raw)
 
@@ -352,16 +353,16 @@ def _(spark, sf):
 
 @query("x_attribute_ratios", sql(f"""select entity, midx, {r('price_to_income')}, {r('price_to_income - avg(price_to_income) over g', 'price_to_income_rel')},
        {r('attr_rent_to_price')}, {r('inv_per_1k_units')} from (
-         select p.entity, cast(p.yr * 12 + 11 as integer) as midx, p.yr, p.grp, p.log_value - ln(cast((p.entity * 9) % 97 + 1 as double)) as price_to_income,
-                ln(cast((p.entity * 11) % 97 + 1 as double)) + ln(12) - p.log_value as attr_rent_to_price,
-                1000 * p.inventory / exp(ln(cast((p.entity * 12) % 97 + 1 as double))) as inv_per_1k_units from hist p where p.yr >= 1997)
+         select p.entity, cast(p.yr * 12 + 11 as integer) as midx, p.yr, p.grp, case when p.yr >= 1997 then p.log_value - ln(cast((p.entity * 9) % 97 + 1 as double)) end as price_to_income,
+                case when p.yr >= 1997 then ln(cast((p.entity * 11) % 97 + 1 as double)) + ln(12) - p.log_value end as attr_rent_to_price,
+                case when p.yr >= 1997 then 1000 * p.inventory / exp(ln(cast((p.entity * 12) % 97 + 1 as double))) end as inv_per_1k_units from hist p)
        window g as (partition by yr, grp)""", wide="select 1"))
 def _(spark, sf):
     # The code table has padded keys, so join back through the padded part key.
     table = attributes.normalise_vintage(_codes(spark, sf), 1995)
     keys = V.parts(spark, sf).select(F.col("entity").alias("_k"), scalar.pad_key(F.col("entity").cast("string")).alias("entity"))
     features = vint.attribute_features(table).join(keys, "entity").drop("entity").withColumnRenamed("_k", "entity")
-    rows = V.part_panel(spark, sf).where("yr >= 1997").select(
+    rows = V.part_panel(spark, sf).select(
         "entity", "midx", "grp", F.col("yr").alias("origin_year"), F.ln("val").alias("log_value"), F.col("inventory").alias("_inventory"))
     chosen, found = plan.asof_attributes(rows, features, V.OPT)
     out = rows.join(chosen, "origin_year", "left").join(found, ["entity", "vintage"], "left").select("*", *plan.attribute_ratios())
@@ -395,7 +396,7 @@ RANKED = ["log_value", "mom_1y", "mom_2y", "mom_3y", "beta", "level_rel_group",
 
 @query("w_percentiles", sql(f"select entity, {DEC}, " + ", ".join(r(pct(c, "yr, grp"), f"cs_{c}") for c in RANKED) + " from panel"))
 def _(spark, sf):
-    out = positions.add_percentiles(V.panel(spark, sf).select("entity", "midx", "grp", *RANKED), ["midx", "grp"], ["entity", "midx"],
+    out = positions.add_percentiles(V.written_panel(spark, sf).select("entity", "midx", "grp", *RANKED), ["midx", "grp"], ["entity", "midx"],
                                     {f"cs_{c}": c for c in RANKED})
     return V.rounded(out.select("entity", "midx", *[f"cs_{c}" for c in RANKED]))
 
@@ -413,7 +414,7 @@ _tp = [(f"fwd_{h}y", f"target_{h}y") for h in (1, 2, 3, 5)]
 @query("w_target_percentiles", sql(f"select entity, {DEC}, " + ", ".join(
     [r(pct(f, "yr, grp"), f"{t}_pct") for f, t in _tp] + [r(pct(f, "yr, grp, sub"), f"{t}_sub_pct") for f, t in _tp]) + " from panel"))
 def _(spark, sf):
-    rows = V.panel(spark, sf).select("entity", "midx", "grp", "sub", *[f for f, _ in _tp])
+    rows = V.written_panel(spark, sf).select("entity", "midx", "grp", "sub", *[f for f, _ in _tp])
     out = plan.add_ranks(rows.withColumn("mom_1y", F.lit(0.0)), (1, 2, 3, 5))
     return V.rounded(out.select("entity", "midx", *[f"{t}_pct" for _, t in _tp], *[f"{t}_sub_pct" for _, t in _tp]))
 
@@ -421,7 +422,7 @@ def _(spark, sf):
 @query("b_grouped_spearman", sql(f"select cast(yr as integer) as origin_year, grp, n, {r('rho')} from ({spearman('yr, grp', 'mom_1y', 'fwd_1y', 'panel')})"))
 def _(spark, sf):
     keys = ["origin_year", "grp"]
-    return V.rounded(agreement.grouped_spearman(V.panel(spark, sf), keys, ["entity"], "mom_1y", "fwd_1y"))
+    return V.rounded(agreement.grouped_spearman(V.written_panel(spark, sf), keys, ["entity"], "mom_1y", "fwd_1y"))
 
 
 @query("b_average_ranks", sql(f"""select entity, {DEC}, rank() over (partition by yr, grp order by inventory) + (count(*) over (partition by yr, grp, inventory) - 1) / 2.0 as rank_a,
@@ -446,7 +447,7 @@ _roll = "select factor, yr, rho, case when count(rho) over w >= 2 then avg(rho)
        signs=_sign("cheap", "-level_rel_group") + " union all " + _sign("mom", "mom_1y_rel"), rolled=_roll,
        gsigns=_signg("cheap", "-level_rel_group") + " union all " + _signg("mom", "mom_1y_rel")))
 def _(spark, sf):
-    out = signs.add_trailing_signs(V.panel(spark, sf))
+    out = signs.add_trailing_signs(V.written_panel(spark, sf))
     return V.rounded(out.select("entity", "midx", *[c for c in out.columns if c.startswith("rg_")]))
 
 
@@ -467,10 +468,10 @@ def _(spark, sf):
 
 
 @query("x_sum_and_share", """select p_partkey as entity, case when a is null and b is null then null else coalesce(a, 0) + coalesce(b, 0) end as sum_known,
-       (coalesce(a, 0) + coalesce(b, 0)) / p_retailprice as share from (select *, case when p_partkey % 2 = 0 then cast(p_size as double) end as a,
-       case when p_partkey % 3 = 0 then cast(p_size as double) * 2 end as b from part)""")
+       (coalesce(a, 0) + coalesce(b, 0)) / p_retailprice as share from (select *, case when p_size > 10 then cast(p_size as double) end as a,
+       case when p_size < 30 then cast(p_size as double) * 2 end as b from part)""")
 def _(spark, sf):
     k, size = F.col("p_partkey"), F.col("p_size").cast("double")
-    a, b = F.when(k % 2 == 0, size), F.when(k % 3 == 0, size * 2)
+    a, b = F.when(size > 10, size), F.when(size < 30, size * 2)
     return V.table(spark, sf, "part").select(
         k.alias("entity"), scalar.sum_or_null([a, b]).alias("sum_known"), scalar.share_of_parts([a, b], F.col("p_retailprice")).alias("share"))

@@ -44,14 +44,14 @@ def analogue_bands(
     return lined.select("band", F.coalesce(between, F.col("_pv")).alias("growth"))
 
 
-def rank_rows(scored: DataFrame, plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
-    """Add `rank` (best first, ties by entity) and `focus_percentile` to rows with entity and score.
+def rank_rows(scored: DataFrame, keys: list[str], plan: SplitPlan = DEFAULT_PLAN) -> DataFrame:
+    """Add `rank` (best first, ties by entity) and `focus_percentile` within `keys` to rows with entity and score.
 
-    The list may hold a third of all entities, so both come from split positions, not from one global window."""
-    keyed = scored.withColumn("_all", F.lit(0))
-    ranked = with_row_number(keyed, ["_all"], ["-score", "entity"], ["entity"], "rank", plan)
-    out = add_percentiles(ranked, ["_all"], ["entity"], {"_pct": "score"}, plan)
-    return out.withColumn("focus_percentile", 100 * F.col("_pct")).drop("_all", "_pct")
+    A list may hold a third of all entities, so both come from split positions, not from one window. `keys` must be
+    columns of the data, such as the origin: a constant would turn the joins on it into cross joins."""
+    ranked = with_row_number(scored, keys, ["-score", "entity"], ["entity"], "rank", plan)
+    out = add_percentiles(ranked, keys, [*keys, "entity"], {"_pct": "score"}, plan)
+    return out.withColumn("focus_percentile", 100 * F.col("_pct")).drop("_pct")
 
 
 def add_analogue(ranked: DataFrame, bands: DataFrame, n_bands: int = 20) -> DataFrame:
@@ -91,13 +91,14 @@ def list_shape(ranking: DataFrame, n: int, level: str = "level_rel_group", growt
     )
 
 
-def outside_agreement(ranking: DataFrame, forecast: str, top: int = 25, min_pairs: int = 20, plan=DEFAULT_PLAN) -> DataFrame:
-    """One row: Spearman of our score with an outside forecast, its mean over our top rows and over all, count."""
-    keyed = ranking.withColumn("_all", F.lit(0))
-    rho = grouped_spearman(keyed, ["_all"], ["entity"], "score", forecast, min_pairs, plan).select("_all", "rho")
-    sums = keyed.groupBy("_all").agg(
+def outside_agreement(
+    ranking: DataFrame, forecast: str, keys: list[str], top: int = 25, min_pairs: int = 20, plan: SplitPlan = DEFAULT_PLAN
+) -> DataFrame:
+    """Per key: Spearman of our score with an outside forecast, its mean over our top rows and over all, count."""
+    rho = grouped_spearman(ranking, keys, ["entity"], "score", forecast, min_pairs, plan).select(*keys, "rho")
+    sums = ranking.groupBy(*keys).agg(
         F.avg(F.when(F.col("rank") <= top, F.col(forecast))).alias("top_mean"),
         F.avg(forecast).alias("all_mean"),
         F.count(forecast).alias("n_known"),
     )
-    return sums.join(rho, "_all", "left").drop("_all")
+    return sums.join(rho, keys, "left")

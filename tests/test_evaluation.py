@@ -155,8 +155,8 @@ def test_skill_map_in_documents(spark):
 
 
 def test_rank_rows_breaks_ties_by_entity(spark):
-    df = spark.createDataFrame([("c", 1.0), ("a", 2.0), ("b", 2.0), ("d", 0.5)], "entity string, score double")
-    got = ranking.rank_rows(df).orderBy("rank").toPandas()
+    df = spark.createDataFrame([(1, "c", 1.0), (1, "a", 2.0), (1, "b", 2.0), (1, "d", 0.5)], "horizon int, entity string, score double")
+    got = ranking.rank_rows(df, ["horizon"]).orderBy("rank").toPandas()
     assert got["entity"].tolist() == ["a", "b", "c", "d"] and got["focus_percentile"].tolist() == [87.5, 87.5, 50.0, 25.0]
 
 
