@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.folder import ready
 from panelwright.options import EvaluationOptions, PanelOptions
 from panelwright.plans.panel import PanelInputs, base_panel
 from panelwright.session import cut_lineage, tune
@@ -29,7 +30,7 @@ EVAL = EvaluationOptions(horizons=(1, 2, 3, 5), first_test_year=1997, draws=200,
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf}/{name}.parquet")
+    return ready(tune(spark)).read.parquet(f"{sf}/{name}.parquet")
 
 
 def parts(spark, sf) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +26,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir, which driver and executors share.
+
+    Without it there is no place that every executor can read back, so this is an error and never a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="panelwright-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named
 
 

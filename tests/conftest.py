@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from checks.folder import ready  # noqa: E402
 from panelwright.session import tune  # noqa: E402
 
 
@@ -20,5 +21,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield tune(session)
+    yield ready(tune(session))
     session.stop()
