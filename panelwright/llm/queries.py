@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.folder import ready
-from panelwright.llm import chat, mixing, quality_rules, repeated_phrases, warc
+from panelwright.llm import chat, jaccard_join, mixing, quality_rules, repeated_phrases, warc
 from panelwright.llm.registry import O, Q, query  # noqa: F401
 from panelwright.session import tune
 
@@ -149,3 +149,32 @@ def op10(spark, sf):
 def op7(spark, sf):
     docs = table(spark, sf, "documents")
     return repeated_phrases.digest_kept(docs, repeated_phrases.removal_ranges(docs))
+
+
+def jaccard_sql(n: int, percent: int, source: str = "documents") -> str:
+    """CTEs that end in joined(doc_id, n_shingles, component_id)."""
+    return rf"""
+    words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from {source}),
+    grams as (
+      select distinct doc_id, array_to_string(w[i:i + {n - 1}], ' ') as g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - {n - 1}, case when len(w) > 0 then 1 else 0 end) + 1)) as i from words)
+    ),
+    sizes as (select doc_id, count(*) as size from grams group by doc_id),
+    common as (select a.doc_id as x, b.doc_id as y, count(*) as shared from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+    links as (
+      select x, y from common join sizes s on s.doc_id = x join sizes t on t.doc_id = y
+      where 100 * shared >= {percent} * (s.size + t.size - shared)
+    ),
+    reach(doc_id, other) as (
+      select doc_id, doc_id from {source}
+      union select r.doc_id, l.other from reach r join (select x as a, y as other from links union all select y, x from links) l on l.a = r.other
+    ),
+    joined as (
+      select r.doc_id, coalesce(any_value(size), 0)::bigint as n_shingles, min(other) as component_id
+      from reach r left join sizes using (doc_id) group by r.doc_id
+    )"""
+
+
+@query("op8_jaccard_join", f"with recursive {jaccard_sql(4, 85)} select * from joined")
+def op8(spark, sf):
+    return jaccard_join.link_components(table(spark, sf, "documents"), jaccard_join.Likeness(4, 85))
