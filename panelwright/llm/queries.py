@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.folder import ready
-from panelwright.llm import chat, jaccard_join, mixing, quality_rules, repeated_phrases, warc
+from panelwright.llm import chat, decontamination, jaccard_join, mixing, quality_rules, repeated_phrases, warc
 from panelwright.llm.registry import O, Q, query  # noqa: F401
 from panelwright.session import tune
 
@@ -178,3 +178,37 @@ def jaccard_sql(n: int, percent: int, source: str = "documents") -> str:
 @query("op8_jaccard_join", f"with recursive {jaccard_sql(4, 85)} select * from joined")
 def op8(spark, sf):
     return jaccard_join.link_components(table(spark, sf, "documents"), jaccard_join.Likeness(4, 85))
+
+
+def test_words(table_name: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"select *, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {table_name}"
+
+
+def contamination_sql(documents: str = "documents") -> str:
+    """CTEs that end in marked(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    return f"""
+    tests as ({test_words("benchmark")}),
+    docs as ({test_words(documents)}),
+    phrases as (
+      select item_id, w[i:i + 9] as p, len(w[i:i + 9]) as n
+      from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from tests where len(w) > 0)
+    ),
+    runs as (
+      select doc_id, i, n, w[i:i + n - 1] as p
+      from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from docs), (select distinct n from phrases) as lengths
+      where i + n - 1 <= len(w)
+    ),
+    found as (select doc_id, i, runs.n, item_id from runs join phrases on runs.p = phrases.p),
+    hits as (select doc_id, count(distinct i + k) as n_hit from found, range(10) as r(k) where k < n group by doc_id),
+    items as (select doc_id, list_sort(list(distinct item_id::varchar)) as items from found group by doc_id),
+    marked as (
+      select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
+        sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, n_hit is not null as contaminated
+      from docs left join hits using (doc_id) left join items using (doc_id)
+    )"""
+
+
+@query("op6_benchmark_decontamination", f"with {contamination_sql()} select * from marked")
+def op6(spark, sf):
+    return decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
