@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.folder import ready
-from panelwright.llm import chat, decontamination, jaccard_join, mixing, quality_rules, repeated_phrases, warc
+from panelwright.llm import chat, decontamination, html_text, jaccard_join, mixing, quality_model, quality_rules, repeated_phrases, warc
 from panelwright.llm.registry import O, Q, query  # noqa: F401
 from panelwright.session import tune
 
@@ -212,3 +212,13 @@ def contamination_sql(documents: str = "documents") -> str:
 @query("op6_benchmark_decontamination", f"with {contamination_sql()} select * from marked")
 def op6(spark, sf):
     return decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_html_text")
+def op5(spark, sf):
+    return html_text.extract(table(spark, sf, "pages"))
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf):
+    return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
