@@ -130,17 +130,23 @@ def op10(spark, sf):
     return chat.digests(chat.format_conversations(rows))
 
 
-@query(
-    "op7_substring_dedup",
-    rf"""
-    with words as (select doc_id, {WORDS} as w from documents),
+def repeats_sql(documents: str = "documents") -> str:
+    """CTEs words(doc_id, w) and lists(doc_id, places): places of the words to remove, from 1."""
+    return rf"""
+    words as (select doc_id, {WORDS} as w from {documents}),
     windows as (
       select doc_id, i, array_to_string(w[i:i + 12], ' ') as phrase
       from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words)
     ),
     firsts as (select *, min(doc_id) over (partition by phrase) as low from windows),
     gone as (select distinct doc_id, i + k as place from firsts, range(13) as r(k) where low < doc_id),
-    lists as (select doc_id, list(place) as places from gone group by doc_id)
+    lists as (select doc_id, list(place) as places from gone group by doc_id)"""
+
+
+@query(
+    "op7_substring_dedup",
+    f"""
+    with {repeats_sql()}
     select doc_id, len(w)::bigint as n_words, coalesce(len(places), 0)::bigint as n_removed,
       sha256(array_to_string(case when places is null then w else list_filter(w, lambda x, i: not list_contains(places, i)) end, ' ')) as kept_sha256
     from words left join lists using (doc_id)
