@@ -7,8 +7,8 @@ Sets are ordered rarest first by a sketch of counts over all texts (any order gi
 common phrases out of prefixes). Two linked sets share a run in their prefixes. Texts with equal sets are one
 representative; representatives with equal prefixes and sizes are one group, and groups meet by the runs of their prefix.
 
-1. Each group meets only its neighbours and the first group under a run. Pairs that share much of their prefixes are
-   verified, which joins the members of a large group of near copies by a number of pairs in proportion to its size.
+1. Each group meets only its neighbour and the first group under a run, and is verified against the one of these that
+   shares most of its prefix, which joins the members of a large group of near copies by a number of pairs in proportion to its size.
 2. Then only groups of different components meet. A pair whose shared prefix runs leave room for a link is expanded to
    members and verified. So no link between components is missed, and copies are never expanded into pairs.
 
@@ -30,7 +30,7 @@ from panelwright.llm.components import components
 from panelwright.llm.words import Words, mixed, pieces, runs, within, words_of
 from panelwright.session import cut_lineage
 
-SKETCH_BITS = 20  # counters of the sketch: 4 MB whatever the input
+SKETCH_BITS = 22  # counters of the sketch: 16 MB whatever the input
 BLOCK = 1 << 14  # counters that are summed together
 FILTER_BITS = 23  # of the filter of ids: 1 MB whatever the input
 
@@ -178,10 +178,10 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     members = cut_lineage(reps.join(groups.where("members > 1").drop("members"), alike, "left").select("rep", "size", F.coalesce("gid", "rep").alias("gid")))
 
     leaders = members.where("rep = gid").select(F.col("gid").alias("doc_id"))
-    tokens = base.dropDuplicates(["doc_id"]).join(leaders, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "size", F.explode("prefix").alias("token"))
+    tokens = base.dropDuplicates(["doc_id"]).join(leaders, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "size", F.posexplode("prefix").alias("pos", "token"))
     under = Window.partitionBy("token").orderBy("size", "gid")
     met = tokens.select(
-        "token", "gid", "size",
+        "token", "gid", "size", "pos",
         F.lag(F.struct("gid", "size")).over(under).alias("near"),
         F.first(F.struct("gid", "size")).over(under).alias("head"),
         F.lead("gid").over(under).alias("after"),
@@ -191,7 +191,9 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     hubs = met.select("gid", "size", "token", F.explode(F.array_distinct(F.array("near", "head"))).alias("hub"))
     hubs = hubs.where(F.col("hub").isNotNull() & (F.col("hub.gid") != F.col("gid"))).where(like.sizes_fit(F.col("size"), F.col("hub.size")))
     strong = hubs.groupBy(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"))
-    strong = strong.where(F.col("n") * 4 >= like.prefix(F.col("size"))).select("a", "b")
+    strong = strong.where(F.col("n") * 4 >= like.prefix(F.col("size")))
+    # One partner each is enough here: what it leaves apart meets in step 2.
+    strong = strong.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("from"))).alias("best")).select((-F.col("best.from")).alias("a"), "b")
     inner = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     links = cut_lineage(verified(docs, strong.union(inner), like))
     label = components(links)
@@ -199,12 +201,15 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     placed = members.join(label, F.col("rep") == F.col("id"), "left").select("rep", "size", "gid", F.coalesce("component", "rep").alias("component"))
     placed = cut_lineage(placed)
     units = placed.select("gid", "component").distinct()
-    rows = met.select("token", "gid", "size").join(units, "gid")
+    rows = met.select("token", "gid", "size", "pos").join(units, "gid")
     mixed_runs = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     rows = cut_lineage(rows.join(mixed_runs, "token"))
-    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("gid", "size", "component")])
-    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("gid", "size", "component")])
-    meet = one.join(two, "token").where("component_a < component_b").where(like.sizes_fit(F.col("size_a"), F.col("size_b")))
+    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("gid", "size", "pos", "component")])
+    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("gid", "size", "pos", "component")])
+    # A common run at these places leaves no more common runs than the shorter part before it and the shorter one after.
+    ahead = F.least("pos_a", "pos_b") + 1 + F.least(F.col("size_a") - F.col("pos_a") - 1, F.col("size_b") - F.col("pos_b") - 1)
+    room = ahead >= like.common(F.col("size_a"), F.col("size_b"))
+    meet = one.join(two, "token").where("component_a < component_b").where(like.sizes_fit(F.col("size_a"), F.col("size_b")) & room)
     meet = meet.groupBy("gid_a", "component_a", "size_a", "gid_b", "component_b", "size_b").agg(F.count(F.lit(1)).alias("shared"))
     # Runs outside the prefix that ends first in the order: no more than these can be common besides the shared ones.
     beyond = F.greatest(*[F.col(c) - like.prefix(F.col(c)) for c in ("size_a", "size_b")])

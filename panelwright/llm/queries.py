@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.folder import ready
-from panelwright.llm import chat, decontamination, html_text, jaccard_join, mixing, quality_model, quality_rules, repeated_phrases, warc
+from panelwright.llm import chat, decontamination, html_text, jaccard_join, license_scan, mixing, quality_model, quality_rules, repeated_phrases, warc
 from panelwright.llm.registry import O, Q, query  # noqa: F401
 from panelwright.session import tune
 
@@ -228,3 +228,8 @@ def op5(spark, sf):
 @query("op3_quality_classifier")
 def op3(spark, sf):
     return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op2_license_scan")
+def op2(spark, sf):
+    return license_scan.scan(table(spark, sf, "documents"), license_scan.known_licenses(spark))
