@@ -6,7 +6,7 @@ smaller doc_id.
 1. Anchors. Of the 4-word runs inside a window the one with the least hash is its anchor, so equal windows have equal
    anchors. Anchors found in two documents or more mark the only places where windows can recur.
 2. Segments. The windows of a document that share one anchor there form a segment of at most 22 words. Segments go to
-   cells by their anchor. A cell is a bounded group; an anchor of more than `hot` documents is spread over parts.
+   cells by their anchor. A cell is a bounded group; an anchor of more than `hot` segments is spread over parts.
 3. Automata. A cell confirms which of its windows recur (by their words), compiles them into an Aho-Corasick automaton
    over word numbers and runs all its segments through it. For a spread anchor the recurring windows come from an
    aggregate over all parts, and every part gets them.
@@ -31,7 +31,7 @@ from panelwright.session import cut_lineage
 
 WINDOW = 13
 GRAM = 4
-HOT = 20_000  # documents of one anchor that a cell takes up whole
+HOT = 20_000  # segments of one anchor that a cell takes up whole
 CELLS = 8  # cells per shuffle partition
 
 
@@ -62,16 +62,17 @@ def recurring_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> Data
             row, key = row[order], key[order]
             new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])] if len(row) else np.zeros(0, dtype=bool)
             ids = piece.column("doc_id").take(pa.array(row[new]))
-            yield pa.record_batch([ids, pa.array(key[new].view(np.int64))], names=["doc_id", "anchor"])
+            times = np.diff(np.r_[np.flatnonzero(new), len(row)])
+            yield pa.record_batch([ids, pa.array(key[new].view(np.int64)), pa.array(times)], names=["doc_id", "anchor", "times"])
 
-    found = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, anchor long")
+    found = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, anchor long, times long")
     shared = (
         found.groupBy("anchor")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("times").alias("n"))
         .where("low < high")
         .select("anchor", F.ceil(F.col("n") / hot).cast("long").alias("parts"))
     )
-    rows = found.join(shared, "anchor")
+    rows = found.drop("times").join(shared, "anchor")
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "parts")).alias("anchors"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +29,7 @@ def arc_record(url: str, payload: bytes, version: int = 1, date: str = DEFAULT_D
     url = "".join("%20" if c in " \t\r\n" else c for c in url or "-")
     fields = [url, "0.0.0.0", date, kind]
     if version == 2:
-        fields += ["200", hashlib.sha1(payload).hexdigest(), "-", "0", "-"]
+        fields += ["200", "-", "-", "0", "-"]
     return " ".join([*fields, str(len(payload))]).encode() + b"\n" + payload + b"\n"
 
 
@@ -95,30 +95,29 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         at = stop + 4
 
 
-def to_arc(pages: DataFrame) -> DataFrame:
-    """(page_id, arc): even keys as version 1 records, odd ones as version 2."""
+def stored_arcs(batch: pa.RecordBatch) -> list[bytes]:
+    """ARC records that a table holds in its column `arc`."""
+    return batch.column("arc").to_pylist()
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, urls, bodies = (batch.column(i).to_pylist() for i in range(3))
-            arcs = [arc_record(u, (b or "").encode(), 1 + k % 2) for k, u, b in zip(ids, urls, bodies)]
-            yield pa.record_batch([batch.column(0), pa.array(arcs, type=pa.binary())], names=["page_id", "arc"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(write, "page_id long, arc binary")
+def pages_as_arcs(batch: pa.RecordBatch) -> list[bytes]:
+    """Pages as ARC records: even keys in version 1, odd ones in version 2."""
+    ids, urls, bodies = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
+    return [arc_record(u, (b or "").encode(), 1 + k % 2) for k, u, b in zip(ids, urls, bodies)]
 
 
-def describe(arcs: DataFrame) -> DataFrame:
+def describe(rows: DataFrame, arcs: Callable[[pa.RecordBatch], list[bytes]] = stored_arcs) -> DataFrame:
     """(page_id, payload_digest, payload_bytes) of every ARC record, parsed by its header line."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse_arc(a)[1] for a in batch.column(1).to_pylist()]
+            found = [parse_arc(a)[1] for a in arcs(batch)]
             yield pa.record_batch(
-                [batch.column(0), pa.array([digest(p) for p in found]), pa.array([len(p) for p in found], type=pa.int64())],
+                [batch.column("page_id"), pa.array([digest(p) for p in found]), pa.array([len(p) for p in found], type=pa.int64())],
                 names=["page_id", "payload_digest", "payload_bytes"],
             )
 
-    return arcs.mapInArrow(read, "page_id long, payload_digest string, payload_bytes long")
+    return rows.mapInArrow(read, "page_id long, payload_digest string, payload_bytes long")
 
 
 def first_pages(described: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -129,7 +128,9 @@ def first_pages(described: DataFrame, min_bytes: int = 0) -> DataFrame:
     return large.join(first.where("n > 1"), ["payload_digest", "payload_bytes"]).where("page_id > refers_to").select("page_id", "refers_to")
 
 
-def write_warc(arcs: DataFrame, refers: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_warc(
+    rows: DataFrame, refers: DataFrame, path: str, arcs: Callable[[pa.RecordBatch], list[bytes]] = stored_arcs, archive_bytes: int = ARCHIVE_BYTES
+) -> None:
     """ARC records as WARC archives below `path`, a folder for each."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def write_warc(arcs: DataFrame, refers: DataFrame, path: str, archive_bytes: int
         archive, held = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             names, records = [], []
-            for key, arc, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, arc, first in zip(batch.column("page_id").to_pylist(), arcs(batch), batch.column("refers_to").to_pylist()):
                 fields, payload = parse_arc(arc)
                 record = warc_head(key, fields, len(payload), digest(payload), first) + (payload if first is None else b"")
                 if held and held + len(record) > archive_bytes:
@@ -148,8 +149,7 @@ def write_warc(arcs: DataFrame, refers: DataFrame, path: str, archive_bytes: int
                 records.append(record.decode())
             yield pa.record_batch([pa.array(names, type=pa.int64()), pa.array(records, type=pa.string())], names=["archive", "value"])
 
-    rows = arcs.join(refers, "page_id", "left").select("page_id", "arc", "refers_to")
-    rows.mapInArrow(convert, "archive long, value string").write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
+    rows.join(refers, "page_id", "left").mapInArrow(convert, "archive long, value string").write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -189,7 +189,7 @@ def convert_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARC
     """Pages to ARC records, those to WARC archives in the shared folder, and their records read back."""
     spark = pages.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/panelwright-warc-{uuid.uuid4().hex}"
-    arcs = to_arc(pages)
-    refers = cut_lineage(first_pages(describe(arcs), min_bytes))
-    write_warc(arcs, refers, path, archive_bytes)
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html")
+    refers = cut_lineage(first_pages(describe(rows, pages_as_arcs), min_bytes))
+    write_warc(rows, refers, path, pages_as_arcs, archive_bytes)
     return read_warc(spark, path)
