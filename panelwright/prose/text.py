@@ -152,10 +152,10 @@ def not_prose(text: Column) -> Column:
 _CLOSERS = "[\"'\u2019\u201d)\\]*_]"
 _SENTENCE_END = f"(?<=[.!?]{_CLOSERS}{{0,3}})\\s+"
 _ABBREVIATION = (
-    r"(?<=(?:^|[\s\x01])(?:[eE]\.g|[iI]\.e|vs|approx|cf|al|fig|eq|Mr|Mrs|Ms|Dr|Prof|Jr|Sr|U\.S|[A-Z])\."
+    r"(?<=(?:^|\s)(?:[eE]\.g|[iI]\.e|vs|approx|cf|al|fig|eq|Mr|Mrs|Ms|Dr|Prof|Jr|Sr|U\.S|[A-Z])\."
     + f"{_CLOSERS}{{0,3}})"
 )
-_MARK = "\x01"
+_MARK = "\n\x01\n"  # a block has no line ends, so its own text never holds this
 
 
 def sentences(text: Column) -> Column:

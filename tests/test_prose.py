@@ -162,3 +162,9 @@ def test_targets_and_summary(spark):
     assert tuple(C.findings_summary(empty).first()) == (0, 0, True)
     mixed = spark.createDataFrame([(1, 1, "warn", "a", "", ""), (1, 9, "error", "b", "", "")], empty.schema)
     assert [r["severity"] for r in C.in_report_order(mixed).collect()] == ["error", "warn"]
+
+
+def test_control_characters_do_not_end_a_sentence(spark, docs):
+    text = "One part\x01two part ends here. Next one."
+    rows = C.with_sentences(B.join_blocks(B.group_lines(B.plain_lines(docs(text))))).first()["sentences"]
+    assert rows == ["One part\x01two part ends here.", "Next one."]
