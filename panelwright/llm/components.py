@@ -1,4 +1,5 @@
-"""Connected components of a table of links, by alternating stars, without collecting them."""
+"""Connected components of a table of links, without collecting them: by alternating stars for any links, and by
+jumping to parents' parents where every row has one parent at most."""
 
 from __future__ import annotations
 
@@ -29,3 +30,24 @@ def components(links: DataFrame) -> DataFrame:
         state = now
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(id, root) for parents (id, parent): one row for each id, no cycles, no NULLs.
+
+    Each round takes the rows whose root is not known one parent's jump further, which doubles the way; the number of
+    rounds grows with the logarithm of the deepest tree. Rows that have reached their root are only looked up. A cycle
+    is an error."""
+    todo, known, rounds = cut_lineage(parents.select("id", "parent")), None, 0
+    while not todo.isEmpty():
+        rounds += 1
+        if rounds > 64:
+            raise ValueError("the parents have a cycle")
+        table = todo if known is None else known.union(todo)
+        above = table.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
+        moved = cut_lineage(todo.join(above, "parent", "left").select("id", "parent", "above"))
+        reached = moved.where("above is null").select("id", "parent")
+        known = reached if known is None else known.union(reached)
+        todo = moved.where("above is not null").select("id", F.col("above").alias("parent"))
+    rows = todo if known is None else known
+    return rows.select("id", F.col("parent").alias("root"))

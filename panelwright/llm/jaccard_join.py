@@ -9,8 +9,9 @@ representative; representatives with equal prefixes and sizes are one group, and
 
 1. Each group meets only its neighbour and the first group under a run, and is verified against the one of these that
    shares most of its prefix, which joins the members of a large group of near copies by a number of pairs in proportion to its size.
-2. Then only groups of different components meet. A pair whose shared prefix runs leave room for a link is expanded to
-   members and verified. So no link between components is missed, and copies are never expanded into pairs.
+2. Then only groups of different components meet, under runs that can be the first common one of a link. A pair whose
+   shared prefix runs leave room for a link is expanded to members and verified. So no link between components is
+   missed, and copies are never expanded into pairs. Components are then joined by the links between them.
 
 NULL, empty and wordless texts have empty sets and are linked with nothing. doc_id identifies a text; repeated rows
 repeat in the result."""
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.components import components
+from panelwright.llm.components import components, forest_roots
 from panelwright.llm.words import Words, mixed, pieces, runs, within, words_of
 from panelwright.session import cut_lineage
 
@@ -155,7 +156,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The rows of pairs (a, b, ...) whose whole sets link."""
     pairs = cut_lineage(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
     sets = cut_lineage(sets_of(docs, ids, like.n).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -163,7 +164,7 @@ def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
     b = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("keys_b"))
     rows = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("keys_a", "keys_b"))
-    return rows.where(like.linked(F.size("keys_a"), F.size("keys_b"), common)).select("a", "b")
+    return rows.where(like.linked(F.size("keys_a"), F.size("keys_b"), common)).select(*pairs.columns)
 
 
 def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -178,7 +179,9 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     members = cut_lineage(reps.join(groups.where("members > 1").drop("members"), alike, "left").select("rep", "size", F.coalesce("gid", "rep").alias("gid")))
 
     leaders = members.where("rep = gid").select(F.col("gid").alias("doc_id"))
-    tokens = base.dropDuplicates(["doc_id"]).join(leaders, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "size", F.posexplode("prefix").alias("pos", "token"))
+    heads = base.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = cut_lineage(heads.select(F.col("doc_id").alias("gid"), "size", "prefix"))
+    tokens = heads.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
     under = Window.partitionBy("token").orderBy("size", "gid")
     met = tokens.select(
         "token", "gid", "size", "pos",
@@ -195,10 +198,11 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     # One partner each is enough here: what it leaves apart meets in step 2.
     strong = strong.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("from"))).alias("best")).select((-F.col("best.from")).alias("a"), "b")
     inner = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    links = cut_lineage(verified(docs, strong.union(inner), like))
-    label = components(links)
+    # Every text hangs on one that is earlier by size and id, so these links are a forest.
+    links = verified(docs, strong.union(inner), like)
+    label = forest_roots(links.select(F.col("b").alias("id"), F.col("a").alias("parent")))
 
-    placed = members.join(label, F.col("rep") == F.col("id"), "left").select("rep", "size", "gid", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(label, F.col("rep") == F.col("id"), "left").select("rep", "size", "gid", F.coalesce("root", "rep").alias("component"))
     placed = cut_lineage(placed)
     units = placed.select("gid", "component").distinct()
     rows = met.select("token", "gid", "size", "pos").join(units, "gid")
@@ -206,14 +210,16 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     rows = cut_lineage(rows.join(mixed_runs, "token"))
     one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("gid", "size", "pos", "component")])
     two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("gid", "size", "pos", "component")])
-    # A common run at these places leaves no more common runs than the shorter part before it and the shorter one after.
-    ahead = F.least("pos_a", "pos_b") + 1 + F.least(F.col("size_a") - F.col("pos_a") - 1, F.col("size_b") - F.col("pos_b") - 1)
-    room = ahead >= like.common(F.col("size_a"), F.col("size_b"))
+    # Before the first common run there is none, so from its places on both sets must have room for all common runs.
+    room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= like.common(F.col("size_a"), F.col("size_b"))
     meet = one.join(two, "token").where("component_a < component_b").where(like.sizes_fit(F.col("size_a"), F.col("size_b")) & room)
-    meet = meet.groupBy("gid_a", "component_a", "size_a", "gid_b", "component_b", "size_b").agg(F.count(F.lit(1)).alias("shared"))
+    meet = cut_lineage(meet.select("gid_a", "component_a", "size_a", "gid_b", "component_b", "size_b").distinct())
+    for side in ("a", "b"):
+        meet = meet.join(heads.select(F.col("gid").alias(f"gid_{side}"), F.col("prefix").alias(f"prefix_{side}")), f"gid_{side}")
     # Runs outside the prefix that ends first in the order: no more than these can be common besides the shared ones.
     beyond = F.greatest(*[F.col(c) - like.prefix(F.col(c)) for c in ("size_a", "size_b")])
-    meet = meet.where(F.col("shared") + beyond >= like.common(F.col("size_a"), F.col("size_b"))).select("gid_a", "component_a", "gid_b", "component_b")
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    meet = meet.where(shared + beyond >= like.common(F.col("size_a"), F.col("size_b"))).select("gid_a", "component_a", "gid_b", "component_b")
     several = units.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
     parts = units.join(several, "gid")
     same = parts.select(F.col("gid").alias("gid_a"), F.col("component").alias("component_a")).join(
@@ -222,11 +228,14 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     meet = meet.union(same.where("component_a < component_b").select("gid_a", "component_a", "gid_b", "component_b"))
     a = placed.select(F.col("gid").alias("gid_a"), F.col("component").alias("component_a"), F.col("rep").alias("a"))
     b = placed.select(F.col("gid").alias("gid_b"), F.col("component").alias("component_b"), F.col("rep").alias("b"))
-    pairs = meet.join(a, ["gid_a", "component_a"]).join(b, ["gid_b", "component_b"]).select("a", "b").distinct()
-    more = verified(docs, pairs, like)
-
-    final = components(links.union(more))
-    named = reps.join(final, F.col("rep") == F.col("id"), "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
+    pairs = meet.join(a, ["gid_a", "component_a"]).join(b, ["gid_b", "component_b"]).select("a", "b", "component_a", "component_b").distinct()
+    # Links between components are links of the components themselves.
+    joined = components(verified(docs, pairs, like).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+
+    whole = placed.join(joined.withColumnRenamed("component", "joined"), F.col("component") == F.col("id"), "left")
+    whole = whole.select("rep", F.coalesce("joined", "component").alias("whole"))
+    final = whole.join(whole.groupBy("whole").agg(F.min("rep").alias("component_id")), "whole").select("rep", "component_id")
+    named = reps.join(final, "rep").select(*digest, "component_id")
     # Equal texts by the thousand share one digest: the small side is split over them by adaptive execution.
     out = base.select("doc_id", *digest).join(named, digest, "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -256,6 +256,13 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
 
 
+def test_roots_of_trees(spark):
+    rows = [(i, i - 1) for i in range(1, 100)] + [(i, 50) for i in range(200, 260)] + [(300, 301)]
+    got = {r.id: r.root for r in components.forest_roots(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 100), *range(200, 260)]} | {300: 301}
+    assert components.forest_roots(spark.createDataFrame([], "id long, parent long")).count() == 0
+
+
 @pytest.mark.parametrize("limit,size", [(0, 1 << 24), (10, 300)])
 def test_archives(spark, limit, size):
     trap = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
