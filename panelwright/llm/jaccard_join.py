@@ -9,7 +9,9 @@ representative; representatives with equal prefixes and sizes are one group, and
 
 1. Each group meets only its neighbour and the first group under a run, and is verified against the one of these that
    shares most of its prefix, which joins the members of a large group of near copies by a number of pairs in proportion to its size.
-2. Then only groups of different components meet, under runs that can be the first common one of a link. A pair whose
+2. The same with neighbours of other components in some more orders, drawn by hash: families whose members are linked
+   with many others, but not with that one, become few components, again by a number of pairs in proportion to their size.
+3. Then only groups of different components meet, under runs that can be the first common one of a link. A pair whose
    shared prefix runs leave room for a link is expanded to members and verified. So no link between components is
    missed, and copies are never expanded into pairs. Components are then joined by the links between them.
 
@@ -34,6 +36,8 @@ from panelwright.session import cut_lineage
 SKETCH_BITS = 22  # counters of the sketch: 16 MB whatever the input
 BLOCK = 1 << 14  # counters that are summed together
 FILTER_BITS = 23  # of the filter of ids: 1 MB whatever the input
+ORDERS = 8  # of the groups under a run, in which neighbours are verified before all pairs of components meet
+TURNS = 3  # of drawing and joining
 
 
 @dataclass(frozen=True)
@@ -155,11 +159,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(sets, "doc_id long, keys array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose whole sets link."""
-    pairs = cut_lineage(pairs)
+def sets_of_pairs(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """(doc_id, keys) of the documents in written pairs (a, b)."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-    sets = cut_lineage(sets_of(docs, ids, like.n).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return cut_lineage(sets_of(docs, ids, like.n).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose whole sets link, where both are in sets."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("keys_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("keys_b"))
     rows = pairs.join(a, "a").join(b, "b")
@@ -167,6 +174,61 @@ def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
     return rows.where(like.linked(F.size("keys_a"), F.size("keys_b"), common)).select(*pairs.columns)
 
 
+def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose whole sets link."""
+    pairs = cut_lineage(pairs)
+    return linked_pairs(pairs, sets_of_pairs(docs, pairs, like), like)
+
+
+def possible(pairs: DataFrame, heads: DataFrame, like: Likeness) -> DataFrame:
+    """The rows of pairs (gid_a, size_a, gid_b, size_b, ...) whose prefixes leave room for a link."""
+    rows = cut_lineage(pairs.distinct())
+    for side in ("a", "b"):
+        rows = rows.join(heads.select(F.col("gid").alias(f"gid_{side}"), F.col("prefix").alias(f"prefix_{side}")), f"gid_{side}")
+    # Runs outside the prefix that ends first in the order: no more than these can be common besides the shared ones.
+    beyond = F.greatest(*[F.col(c) - like.prefix(F.col(c)) for c in ("size_a", "size_b")])
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    return rows.where(shared + beyond >= like.common(F.col("size_a"), F.col("size_b"))).select(*pairs.columns)
+
+
+def room(like: Likeness) -> Column:
+    """Before the first common run there is none, so from its places on both sets must have room for all common runs."""
+    return F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= like.common(F.col("size_a"), F.col("size_b"))
+
+
+def drawn_pairs(rows: DataFrame, like: Likeness, turn: int) -> DataFrame:
+    """(a, b, component_a, component_b, gid_a, size_a, gid_b, size_b): each group's best neighbour of another component
+    in each of `ORDERS` orders of the groups under a run."""
+    orders = [Window.partitionBy("token").orderBy(F.xxhash64("gid", F.lit(turn * ORDERS + k)), "gid", "component") for k in range(ORDERS)]
+    unit = F.struct("rep", "gid", "size", "pos", "component")
+    met = rows.select("*", F.array(*[F.lag(unit).over(order) for order in orders]).alias("others"))
+    met = met.select("rep", "gid", "size", "pos", "component", F.posexplode("others").alias("order", "other")).where("other.component <> component")
+    names = ("rep", "gid", "size", "pos", "component")
+    met = met.select("order", *[F.col(c).alias(f"{c}_a") for c in names], *[F.col(f"other.{c}").alias(f"{c}_b") for c in names])
+    met = met.where(like.sizes_fit(F.col("size_a"), F.col("size_b")))
+    other = F.struct(F.col("rep_b").alias("rep"), F.col("gid_b").alias("gid"), F.col("size_b").alias("size"), F.col("component_b").alias("component"))
+    mine = ["order", "rep_a", "gid_a", "size_a", "component_a"]
+    tried = met.groupBy(*mine, other.alias("other")).agg(F.count(F.lit(1)).alias("n"), F.max(room(like)).alias("fits")).where("fits")
+    best = tried.groupBy(*mine).agg(F.max(F.struct("n", "other")).alias("best")).select(*mine, "best.other.*")
+    return best.select(
+        F.col("rep_a").alias("a"), F.col("rep").alias("b"), "component_a", F.col("component").alias("component_b"),
+        "gid_a", "size_a", F.col("gid").alias("gid_b"), F.col("size").alias("size_b"),
+    ).distinct()
+
+
+def relabelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with the component that label (id, component) has for theirs, if any."""
+    label = label.select(F.col("id"), F.col("component").alias("new"))
+    named = rows.join(label, F.col("component") == F.col("id"), "left").withColumn("component", F.coalesce("new", "component"))
+    return cut_lineage(named.select(*rows.columns))
+
+
+def several_components(rows: DataFrame) -> DataFrame:
+    """The rows under runs that have groups of two components or more."""
+    runs_left = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    return cut_lineage(rows.join(runs_left, "token"))
+
+
 def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -195,7 +257,7 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     hubs = hubs.where(F.col("hub").isNotNull() & (F.col("hub.gid") != F.col("gid"))).where(like.sizes_fit(F.col("size"), F.col("hub.size")))
     strong = hubs.groupBy(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"))
     strong = strong.where(F.col("n") * 4 >= like.prefix(F.col("size")))
-    # One partner each is enough here: what it leaves apart meets in step 2.
+    # One partner each is enough here: what it leaves apart meets in steps 2 and 3.
     strong = strong.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("from"))).alias("best")).select((-F.col("best.from")).alias("a"), "b")
     inner = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     # Every text hangs on one that is earlier by size and id, so these links are a forest.
@@ -204,22 +266,23 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
     placed = members.join(label, F.col("rep") == F.col("id"), "left").select("rep", "size", "gid", F.coalesce("root", "rep").alias("component"))
     placed = cut_lineage(placed)
-    units = placed.select("gid", "component").distinct()
-    rows = met.select("token", "gid", "size", "pos").join(units, "gid")
-    mixed_runs = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    rows = cut_lineage(rows.join(mixed_runs, "token"))
+    units = placed.groupBy("gid", "component").agg(F.min("rep").alias("rep"))
+    rows = several_components(met.select("token", "gid", "size", "pos").join(units, "gid"))
+    sets = None
+    for turn in range(TURNS):
+        drawn = cut_lineage(possible(drawn_pairs(rows, like, turn), heads, like))
+        # Texts are read in the first turn only; a pair with a text that is new in a later turn waits for step 3.
+        sets = sets_of_pairs(docs, drawn, like) if sets is None else sets
+        links = linked_pairs(drawn, sets, like).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+        label = components(links)
+        placed, rows = relabelled(placed, label), several_components(relabelled(rows, label))
+
     one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("gid", "size", "pos", "component")])
     two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("gid", "size", "pos", "component")])
-    # Before the first common run there is none, so from its places on both sets must have room for all common runs.
-    room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= like.common(F.col("size_a"), F.col("size_b"))
-    meet = one.join(two, "token").where("component_a < component_b").where(like.sizes_fit(F.col("size_a"), F.col("size_b")) & room)
-    meet = cut_lineage(meet.select("gid_a", "component_a", "size_a", "gid_b", "component_b", "size_b").distinct())
-    for side in ("a", "b"):
-        meet = meet.join(heads.select(F.col("gid").alias(f"gid_{side}"), F.col("prefix").alias(f"prefix_{side}")), f"gid_{side}")
-    # Runs outside the prefix that ends first in the order: no more than these can be common besides the shared ones.
-    beyond = F.greatest(*[F.col(c) - like.prefix(F.col(c)) for c in ("size_a", "size_b")])
-    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    meet = meet.where(shared + beyond >= like.common(F.col("size_a"), F.col("size_b"))).select("gid_a", "component_a", "gid_b", "component_b")
+    meet = one.join(two, "token").where("component_a < component_b").where(like.sizes_fit(F.col("size_a"), F.col("size_b")) & room(like))
+    meet = possible(meet.select("gid_a", "component_a", "size_a", "gid_b", "component_b", "size_b"), heads, like)
+    meet = meet.select("gid_a", "component_a", "gid_b", "component_b")
+    units = placed.select("gid", "component").distinct()
     several = units.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
     parts = units.join(several, "gid")
     same = parts.select(F.col("gid").alias("gid_a"), F.col("component").alias("component_a")).join(
@@ -230,7 +293,8 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     b = placed.select(F.col("gid").alias("gid_b"), F.col("component").alias("component_b"), F.col("rep").alias("b"))
     pairs = meet.join(a, ["gid_a", "component_a"]).join(b, ["gid_b", "component_b"]).select("a", "b", "component_a", "component_b").distinct()
     # Links between components are links of the components themselves.
-    joined = components(verified(docs, pairs, like).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+    more = verified(docs, pairs, like).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    joined = components(more)
 
     whole = placed.join(joined.withColumnRenamed("component", "joined"), F.col("component") == F.col("id"), "left")
     whole = whole.select("rep", F.coalesce("joined", "component").alias("whole"))
