@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -11,39 +12,70 @@ from panelwright.operators.models import TreeSettings, fit_ridge, fit_trees, per
 from panelwright.sources import panels
 
 
-def test_spread_is_top_minus_bottom(spark):
-    df = spark.range(100).select("id", F.lit(1).alias("k"), F.col("id").cast("double").alias("pred"), (F.col("id") / 10).alias("actual"))
-    got = agreement.grouped_spread(df, ["k"], ["id"], "pred", "actual").first()
-    assert np.isclose(got["spread"], 8.0)
-    few = agreement.grouped_spread(df.where("id < 49"), ["k"], ["id"], "pred", "actual").first()
-    assert few["spread"] is None
-
-
-def test_spearman_ignores_missing_pairs_and_needs_twenty(spark):
-    df = spark.range(30).selectExpr("id", "1 as k", "cast(id as double) as x", "case when id > 0 then id * 2d end as y")
-    rho = lambda d: agreement.grouped_spearman(d, ["k"], ["id"], "x", "y").first()
-    assert np.isclose(rho(df)["rho"], 1.0) and rho(df)["n"] == 29
-    assert rho(df.where("id < 10"))["rho"] is None
-
-
-@pytest.fixture(scope="module")
-def fold_panel(spark):
-    rows = [(z, y, True, 0.1 if y <= 2016 else None) for y in range(2000, 2022) for z in range(12)]
-    return spark.createDataFrame(rows, "entity int, origin_year int, group_ok boolean, target_5y double").withColumn("target_1y", F.col("target_5y"))
-
-
-def test_folds_train_only_on_realised_outcomes(fold_panel):
-    folds = evaluation.walk_forward_folds(fold_panel, (1, 5), 2010).toPandas()
-    five = folds[folds["horizon"] == 5].sort_values("test_year")
-    assert five["test_year"].tolist() == list(range(2010, 2017))
-    assert five["n_train"].tolist() == [12 * (y - 5 - 2000 + 1) for y in range(2010, 2017)]
-    one = folds[folds["horizon"] == 1].sort_values("test_year")
-    assert one["n_train"].tolist() == [12 * (y - 2000) for y in range(2010, 2017)]
-    assert (folds["n_test"] == 12).all()
-
-
-def test_baselines_cover_short_and_long_momentum():
-    assert {"momentum_1y", "momentum_5y", "catch_up_price", "catch_up_neighbours", "beta_x_group_trend"} == set(evaluation.baselines())
+def rank_agreement(x, y, least):
+    known = x.notna() & y.notna()
+    if known.sum() < least or x[known].nunique() < 2 or y[known].nunique() < 2:
+        return None
+    return x[known].rank().corr(y[known].rank())
+
+
+def same(got, want):
+    return (pd.isna(got) and pd.isna(want)) or np.isclose(got, want)
+
+
+def test_spread_equals_the_quantile_definition(spark):
+    rng = np.random.default_rng(41)
+    sizes = {"ties": 137, "plain": 90, "flat": 64, "at_least": 50, "too_few": 49}
+    parts = [pd.DataFrame({"k": k, "pred": rng.normal(size=n).round(1 if k == "ties" else 8), "actual": rng.gamma(2.0, size=n)}) for k, n in sizes.items()]
+    pdf = pd.concat(parts, ignore_index=True).assign(id=lambda d: d.index)
+    pdf.loc[pdf["k"] == "flat", "pred"] = 0.25
+    df = spark.createDataFrame(pdf)
+    got = {r["k"]: r["spread"] for r in agreement.grouped_spread(df, ["k"], ["id"], "pred", "actual").collect()}
+    for k, part in pdf.groupby("k"):
+        high, low = part["pred"].quantile(0.8), part["pred"].quantile(0.2)
+        want = part.loc[part["pred"] >= high, "actual"].mean() - part.loc[part["pred"] <= low, "actual"].mean()
+        assert same(got[k], None if k == "too_few" else want), k
+
+
+def test_spearman_counts_complete_pairs_only(spark):
+    rng = np.random.default_rng(42)
+    pdf = pd.DataFrame({"id": range(160), "k": np.repeat(["w", "x", "y", "z"], 40), "a": rng.integers(0, 9, 160) * 1.0, "b": rng.normal(size=160)})
+    pdf.loc[pdf["id"] % 7 == 0, "a"] = None
+    pdf.loc[pdf["id"] % 5 == 1, "b"] = None
+    pdf.loc[pdf["id"].between(40, 69), "b"] = None  # leaves under 20 pairs in x
+    df = spark.createDataFrame(pdf).selectExpr("id", "k", "nullif(a, double('NaN')) as a", "nullif(b, double('NaN')) as b")
+    got = {r["k"]: r for r in agreement.grouped_spearman(df, ["k"], ["id"], "a", "b").collect()}
+    for k, part in pdf.groupby("k"):
+        assert got[k]["n"] == part.dropna().shape[0]
+        assert same(got[k]["rho"], rank_agreement(part["a"], part["b"], 20)), k
+    assert got["x"]["rho"] is None and got["w"]["rho"] is not None
+
+
+def test_folds_equal_a_count_by_hand(spark):
+    rng = np.random.default_rng(43)
+    rows = []
+    for e in range(9):
+        for y in range(1990, 2004):
+            one = None if y == 1999 or rng.random() < 0.2 else float(rng.normal())
+            three = None if y > 2000 or rng.random() < 0.2 else float(rng.normal())
+            rows.append((e, y, bool(rng.random() < 0.8), one, three))
+    df = spark.createDataFrame(rows, "entity int, origin_year int, group_ok boolean, target_1y double, target_3y double")
+    want = {}
+    for place, h in ((3, 1), (4, 3)):
+        used = [r[1] for r in rows if r[2] and r[place] is not None]
+        for t in range(1994, 2004):
+            train, test = sum(y + h <= t for y in used), used.count(t)
+            if train and test:
+                want[h, t] = (train, test)
+    got = {(r["horizon"], r["test_year"]): (r["n_train"], r["n_test"]) for r in evaluation.walk_forward_folds(df, (1, 3), 1994).collect()}
+    assert got == want and (1, 1999) not in got and (3, 2001) not in got
+
+
+def test_rules_are_formulas_of_one_row(spark):
+    row = spark.sql("select 0.3d as mom_2y_rel, -0.1d as mom_4y_rel, 0.7d as level_rel_group, -0.2d as nbr_level_gap, 1.5d as beta, 0.04d as group_mom_2y")
+    got = row.select(*[rule().alias(name) for name, rule in evaluation.baselines(2, 4).items()]).first().asDict()
+    want = {"momentum_2y": 0.3, "momentum_4y": -0.1, "catch_up_price": -0.7, "catch_up_neighbours": 0.2, "beta_x_group_trend": 0.06}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
 
 
 def scores(spark, rows):
@@ -51,46 +83,80 @@ def scores(spark, rows):
     return spark.createDataFrame(rows, schema)
 
 
-def test_summary_counts_wins_only_where_both_were_scored(spark):
+def test_summary_equals_a_comparison_by_hand(spark):
+    rng = np.random.default_rng(44)
+    names = list(evaluation.baselines())
     rows = [
-        (1, "gbm_national", 2010, 0.5, 0.1), (1, "momentum_1y", 2010, 0.2, 0.1), (1, "gbm_national", 2011, 0.1, 0.1),
-        (1, "momentum_1y", 2011, 0.4, 0.1), (1, "gbm_national", 2012, 0.3, 0.1), (1, "gbm_national", 2013, 0.3, 0.1),
-        (1, "momentum_1y", 2013, None, 0.1),
+        (h, m, y, None if rng.random() < 0.25 else float(rng.uniform(-1, 1)), float(rng.uniform(-1, 1)))
+        for h in (1, 2, 3) for m in ["gbm_national", *names[:3]] for y in range(1980, 1993) if rng.random() < 0.9
+        if (h, m) != (3, "gbm_national")
     ]
-    s = evaluation.summarize(scores(spark, rows), list(evaluation.baselines()), draws=50).toPandas().set_index("model")
-    r = s.loc["gbm_national"]
-    assert (r["best_baseline"], r["folds_model_beats_best"], r["folds_compared"], r["n_folds"]) == ("momentum_1y", 1, 2, 4)
-    assert np.isclose(r["gap_vs_best"], 0.0) and s.loc["momentum_1y", "best_baseline"] is None
-
-
-def interval(spark, values, block, draws=2000):
-    rows = [(block, "m", 2000 + i, v, 0.0) for i, v in enumerate(values)]
-    got = evaluation.block_bootstrap(
-        scores(spark, rows), ["horizon"], "spearman_focus", "test_year", F.col("horizon"), draws, 0.9, 7).collect()
+    pdf = pd.DataFrame(rows, columns=["horizon", "model", "year", "focus", "national"])
+    got = evaluation.summarize(scores(spark, rows), names, draws=20).toPandas().set_index(["horizon", "model"])
+    for h, part in pdf.groupby("horizon"):
+        table = part.pivot(index="year", columns="model", values="focus").astype(float)
+        for m in table:
+            assert got.loc[(h, m), "n_folds"] == (part["model"] == m).sum()
+            assert np.isclose(got.loc[(h, m), "spearman_focus_mean"], table[m].mean())
+            assert np.isclose(got.loc[(h, m), "spearman_national_min"], part.loc[part["model"] == m, "national"].min())
+            if m != "gbm_national":
+                assert got.loc[(h, m), "best_baseline"] is None
+        if h == 3:  # the model was not run there
+            continue
+        best = table[names[:3]].mean().idxmax()
+        gap = (table["gbm_national"] - table[best]).dropna()
+        r = got.loc[(h, "gbm_national")]
+        assert r["best_baseline"] == best and r["folds_compared"] == len(gap) and r["folds_model_beats_best"] == (gap > 0).sum()
+        assert np.isclose(r["gap_vs_best"], gap.mean())
+
+
+def interval(spark, values, block, draws=300, seed=19):
+    rows = [(block, "m", 1970 + i, v, 0.0) for i, v in enumerate(values)]
+    table = scores(spark, rows).repartition(3)
+    got = evaluation.block_bootstrap(table, ["horizon"], "spearman_focus", "test_year", F.col("horizon"), draws, 0.8, seed).collect()
     return (got[0]["ci_low"], got[0]["ci_high"]) if got else (None, None)
 
 
-def test_bootstrap_brackets_the_mean_and_needs_two_blocks(spark):
-    noisy = [0.4, -0.3, 0.5, -0.2, 0.3, -0.4, 0.2, -0.1]
-    lo, hi = interval(spark, noisy, 1)
-    assert lo < np.mean(noisy) < hi and lo < 0 < hi
-    steady = [0.30, 0.32, 0.29, 0.31, 0.30, 0.33, 0.28, 0.31]
-    lo, hi = interval(spark, steady, 2)
-    assert 0.27 < lo <= np.mean(steady) <= hi < 0.34
-    assert interval(spark, [0.1, None], 1) == (None, None)
-    assert interval(spark, [float(i) for i in range(7)], 10) == (None, None)
-
-
-def test_within_subgroup_score_ignores_the_spread_between_subgroups(spark):
-    rng = np.random.default_rng(0)
-    n = 40
-    within = rng.normal(size=2 * n)
-    pdf = pd.DataFrame({
-        "entity": range(2 * n), "sub": ["K"] * n + ["B"] * n, "actual": np.r_[within[:n] + 10, within[n:]],
-        "pred": np.r_[within[:n] - 10, within[n:]], "horizon": 1, "test_year": 2015, "model": "m", "in_focus": True})
-    r = evaluation.score(spark.createDataFrame(pdf)).first()
-    assert r["spearman_focus"] < 0 and np.isclose(r["spearman_focus_within_sub"], 1.0)
-    assert r["n_test"] == 80 and r["n_test_focus"] == 80
+def drawn_interval(values, block, draws=300, seed=19):
+    """The same draws one by one: block starts from digests, circular blocks, the mean of as many values as there are."""
+    v = [x for x in values if x is not None]
+    means = []
+    for draw in range(draws):
+        starts = [int(hashlib.md5(f"{seed}|{draw}|{b}".encode()).hexdigest()[:8], 16) for b in range(-(-len(v) // block))]
+        means.append(np.mean([v[(s + k) % len(v)] for s in starts for k in range(block)][: len(v)]))
+    return np.quantile(means, [0.1, 0.9])
+
+
+@pytest.mark.parametrize("block", [1, 3, 5])
+def test_bootstrap_equals_the_draws_one_by_one(spark, block):
+    values = [*np.random.default_rng(45).normal(0.1, 0.3, 11).tolist(), None]
+    np.testing.assert_allclose(interval(spark, values, block), drawn_interval(values, block), atol=1e-12)
+
+
+def test_bootstrap_bounds_at_its_limits(spark):
+    assert np.allclose(interval(spark, [0.625] * 6, 3), 0.625)  # as many values as two blocks hold
+    assert interval(spark, [0.625] * 6, 4) == (None, None)
+    assert interval(spark, [0.1, 0.2, None, None], 1) == (None, None)
+    assert interval(spark, [None, None], 1) == (None, None)
+
+
+def test_scores_equal_each_scope_by_hand(spark):
+    rng = np.random.default_rng(46)
+    n = 260
+    pdf = pd.DataFrame({"horizon": 2, "test_year": 1988, "model": "m", "entity": range(n), "in_focus": rng.random(n) < 0.6,
+                        "sub": rng.choice(["north", "south", "west", "rare"], n, p=[0.4, 0.3, 0.25, 0.05]), "pred": rng.normal(size=n).round(1)})
+    pdf["actual"] = pdf["pred"] * pdf["sub"].map({"north": 1.0, "south": -1.0, "west": 0.3, "rare": 5.0}) + rng.normal(size=n)
+    pdf.loc[pdf["sub"] == "west", "sub"] = None  # without a name they are a subgroup of their own
+    kinds = "horizon int, test_year int, model string, entity int, in_focus boolean, sub string, pred double, actual double"
+    rows = [tuple(None if c == "sub" and pd.isna(x) else x for c, x in zip(pdf.columns, r)) for r in pdf.itertuples(index=False, name=None)]
+    r = evaluation.score(spark.createDataFrame(rows, ", ".join(kinds.split(", ")))).first()
+    focus = pdf[pdf["in_focus"]]
+    within = [rank_agreement(p["pred"], p["actual"], 20) for _, p in focus.groupby(focus["sub"].fillna(""))]
+    assert None in within and sum(x is not None for x in within) == 3
+    assert np.isclose(r["spearman_focus_within_sub"], np.mean([x for x in within if x is not None]))
+    assert np.isclose(r["spearman_national"], rank_agreement(pdf["pred"], pdf["actual"], 20))
+    assert np.isclose(r["spearman_focus"], rank_agreement(focus["pred"], focus["actual"], 20))
+    assert (r["n_test"], r["n_test_focus"]) == (n, len(focus))
 
 
 def test_a_model_without_any_prediction_keeps_its_row(spark):
@@ -100,16 +166,27 @@ def test_a_model_without_any_prediction_keeps_its_row(spark):
     assert r["n_test"] == 30 and r["spearman_national"] is None
 
 
-def test_beta_history_splits_by_direction(spark):
-    rng = np.random.default_rng(1)
-    n = 60
-    beta = rng.uniform(0.5, 1.5, 2 * n)
-    pdf = pd.DataFrame({"entity": range(2 * n), "origin_year": 2015, "grp": ["up"] * n + ["down"] * n, "group_ok": True,
-                        "in_focus": [True] * n + [False] * n, "beta": beta, "fwd_1y": beta * np.r_[np.full(n, 0.1), np.full(n, -0.1)]})
-    pdf["target_1y"] = pdf["fwd_1y"] - pdf.groupby("grp")["fwd_1y"].transform("mean")
-    r = diagnostics.beta_history(spark.createDataFrame(pdf)).first()
-    assert r["beta_spearman_up_groups"] > 0.99 and r["beta_spearman_down_groups"] < -0.99
-    assert r["share_in_rising_groups"] == 0.5 and r["focus_group_growth"] > 0
+def test_beta_history_equals_each_split_by_hand(spark):
+    rng = np.random.default_rng(47)
+    moves = {("p", 1981): 0.06, ("q", 1981): -0.03, ("r", 1981): 0.02, ("p", 1982): -0.01, ("q", 1982): 0.0, ("r", 1982): 0.05}
+    parts = []
+    for (grp, year), move in moves.items():
+        n = 35 if grp == "q" else 27
+        relative = rng.normal(0, 0.02, n)
+        parts.append(pd.DataFrame({"entity": [f"{grp}{i}" for i in range(n)], "origin_year": year, "grp": grp, "group_ok": grp != "r",
+                                   "in_focus": grp == "p", "beta": 1 + 10 * relative + rng.normal(0, 0.3, n), "target_1y": relative, "move": move}))
+    pdf = pd.concat(parts, ignore_index=True)
+    pdf["fwd_1y"] = pdf["target_1y"] + pdf["move"]
+    # Sums of floats: growth that is meant to be 0 is set so exactly.
+    pdf.loc[pdf["move"] == 0, "fwd_1y"] = pdf["target_1y"]
+    got = diagnostics.beta_history(spark.createDataFrame(pdf.drop(columns="move"))).toPandas().set_index("origin_year")
+    for year, part in pdf[pdf["group_ok"]].groupby("origin_year"):
+        r = got.loc[year]
+        for name, rows in {"all": part, "up_groups": part[part["move"] > 0], "down_groups": part[part["move"] < 0], "focus": part[part["in_focus"]]}.items():
+            assert same(r[f"beta_spearman_{name}"], rank_agreement(rows["beta"], rows["target_1y"], 20)), (year, name)
+        assert r["n"] == len(part) and np.isclose(r["share_in_rising_groups"], (part["move"] > 0).mean())
+        assert np.isclose(r["focus_group_growth"], moves["p", year])
+    assert np.isnan(got.loc[1982, "beta_spearman_up_groups"])
 
 
 def test_ablation_summary(spark):
@@ -119,12 +196,14 @@ def test_ablation_summary(spark):
     assert got.loc["b", "changed"] == 0 and np.isnan(got.loc["full", "helped"])
 
 
-def test_a_summary_of_another_panel_is_stale(spark):
-    panel = spark.sql("select explode(array(date'2026-07-31', date'2027-07-31')) as origin")
-    stamped = lambda d: spark.createDataFrame([(1, d)], "horizon int, panel_origin string")
-    assert not evaluation.is_fresh(stamped("2026-07-31"), panel) and evaluation.is_fresh(stamped("2027-07-31"), panel)
-    assert not evaluation.is_fresh(spark.createDataFrame([(1,)], "horizon int"), panel)
-    assert evaluation.is_fresh(evaluation.stamp_origin(spark.createDataFrame([(1,)], "horizon int"), panel), panel)
+def test_a_stamp_holds_until_the_last_origin_moves(spark):
+    panel = spark.sql("select explode(sequence(date'1991-03-31', date'1996-03-31', interval 1 year)) as origin")
+    stamped = evaluation.stamp_origin(spark.range(3), panel)
+    assert evaluation.is_fresh(stamped, panel)
+    assert evaluation.is_fresh(stamped, panel.where("origin > date'1994-01-01'"))  # the beginning does not matter
+    assert not evaluation.is_fresh(stamped, panel.selectExpr("origin + interval 1 year as origin"))
+    assert not evaluation.is_fresh(stamped, panel.where("origin < date'1994-01-01'"))
+    assert not evaluation.is_fresh(stamped.limit(0), panel) and not evaluation.is_fresh(spark.range(3), panel)
 
 
 def ranked(spark, n=40):
