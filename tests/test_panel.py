@@ -17,74 +17,106 @@ def midx(year, month):
 
 
 @pytest.fixture(scope="module")
-def line(spark):
-    """Two entities, monthly 2000-2010; a grows in a line, b is twice a."""
-    months = range(midx(2000, 1), midx(2010, 12) + 1)
-    base = np.linspace(100, 200, len(months))
-    rows = [(e, m, float(k * v)) for m, v in zip(months, base) for e, k in (("a", 1), ("b", 2))]
-    return spark.createDataFrame(rows, "entity string, midx int, value double")
-
-
-def test_origins_use_the_latest_month_and_the_first_year(line):
-    got = [r["origin"] for r in history.origins(line, 2001).orderBy("midx").collect()]
-    assert got[0] == dt.date(2001, 12, 31) and got[-1] == dt.date(2010, 12, 31)
-    assert len(got) == 10
-
-
-def test_lag_and_lead_are_inverse_views_and_missing_months_are_null(line):
-    rows = history.value_history(line, (3, 5), (3,)).where("entity = 'a'").toPandas().set_index("midx")
-    assert np.isclose(rows.loc[midx(2005, 12), "mom_3y"], rows.loc[midx(2002, 12), "fwd_3y"])
-    assert np.isnan(rows.loc[midx(2001, 12), "mom_5y"]) and np.isnan(rows.loc[midx(2008, 12), "fwd_3y"])
-
-
-def test_demean(spark):
-    df = spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 10.0), ("y", 20.0)], "g string, v double")
-    got = groups.demean(df, ["g"], {"d": "v"}).orderBy("v").toPandas()["d"].tolist()
-    assert got == [-1.0, 1.0, -5.0, 5.0]
-
-
-def test_asof_vintage_respects_the_publication_lag(spark):
-    origins = spark.createDataFrame([(2012,), (2013,), (2030,)], "origin_year int")
-    years = spark.createDataFrame([(2011,), (2012,), (2013,)], "vintage int")
-    got = {r["origin_year"]: r["vintage"] for r in vintages.vintage_asof(origins, years, 2).collect()}
-    assert got == {2012: None, 2013: 2011, 2030: 2013}
-
-
-def test_beta_recovers_the_slope_and_needs_enough_years(spark):
-    growth = [0.05, -0.02, 0.08, 0.01, -0.04, 0.06, 0.03] * 2
-    rows = []
-    for name, beta in {"steady": 1.0, "amplifier": 1.8, "damper": 0.2}.items():
-        level = np.cumsum([0, *[beta * g for g in growth]])
-        rows += [(name, midx(2000 + i, 12), float(np.exp(v)), "m", None) for i, v in enumerate(level[:13])]
-    df = spark.createDataFrame(rows, "entity string, midx int, value double, grp string, sub string")
-    opt = PanelOptions(horizons=(1,))
-    series, meta = df.select("entity", "midx", "value"), df.select("entity", "grp", "sub").distinct()
-    base = history.panel_base(history.value_history(series, opt.lags, opt.horizons, 10), history.origins(series), meta)
-    got = groups.group_features(base, opt).toPandas()
-    last = got[got["origin_year"] == 2012].set_index("entity")["beta"]
-    assert last["amplifier"] > 1.4 and last["damper"] < 0.5
-    assert np.isclose(last["steady"], 1.0 / np.mean([1.0, 1.8, 0.2]))
-    assert got[got["origin_year"] == 2004]["beta"].isna().all()
+def walks(spark):
+    """(rows, table): random walks of five entities up to September 1994, an eighth of the months absent."""
+    rng = np.random.default_rng(61)
+    months = range(midx(1985, 4), midx(1994, 9) + 1)
+    level = np.exp(np.cumsum(rng.normal(0, 0.05, (5, len(months))), axis=1))
+    rows = {(f"e{i}", m): float(level[i, j]) for i in range(5) for j, m in enumerate(months) if m == months[-1] or rng.random() > 0.125}
+    return rows, spark.createDataFrame([(e, m, v) for (e, m), v in rows.items()], "entity string, midx int, value double")
+
+
+def test_origins_keep_the_calendar_month_of_the_end(walks):
+    rows, table = walks
+    got = {(r["midx"], r["origin"], r["origin_year"]) for r in history.origins(table, 1988).collect()}
+    held = {m for _, m in rows}
+    assert got == {(midx(y, 9), dt.date(y, 9, 30), y) for y in range(1988, 1995) if midx(y, 9) in held}
+
+
+def test_changes_equal_a_lookup_by_hand(walks):
+    rows, table = walks
+    got = history.value_history(table, (1, 4), (2,), 3).toPandas().set_index(["entity", "midx"])
+    assert set(got.index) == set(rows)
+
+    def change(e, a, b):
+        return np.log(rows[e, b]) - np.log(rows[e, a]) if (e, a) in rows and (e, b) in rows else np.nan
+
+    for (e, m), r in got.iterrows():
+        want = [change(e, m - 12, m), change(e, m - 48, m), change(e, m, m + 24), *[change(e, m - 12 * k - 12, m - 12 * k) for k in range(3)]]
+        np.testing.assert_allclose(r[["mom_1y", "mom_4y", "fwd_2y", "_growth_0", "_growth_1", "_growth_2"]].astype(float), want, atol=1e-12)
+
+
+def test_demean_by_two_keys_leaves_gaps_alone(spark):
+    rng = np.random.default_rng(62)
+    pdf = pd.DataFrame({"id": range(90), "g": rng.integers(0, 4, 90), "h": rng.choice(["u", "v"], 90), "a": rng.normal(size=90), "b": rng.normal(size=90)})
+    pdf.loc[::11, "a"] = None
+    df = spark.createDataFrame(pdf).withColumn("a", F.expr("nullif(a, double('NaN'))"))
+    got = groups.demean(df, ["g", "h"], {"x": "a", "y": "b"}).orderBy("id").toPandas()
+    by = pdf.groupby(["g", "h"])
+    np.testing.assert_allclose(got["x"].astype(float), pdf["a"] - by["a"].transform("mean"), atol=1e-12)
+    np.testing.assert_allclose(got["y"], pdf["b"] - by["b"].transform("mean"), atol=1e-12)
+
+
+@pytest.mark.parametrize("lag", [0, 1, 3])
+def test_asof_vintage_equals_a_search(spark, lag):
+    origins, vintage = [1978, 1980, 1981, 1985, 1999], [1977, 1980, 1982, 1984]
+    table = spark.createDataFrame([(y,) for y in origins], "origin_year int")
+    held = spark.createDataFrame([(y,) for y in vintage * 2], "vintage int")
+    got = {r["origin_year"]: r["vintage"] for r in vintages.vintage_asof(table, held, lag).collect()}
+    assert got == {y: max((v for v in vintage if v <= y - lag), default=None) for y in origins}
+
+
+def test_beta_equals_a_least_squares_line(spark):
+    rng = np.random.default_rng(63)
+    years, entities = range(1970, 1988), [f"{g}{i}" for g in "ab" for i in range(5)]
+    level = {e: np.cumsum(rng.normal(0.02, 0.05, len(years))) for e in entities}
+    value = {(e, y): float(level[e][i]) for e in entities for i, y in enumerate(years) if (e, y) not in {("a1", 1983), ("b3", 1987), ("b0", 1979)}}
+    series = spark.createDataFrame([(e, midx(y, 6), float(np.exp(v))) for (e, y), v in value.items()], "entity string, midx int, value double")
+    meta = spark.createDataFrame([(e, e[0], None) for e in entities], "entity string, grp string, sub string")
+    opt = PanelOptions(horizons=(1,), beta_window=7, beta_min=5)
+    base = history.panel_base(history.value_history(series, opt.lags, opt.horizons, 7), history.origins(series, 1970), meta)
+    got = groups.group_features(base, opt).toPandas().set_index(["entity", "origin_year"])["beta"]
+    assert len(got) == len(value)
+
+    def growth(e, y):
+        return value[e, y] - value[e, y - 1] if (e, y) in value and (e, y - 1) in value else np.nan
+
+    for (e, y), beta in got.items():
+        mates = [m for m in entities if m[0] == e[0] and (m, y) in value]
+        own = np.array([growth(e, y - k) for k in range(7)])
+        table = np.array([[growth(m, y - k) for m in mates] for k in range(7)])
+        mean = np.array([np.nanmean(r) if np.isfinite(r).any() else np.nan for r in table])
+        known = np.isfinite(own) & np.isfinite(mean)
+        want = np.polyfit(mean[known], own[known], 1)[0] if known.sum() >= 5 else np.nan
+        np.testing.assert_allclose(float("nan") if beta is None else beta, want, rtol=1e-8, err_msg=f"{e} {y}")
 
 
 @pytest.mark.parametrize("plan", [SplitPlan(), SplitPlan(3, 16, 2)])
-def test_grouped_spearman_matches_rank_correlation(spark, plan):
-    rng = np.random.default_rng(3)
-    a = rng.normal(size=75).round(1)
-    pdf = pd.DataFrame({"id": range(75), "g": ["big"] * 55 + ["small"] * 15 + ["flat"] * 5, "a": a, "b": a + rng.normal(size=75)})
-    flat = pd.DataFrame({"id": range(75, 105), "g": "constant", "a": 1.0, "b": rng.normal(size=30)})
-    df = spark.createDataFrame(pd.concat([pdf, flat]))
-    got = {r["g"]: r["rho"] for r in agreement.grouped_spearman(df, ["g"], ["id"], "a", "b", 20, plan).collect()}
-    big = pdf[pdf["g"] == "big"]
-    assert np.isclose(got["big"], big["a"].rank().corr(big["b"].rank()))
-    assert got["small"] is None and got["constant"] is None
-
-
-def test_national_median_and_rolling_deviation(spark, line):
-    natl = macro.national_log_median(line)
-    dev = macro.rolling_deviation(natl.withColumn("s", F.lit(1)), "natl", "dev", 12, 6, by=("s",)).orderBy("midx").toPandas()
-    assert np.isclose(dev["natl"].iloc[0], np.log(150.0))
-    want = dev["natl"] - dev["natl"].rolling(12, min_periods=6).mean()
+def test_grouped_spearman_equals_ranks_in_pandas(spark, plan):
+    rng = np.random.default_rng(64)
+    sizes = [7, 8, 23, 61, 110]
+    pdf = pd.DataFrame({"g": np.repeat(range(5), sizes)})
+    pdf["a"] = rng.integers(0, 12, len(pdf)) * 0.5
+    pdf["b"] = rng.poisson(3, len(pdf)) - pdf["g"] * pdf["a"] / 3
+    pdf["id"] = range(len(pdf))
+    pdf.loc[pdf["g"] == 2, "b"] = -4.0
+    got = {r["g"]: r["rho"] for r in agreement.grouped_spearman(spark.createDataFrame(pdf), ["g"], ["id"], "a", "b", 8, plan).collect()}
+    assert got[0] is None and got[2] is None  # too few, and no variation
+    for g in (1, 3, 4):
+        part = pdf[pdf["g"] == g]
+        assert np.isclose(got[g], part["a"].rank().corr(part["b"].rank()))
+
+
+def test_national_median_and_rolling_deviation(spark, walks):
+    rows, table = walks
+    natl = macro.national_log_median(table)
+    dev = macro.rolling_deviation(natl.withColumn("s", F.lit(1)), "natl", "dev", 10, 4, by=("s",)).orderBy("midx").toPandas()
+    months = sorted({m for _, m in rows})
+    median = pd.Series([np.log(np.median([v for (_, k), v in rows.items() if k == m])) for m in months], index=months)
+    assert dev["midx"].tolist() == months
+    np.testing.assert_allclose(dev["natl"].astype(float), median, atol=1e-12)
+    whole = median.reindex(range(months[0], months[-1] + 1))
+    want = (whole - whole.rolling(10, min_periods=4).mean()).loc[months]
     np.testing.assert_allclose(dev["dev"].to_numpy(dtype=float), want.to_numpy(), atol=1e-12)
 
 
@@ -122,17 +154,6 @@ def test_too_few_points_have_no_neighbours(spark):
     assert neighbours.nearest(df, 10, ["key"]).count() == 0
 
 
-def test_feature_groups_split_new_features_from_the_rest():
-    def group(f):
-        return [g for g, member in FEATURE_GROUPS.items() if member(f)]
-
-    assert group("cs_inventory_yoy") == ["listing_tempo"] and group("cs_inv_per_1k_units") == ["listing_tempo"]
-    assert group("cs_mom_1y_rel_sub") == ["subgroup"] and group("cs_sub_level_rel_group") == ["subgroup"]
-    assert group("cs_beta") == ["beta"] and group("rg_rate_change_1y") == ["regime"]
-    for base in ("cs_mom_1y", "cs_level_rel_group", "cs_rent_yield", "cs_log_income"):
-        assert group(base) == []
-
-
 OPT = PanelOptions(lags=(1, 2, 3), rent_lag=1, horizons=(1, 2), beta_window=4, beta_min=3, min_group=5, focus_group="g0",
                    neighbours=3, macro_window=24, macro_min=6, min_pairs=5)
 
@@ -187,6 +208,13 @@ def test_outcomes_never_become_features(panel):
     assert not [c for c in ranked_columns(panel) if c.startswith(("fwd_", "target_", "cs_", "group_", "rg_")) or c.endswith("_rel")]
 
 
+def test_feature_groups_of_a_panel_do_not_overlap(panel):
+    features = model_features(panel)
+    held = {name: {f for f in features if member(f)} for name, member in FEATURE_GROUPS.items()}
+    assert all(held.values()) and sum(map(len, held.values())) == len(set.union(*held.values())) < len(features)
+    assert held["regime"] == {f for f in features if not f.startswith("cs_")} and held["beta"] == {"cs_beta"}
+
+
 def test_features_at_an_origin_do_not_change_when_later_data_arrives(spark, panel):
     earlier = build_panel(world(spark, 2006), OPT)
     cols = ["entity", "origin_year", *[c for c in model_features(earlier) if c in panel.columns]]
