@@ -45,5 +45,4 @@ class EvaluationOptions:
     half_life_years: float = 4.0
     focus_min_rows: int = 500
     bands: int = 20
-    importance_rows: int = 20000
     importance_repeats: int = 3

@@ -69,9 +69,13 @@ def nearest_column(columns: list[str], base: dt.date, days: int = 365) -> str:
 
 
 def outside_forecast(wide: DataFrame, base: dt.date | None = None, key: str = KEY_COLUMN) -> DataFrame:
-    """(entity, forecast_1y_pct): the column nearest to one year after the base date. Reads two columns."""
+    """(entity, forecast_1y_pct): the column nearest to one year after the base date. Reads two columns. Rows with
+    different base dates, or none in the whole table, are an error."""
     if base is None:
-        base = wide.select(F.to_date(BASE_DATE_COLUMN).alias("d")).first()["d"]
+        date = F.to_date(BASE_DATE_COLUMN)
+        base, last = wide.agg(F.min(date), F.max(date)).first()
+        if base is None or base != last:
+            raise ValueError(f"one base date expected, found {base} to {last}")
     column = nearest_column([c for c in wide.columns if c[:2] == "20"], base)
     return wide.select(
         pad_key(F.col(key).cast("string")).alias("entity"),

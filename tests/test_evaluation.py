@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import agreement, diagnostics, evaluation, ranking
 from panelwright.operators.features import ablation_sets
 from panelwright.operators.models import TreeSettings, fit_ridge, fit_trees, permutation_importance, seeded_sample
+from panelwright.operators.positions import SplitPlan
 from panelwright.sources import panels
 
 
@@ -279,10 +280,33 @@ def test_trees_learn_and_importance_finds_the_feature(training):
     assert "cs_dead" not in fitted.features
     got = fitted.predict(df).toPandas()
     assert got["pred"].corr(got["label"]) > 0.8
-    imp = permutation_importance(fitted, df, "label", ["entity", "midx"], max_rows=200, repeats=2).toPandas().set_index("feature")
+    imp = permutation_importance(fitted, df, "label", ["entity", "midx"], repeats=2).toPandas().set_index("feature")
     assert imp["importance_mean"].idxmax() == "cs_a" and imp.loc["cs_a", "importance_mean"] > 0
 
 
+class Doubled:
+    """A model that knows one of its two features."""
+
+    features = ("x", "other")
+
+    def predict(self, df):
+        return df.withColumn("pred", 2 * F.col("x"))
+
+
+def test_importance_shuffles_all_rows_however_they_are_cut(spark):
+    pdf = pd.DataFrame({"entity": range(600), "x": np.arange(600) % 2 * 1.0, "other": np.random.default_rng(48).normal(size=600)})
+    df = spark.createDataFrame(pdf.assign(label=2 * pdf["x"])).withColumn("label", F.expr("if(entity < 40, null, label)"))
+    whole, cut = [
+        permutation_importance(Doubled(), df, "label", ["entity"], repeats=4, plan=plan).toPandas().set_index("feature")
+        for plan in (SplitPlan(), SplitPlan(100, 64, 3))
+    ]
+    pd.testing.assert_frame_equal(whole.sort_index(), cut.sort_index())
+    assert whole.loc["other"].tolist() == [0, 0]
+    # Half of the pairs differ by 1, so half of the errors are 4.
+    assert abs(whole.loc["x", "importance_mean"] - 2) < 0.25 and whole.loc["x", "importance_std"] > 0
+    assert permutation_importance(Doubled(), df.where("label is null"), "label", ["entity"]).count() == 0
+
+
 def test_sample_is_exact_and_repeatable(spark):
     a = seeded_sample(spark.range(1000), ["id"], 100).toPandas()["id"].tolist()
     assert len(a) == 100 and a == seeded_sample(spark.range(1000).repartition(7), ["id"], 100).toPandas()["id"].tolist()

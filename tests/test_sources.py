@@ -42,6 +42,9 @@ def test_outside_forecast_reads_one_year_ahead(spark, tmp_path):
     path = put(tmp_path, "f.csv", "\n".join([head, *lines]) + "\n")
     got = {r["entity"]: r["forecast_1y_pct"] for r in wide.optional_forecast(spark, path).collect()}
     assert got == {**{f"{60 + i:05d}": i + 0.2 for i in range(1, 5)}, "123456": None}
+    mixed = put(tmp_path, "g.csv", "\n".join([head, *lines[:2], lines[2].replace("2031-02-28", "2031-03-31")]) + "\n")
+    with pytest.raises(ValueError):
+        wide.optional_forecast(spark, mixed)
 
 
 def test_nearest_column_takes_the_first_of_a_tie():
