@@ -3,7 +3,9 @@
 Every block of a page is a node with its characters, tags, link characters and link tags. A node's density is its
 characters per tag, adjusted for links; its sum is that of its children's densities. The node with the greatest sum is
 the content, and the least density on its path from the body is the threshold: wherever a node reaches it, the node
-of the greatest sum below is content too. Menus, scripts, notices and the like are no part of the tree.
+of the greatest sum below is content too. Content inside an article or main makes that whole block content, with its
+title, lead paragraph and short sections; without one, the highest block around the content with few links does. The body
+counts only if headings or paragraphs stand directly in it. Menus, scripts, notices and the like are no part of the tree.
 
 NULL or empty pages, and pages without text, give an empty text. Pages are judged one by one; repeated rows repeat."""
 
@@ -36,6 +38,9 @@ NOISE = re.compile(
     r"comments?|commentlist|respond|replies|disqus|cookies?|consent|notice|notification|alert|newsletter|subscribe|signup|social|share|sharing|related|recommended|popup|modal|widget)(?:$|[\s_-])",
     re.I,
 )
+HOLDERS = ("article", "main")
+FEW_LINKS = 10  # characters for each link character, at least
+FLAT = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"}
 
 
@@ -50,7 +55,7 @@ class Node:
 
 
 def _noise(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in DROPPED and not (tag == "header" and _inside(parent, ("article", "main"))):
+    if tag in DROPPED and not (tag == "header" and _inside(parent, HOLDERS)):
         return True
     if tag in ("body", "html", "article", "main"):
         return False
@@ -161,6 +166,33 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _few_links(node: Node) -> bool:
+    return node.link_chars * FEW_LINKS <= node.chars
+
+
+def _holders(under: list[Node]) -> dict[Node, Node]:
+    """For nodes inside an article or main, the outermost; a main with many links gives way to an article in it."""
+    top: dict[Node, Node] = {}
+    article: dict[Node, Node] = {}
+    for node in under:  # parents come first
+        for outer, tags in ((top, HOLDERS), (article, HOLDERS[:1])):
+            if node.parent in outer:
+                outer[node] = outer[node.parent]
+            elif node.tag in tags:
+                outer[node] = node
+    return {n: article[n] if n in article and t.tag == "main" and not _few_links(t) else t for n, t in top.items()}
+
+
+def _wrapper(node: Node, body: Node) -> Node:
+    """The highest block around a node with few links."""
+    found = node
+    while node is not body:
+        node = node.parent
+        if _few_links(node) and (node is not body or any(c.tag in FLAT and c.chars and not c.dropped for c in node.children)):
+            found = node
+    return found
+
+
 def main_text(page: str | None) -> str:
     root, texts = parse(page or "")
     nodes = measure(root)
@@ -182,6 +214,12 @@ def main_text(page: str | None) -> str:
     for node in under:
         if node.density >= threshold and node.chars:
             best[node].content = True
+    holders = _holders(under)
+    for node in under:
+        if node.content and node in holders:
+            holders[node].content = True
+    if best[body] not in holders:
+        _wrapper(best[body], body).content = True
     for node in under:
         if node is not body and node.parent.content:
             node.content = True

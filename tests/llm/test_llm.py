@@ -167,6 +167,27 @@ def test_html_text():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+LONG = "".join(f"<p>{c * 300}</p>" for c in "abcdefghij")
+
+
+def blocks_of(page):
+    return [b if len(b) < 99 else f"{b[0]} {len(b)}" for b in html_text.main_text(page).split("\n")]
+
+
+def test_html_wrapped_paragraphs_keep_title_lead_and_short_sections():
+    head, tail = f"<h1>{'h' * 50}</h1><p class=lead>{'l' * 300}</p>", [f"{c} 300" for c in "abcdefghij"]
+    whole, links = ["h" * 50, "l 300", *tail], "<div>" + "<a href=/>one link</a> " * 60 + "</div>"
+    for tag in ("article", "main"):
+        assert blocks_of(f"<body><nav>menu</nav><{tag}>{head}<div class=entry>{LONG}</div></{tag}>{links}") == whole
+    sections = f"<section><h2>A</h2><p>one</p></section><section><h2>B</h2>{LONG}</section><section><p>two</p></section>"
+    assert blocks_of(f"<body><article><h1>T</h1>{sections}</article>{links}") == ["T", "A", "one", "B", *tail, "two"]
+    assert blocks_of(f"<body><main>{links}<article>{head}<div>{LONG}</div></article></main>") == whole
+    assert blocks_of(f"<body><main><h1>T</h1><article><div>{LONG}</div></article></main>{links}") == ["T", *tail]
+    assert blocks_of(f"<body><div class=page>{head}<div class=entry>{LONG}</div></div>{links}") == whole
+    assert blocks_of(f"<body>{head}<div class=entry>{LONG}</div>") == whole
+    assert blocks_of(f"<body><div>slogan</div><div class=entry>{LONG}</div>{links}") == tail
+
+
 def test_html_query_keeps_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = registry.queries()["op5_html_text"](spark, SF).collect()
