@@ -5,7 +5,8 @@ characters per tag, adjusted for links; its sum is that of its children's densit
 the content, and the least density on its path from the body is the threshold: wherever a node reaches it, the node
 of the greatest sum below is content too. Content inside an article or main makes that whole block content, with its
 title, lead paragraph and short sections; without one, the highest block around the content with few links does. The body
-counts only if headings or paragraphs stand directly in it. Menus, scripts, notices and the like are no part of the tree.
+counts only if headings or paragraphs stand directly in it. Menus, scripts, notices and the like are no part of the tree,
+unless they turn out to hold the page's article or most of its text without links (settle).
 
 NULL or empty pages, and pages without text, give an empty text. Pages are judged one by one; repeated rows repeat."""
 
@@ -38,6 +39,19 @@ NOISE = re.compile(
     r"comments?|commentlist|respond|replies|disqus|cookies?|consent|notice|notification|alert|newsletter|subscribe|signup|social|share|sharing|related|recommended|popup|modal|widget)(?:$|[\s_-])",
     re.I,
 )
+# Layout words of a class that say what stands beside or how, and headers that are a text's own.
+LAYOUT = re.compile(r"(?<!\S)(?:(?:\S*[_-])?(?:has|with|without|no)[_-]\S+|\S+[_-]fixed)(?!\S)", re.I)
+OWN_HEADER = re.compile(r"(?<!\S)(?:post|entry|article|story)[_-]header(?!\S)", re.I)
+HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
+# Noise that is someone else's text, however long, and dropped tags that may stand around a whole page.
+FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|commentlist|respond|replies|disqus|cookies?|consent|newsletter|subscribe|signup|"
+    r"related|recommended|popup|modal)(?:$|[\s_-])",
+    re.I,
+)
+AROUND = {"form", "fieldset", "header", "dialog"}
+KEPT, NOISY, ALIEN, PART, SHUT = range(5)  # noise of layout, of others' text, of a page part, and what is never shown or text
+NEVER = set("head button select option svg canvas object audio video".split())
 HOLDERS = ("article", "main")
 FEW_LINKS = 10  # characters for each link character, at least
 FLAT = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
@@ -45,27 +59,34 @@ NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "content", "dropped")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "content", "noise", "dropped", "mute")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: Node | None, noise: int):
+        self.tag, self.parent, self.children, self.noise, self.dropped = tag, parent, [], noise, KEPT
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.content = False
+        self.content = self.mute = False  # mute: kept for blocks inside it alone
 
 
-def _noise(tag: str, attributes: str, parent: Node) -> bool:
+def _noise(tag: str, attributes: str, parent: Node) -> int:
+    if tag in ("body", "html", *HOLDERS):
+        return KEPT
+    kind = KEPT
     if tag in DROPPED and not (tag == "header" and _inside(parent, HOLDERS)):
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
+        kind = SHUT if tag in NEVER else NOISY if tag in AROUND else PART
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NOISE.search(value) or name == "role" and value in NOISE_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name in ("class", "id") and NOISE.search(value):
+            value = OWN_HEADER.sub(" ", LAYOUT.sub(" ", value))
+            if HEADER.search(value) and _inside(parent, HOLDERS):
+                value = HEADER.sub(" ", value)
+            if NOISE.search(value):
+                kind = max(kind, ALIEN if FOREIGN.search(value) else NOISY)
+        elif name == "role" and value in NOISE_ROLES:
+            kind = max(kind, NOISY if value in ("form", "banner") else PART)
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
+            return SHUT
+    return kind
 
 
 def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
@@ -78,12 +99,12 @@ def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
     """The tree of blocks and, in page order, (block, serial of the stretch without a block border, text)."""
-    root = Node("#root", None, False)
+    root = Node("#root", None, KEPT)
     node, texts, serial, at, links, hidden = root, [], 0, 0, 0, 0
     while True:
         found = TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
-        if text and not node.dropped and not hidden:
+        if text and not hidden:
             texts.append((node, serial, text))
             size = sum(map(len, html.unescape(text).split()))
             node.chars += size
@@ -101,7 +122,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
             continue
         if tag in INLINE or tag in VOID and tag != "hr":
             if tag == "br":
-                if not node.dropped and not hidden:
+                if not hidden:
                     texts.append((node, serial, " "))
             elif tag == "a":
                 links = max(0, links + (-1 if closing else 1))
@@ -130,12 +151,64 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
             up = up.parent
         node.tags += 1
         if tag != "hr":
-            child = Node(tag, node, node.dropped or _noise(tag, found[3], node))
+            child = Node(tag, node, _noise(tag, found[3], node))
             node.children.append(child)
             if not found[3].rstrip().endswith("/"):
                 node = child
 
 
+def settle(root: Node) -> None:
+    """Which blocks are dropped. A noisy block stays if an article or main in it has more text than those outside of noise,
+    or if it holds most of the page's text without links. Only where no article or main with text is kept, others' text may
+    stay for the second reason, and an article or main ends a drop around it. What is never shown stays out."""
+    nodes, todo = [], [(root, False)]
+    clear = set()  # blocks with no noise around them
+    while todo:
+        node, noisy = todo.pop()
+        noisy = noisy or node.noise != KEPT
+        if node.noise != SHUT:
+            nodes.append(node)
+            if not noisy:
+                clear.add(node)
+            todo.extend((child, noisy) for child in node.children)
+        else:
+            _drop(node)
+    if len(clear) == len(nodes):
+        return
+    whole: dict[Node, int] = {}  # characters without links, and of those the ones outside of noise
+    clean: dict[Node, int] = {}
+    article: dict[Node, int] = {}  # of the article or main with most of them
+    for node in reversed(nodes):
+        inner = [c for c in node.children if c.noise != SHUT]
+        own = node.chars - node.link_chars
+        whole[node] = own + sum(whole[c] for c in inner)
+        clean[node] = own + sum(clean[c] for c in inner if c.noise == KEPT)
+        article[node] = max([article[c] for c in inner] + [clean[node] if node.tag in HOLDERS else 0])
+    outside = max((clean[n] for n in clear if n.tag in HOLDERS), default=0)
+    for last in (False, True):
+        for node in nodes:  # parents come first
+            stays = node.noise == KEPT or 2 * whole[node] > whole[root] and (node.noise == NOISY or last and node.noise == ALIEN)
+            stays = stays or node.noise == NOISY and article[node] > outside
+            around = node.parent.dropped if node.parent else KEPT
+            node.dropped = KEPT if last and node.tag in HOLDERS else around or (KEPT if stays else node.noise)
+        if any(not n.dropped and n.tag in HOLDERS and clean[n] for n in nodes):
+            break
+    for node in nodes:
+        up = node.parent
+        while node.tag in HOLDERS and not node.dropped and up.dropped:
+            up.dropped, up.mute = KEPT, True
+            up.chars = up.link_chars = up.tags = up.link_tags = 0
+            up = up.parent
+
+
+def _drop(node: Node) -> None:
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        node.dropped = SHUT
+        todo.extend(node.children)
+
+
 def _in_order(root: Node) -> list[Node]:
     nodes, todo = [], [root]
     while todo:
@@ -195,6 +268,7 @@ def _wrapper(node: Node, body: Node) -> Node:
 
 def main_text(page: str | None) -> str:
     root, texts = parse(page or "")
+    settle(root)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     under = _in_order(body)
@@ -225,7 +299,7 @@ def main_text(page: str | None) -> str:
             node.content = True
     blocks: dict[int, list[str]] = {}
     for node, serial, text in texts:
-        if node.content and not node.dropped:
+        if node.content and not node.dropped and not node.mute:
             blocks.setdefault(serial, []).append(text)
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

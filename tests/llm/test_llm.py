@@ -188,6 +188,34 @@ def test_html_wrapped_paragraphs_keep_title_lead_and_short_sections():
     assert blocks_of(f"<body><div>slogan</div><div class=entry>{LONG}</div>{links}") == tail
 
 
+def test_html_layout_words_and_wrappers_keep_the_page():
+    whole = ["T", *[f"{c} 300" for c in "abcdefghij"]]
+    text = f"<h1>T</h1>{LONG}"
+    noise = "<nav>menu</nav><div class=sidebar>side</div><div id=comments><article>Reader says</article></div><footer>foot</footer>"
+    wrappers = ["div class='layout with-sidebar'", "div class='site header-fixed'", "div class='has-menu page'", "div class=no-sidebar",
+                "div class='page page--has-widget'", "div class=right-sidebar", "div id=widget", "form", "form class=menu", "div role=form"]
+    for w in wrappers:
+        end = w.split()[0]
+        for inner in (f"<article>{text}</article>", f"<main>{text}</main>", f"<div>{text}</div>"):
+            assert blocks_of(f"<body><{w}>{inner}{noise if '<div>' not in inner else ''}</{end}>") == whole, (w, inner[:9])
+        assert blocks_of(f"<body><form><{w}><article>{text}</article></{end}></form>{noise}") == whole, w
+    assert blocks_of(f"<body><main><form>{text}</form></main>{noise}") == whole
+    assert blocks_of(f"<body><aside><article>{text}</article>side</aside>") == whole
+    for name in ("post-header", "entry-header", "header"):
+        assert blocks_of(f"<body><article><div class='{name}'><h1>T</h1></div>{LONG}</article>{noise}") == whole, name
+    assert blocks_of(f"<body><div class=post><div class=post-header><h1>T</h1></div>{LONG}</div>") == whole
+
+
+def test_html_noise_is_still_dropped():
+    for noise in (
+        f"<div id=comments><article>{LONG}</article></div>", f"<section class=cookie-consent>{LONG}</section>", f"<aside>{LONG}</aside>",
+        "<div class=sidebar><article>teaser</article></div>", "<div class='header header-fixed'>top</div>", f"<div hidden><main>{LONG}</main></div>",
+    ):
+        assert blocks_of(f"<body>{noise}<article><h1>T</h1><p>Some text.</p></article>") == ["T", "Some text."], noise
+        assert blocks_of(f"<body><article><h1>T</h1><p>Some text.</p></article>{noise}") == ["T", "Some text."], noise
+    assert html_text.main_text(f"<body><div hidden><main>{LONG}</main></div><nav>menu</nav>") == ""
+
+
 def test_html_query_keeps_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = registry.queries()["op5_html_text"](spark, SF).collect()
