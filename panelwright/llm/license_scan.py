@@ -1,6 +1,6 @@
 """License scans by canonical digests.
 
-A text is normalised (case, equivalent spellings, copyright lines, punctuation, white space) and its digest is joined to
+A text is normalised (case, equivalent spellings, versions and lead-ins, copyright lines, punctuation, white space) and its digest is joined to
 the digests of known licences, normalised alike. A document is a licence if its entire text is one; lines of other
 documents that are a known notice are reported as well, without a shuffle of texts.
 
@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm import license_table
+
 MAX_KNOWN = 10_000  # licences, so that their digests may go to every task
 
-# Public licence texts and the notices that stand for them.
+# Public licence texts and the notices that stand for them; license_table has the others.
 KNOWN = {
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -48,18 +50,35 @@ KNOWN = {
 # Equivalent spellings, after lower-casing.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("favour", "favor"),
-    ("organisation", "organization"), ("per cent", "percent"), ("whilst", "while"),
+    ("organisation", "organization"), ("per cent", "percent"), ("whilst", "while"), ("http://", "https://"),
+)
+# Lines that say whose the copyright is; a wrapped line of a licence's own text may begin with the word as well.
+COPYRIGHT = (
+    r"(?m)^[\s#*/;-]*(?:copyright\b(?![\s\"'”.,-]*(?:holders?|notices?|and|laws?|line|owners?|ownership|disclaimers?|permissions?|on|interests?|treaty|"
+    r"licen[sc]es?|also|if|are|is|in|to|or|of|statement|doctrines|patent|like|those|the (?:software|program|library))\b)|"
+    r"\(c\)\s*(?:copyright|[\d<\[])|©)[^\n]*$|^[\s#*/;-]*all rights reserved\W*$"
+)
+# Equivalent wordings of a normalised text: whose name may not be used, "version 3" = "v3.0" = "3", and what leads in a notice.
+WORDINGS = (
+    (r"neither the names? of (?:\S+ ){1,12}?nor the names of", "neither the name of the holder nor the names of"),
+    (r"\bv(?:ersion|er)? ?(\d+)\b", "$1"),
+    (r"\b(\d+) 0\b", "$1"),
+    (r"^(?:(?:except where otherwise noted |unless otherwise stated )?(?:this|the|all) (?:\S+ ){1,4}?(?:is|are) )?"
+     r"(?:(?:licensed|released|distributed|published|provided|available|made available|shared) under |subject to (?=(?:the )?terms ))"
+     r"(?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?", "licensed under "),
 )
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, letters and digits only, single spaces."""
+    """Lower case, no copyright lines, one spelling, letters and digits only, single spaces, one wording."""
     out = F.lower(text)
-    out = F.regexp_replace(out, r"(?m)^[\s#*/;-]*(?:copyright\b|\(c\)|©)[^\n]*$", "")
+    out = F.regexp_replace(out, COPYRIGHT, "")
     for other, one in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(one))
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
-    return F.trim(out)
+    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    for other, one in WORDINGS:
+        out = F.regexp_replace(out, other, one)
+    return out
 
 
 def digest(text: Column) -> Column:
@@ -70,7 +89,8 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
     """(license, digest), one row per digest."""
-    rows = spark.createDataFrame(list((KNOWN if known is None else known).items()), "license string, text string")
+    listed = license_table.texts(KNOWN) + license_table.notices() if known is None else list(known.items())
+    rows = spark.createDataFrame(listed, "license string, text string")
     rows = rows.select("license", digest(F.col("text")).alias("digest")).where("digest is not null")
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
 

@@ -112,6 +112,39 @@ def test_license_scan(spark):
     assert [r.n_notice_lines for r in rows] == [0, 0, 0, 1, 0, 0, 0]
 
 
+def test_license_texts_and_notices(spark):
+    import textwrap
+
+    listed = license_scan.license_table.FOLDER
+    body = (listed / "BSD-3-Clause.txt").read_text().split("\n", 2)[2]
+    bsd3 = body.replace("the copyright holder nor", "Some Group, Inc. nor").replace("COPYRIGHT\nHOLDER OR", "COPYRIGHT OWNER OR")
+    gpl, apache = (listed / "GPL-3.0.txt").read_text(), (listed / "Apache-2.0.txt").read_text()
+    wrapped = {n: "\n\n".join(textwrap.fill(x, n, break_long_words=False) for x in license_scan.KNOWN["MIT"].split("\n")) for n in range(13, 80, 4)}
+    assert any(re.search("(?m)^copyright notice", x) for x in wrapped.values())
+    whole = [
+        *[("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 A\nAll rights reserved.\n\n{x}") for x in wrapped.values()],
+        ("BSD-3-Clause", f"Copyright 2020 A. All rights reserved.\n\n{bsd3}"), ("BSD-3-Clause", re.sub(r"(?m)^[123]\.", "*", body)),
+        ("GPL-3.0", gpl), ("GPL-3.0", gpl[: gpl.index("How to Apply")]), ("Apache-2.0", apache.replace("http:", "https:")),
+        ("Apache-2.0", apache[: apache.index("APPENDIX")]),
+        *[(n, (listed / f"{n}.txt").read_text()) for n in ("BSD-2-Clause", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0", "GPL-2.0")],
+        (None, gpl + "More."), (None, bsd3.replace("SHALL", "MAY")),
+    ]
+    rows = license_scan.scan(docs_of(spark, [t for _, t in whole]), license_scan.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [(i, r.license) for i, r in enumerate(rows)] == [(i, n) for i, (n, _) in enumerate(whole)]
+    notices = [
+        ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License v3.0."),
+        ("GPL-3.0", "This program is distributed under the terms of the GPLv3"), ("GPL-2.0-or-later", "Released under the GNU GPL v2 or later."),
+        ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("CC-BY-SA-3.0", "All text is available under the Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+        ("MIT", "Released under the MIT Licence."), ("MIT", "# SPDX-License-Identifier: MIT"), ("Apache-2.0", "The code is released under Apache 2.0"),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        (None, "Licensed under a Local Licence, version 3."), (None, "This work is licensed"), (None, "All rights reserved."), (None, "version 3"),
+    ]
+    rows = license_scan.scan(docs_of(spark, [t for _, t in notices]), license_scan.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == [n and f"{n} notice" for n, _ in notices]
+    assert [r.n_notice_lines for r in rows] == [int(n is not None) for n, _ in notices]
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = registry.queries()["op3_quality_classifier"](spark, sf)
