@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import views as V
 from checks.sqltext import bootstrap_block, pct, r, spearman, sql
 from panelwright.operators import agreement, diagnostics, evaluation, ranking
-from panelwright.operators.models import TreeSettings, fit_ridge, seeded_sample
+from panelwright.operators.models import TreeSettings, seeded_sample
 from panelwright.plans import evaluate as plan
 from panelwright.plans.panel import add_ranks
 from panelwright.session import cut_lineage
@@ -321,11 +321,11 @@ def _(spark, sf):
 # ---------------------------------------------------------------- fitted models (no SQL)
 
 
-def model_panel(spark, sf):
+def model_panel(spark, sf, horizons=(1,)):
     from panelwright.operators.signs import add_trailing_signs
 
     base = V.written_panel(spark, sf)
-    return cut_lineage(add_ranks(cut_lineage(add_trailing_signs(base, base)), (1,)))
+    return cut_lineage(add_ranks(cut_lineage(add_trailing_signs(base, base)), horizons))
 
 
 @query("m_model_scores")
@@ -353,7 +353,6 @@ def _(spark, sf):
 
 @query("m_ridge_predictions")
 def _(spark, sf):
-    rows = model_panel(spark, sf)
-    train, test = plan.fold_rows(rows, 1, 2000)
-    fitted = fit_ridge(train, plan.model_features(rows), "target_1y_pct")
-    return fitted.predict(test).select("entity", "pred")
+    rows = model_panel(spark, sf, V.EVAL.horizons)
+    parts = [plan.model_predictions(rows, h, V.EVAL, models=("ridge_national",)) for h in V.EVAL.horizons]
+    return plan._union(p for p in parts if p is not None).select("entity", "horizon", "test_year", "pred")

@@ -315,3 +315,15 @@ def test_sample_is_exact_and_repeatable(spark):
 def test_ablation_sets_drop_one_group_each():
     sets = ablation_sets(["cs_beta", "rg_x", "cs_mom_1y", "cs_inventory_yoy"])
     assert sets["without_beta"] == ["rg_x", "cs_mom_1y", "cs_inventory_yoy"] and sets["without_all_groups"] == ["cs_mom_1y"]
+
+
+def test_ridge_query_has_every_horizon_and_fold(spark):
+    import __spark_entry__ as registry
+    from checks import views
+    from panelwright.plans import evaluate as plan
+
+    sf = "/root/testdata/sf0.01"
+    rows = registry.queries()["m_ridge_predictions"](spark, sf)
+    panel = views.written_panel(spark, sf)
+    want = {(h, y) for h in views.EVAL.horizons for y in plan.fold_list(panel, h, views.EVAL.first_test_year)}
+    assert {(r.horizon, r.test_year) for r in rows.select("horizon", "test_year").distinct().collect()} == want and len(want) > 4
