@@ -3,7 +3,8 @@ benchmark decontamination and the mix of sources.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last give the columns of `documents`. NULL and empty texts fail the quality rules; a document
-whose words all repeat earlier ones stays with the text that is left, and the mix takes nothing from it."""
+whose words all repeat earlier ones stays with the text that is left, and the mix takes nothing from it. Near duplicates
+leave out documents with a NULL doc_id, which cannot be told from one another; op4 and op6 by themselves keep them."""
 
 from __future__ import annotations
 

@@ -6,8 +6,9 @@ stored. A phrase's occurrences are its rarest term's postings, shifted by the te
 second term's shifted postings also hold and whose words are the phrase's.
 
 NULL or wordless texts have no words and no hits; a test without words gives no phrase, one with fewer words than a
-window is one phrase. doc_id identifies a document; repeated rows repeat in the result. Tables of terms and phrases are
-sent to all tasks only if a count shows them to be small, and shuffled otherwise."""
+window is one phrase. doc_id identifies a document; repeated rows repeat in the result. Rows with a NULL doc_id count as one
+document: all of them have the hits of any. Tables of terms and phrases are sent to all tasks only if a count shows them
+to be small, and shuffled otherwise."""
 
 from __future__ import annotations
 
@@ -75,7 +76,7 @@ def exact_matches(index: DataFrame, chosen: DataFrame) -> DataFrame:
     first = first.where((F.col("start") >= F.col("from")) & (F.slice("around", F.greatest(F.col("start") - F.col("from") + 1, F.lit(1)), F.size("terms")) == F.col("terms")))
     first = first.select("doc_id", "start", "terms", "term_2", (F.col("start") + F.col("off_2")).alias("pos_2"))
     second = index.select(F.col("doc_id").alias("__d"), F.col("term").alias("__t"), F.col("pos").alias("__p"))
-    held = (F.col("doc_id") == F.col("__d")) & (F.col("term_2") == F.col("__t")) & (F.col("pos_2") == F.col("__p"))
+    held = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("term_2") == F.col("__t")) & (F.col("pos_2") == F.col("__p"))
     return first.join(second, held, "left_semi").select("doc_id", "start", "terms")
 
 
@@ -101,7 +102,9 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> Da
     items = found.select("doc_id", "terms").distinct().join(owners, "terms").select("doc_id", F.explode("items").alias("item")).distinct()
     items = items.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     rows = docs.select("doc_id", F.size(words("text")).cast("long").alias("n_words"))
-    rows = rows.join(hit.join(items, "doc_id"), "doc_id", "left")
+    items = items.select(F.col("doc_id").alias("__item_doc"), "items")
+    found = hit.withColumnRenamed("doc_id", "__hit_doc").join(items, F.col("__hit_doc").eqNullSafe(F.col("__item_doc")))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__hit_doc")), "left")
     none = F.array().cast("array<string>")
     return rows.select(
         "doc_id",

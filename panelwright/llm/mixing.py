@@ -6,9 +6,9 @@ whole epochs, and the rest of its target is filled with documents in the order o
 into ranges, sums of ranges give each range its offset, and a running sum inside a range places each document. The
 document in which the budget ends gives only its first words, so a source's mix ends exactly at its budget.
 
-NULL and empty texts have size 0 and give nothing; a source without words has target 0. Ties in keys are broken by
-doc_id, and equal rows of one doc_id by nothing: they have equal sizes and one of them comes first. No source is ever
-held by one task: the number of ranges grows with its documents."""
+A document with a NULL doc_id is keyed by its size, so that those of one size are alike. NULL and empty texts have size 0
+and give nothing; a source without words has target 0. Ties in keys are broken by doc_id, and equal rows of one doc_id by
+nothing: they have equal sizes and one of them comes first. No source is ever held by one task: the number of ranges grows with its documents."""
 
 from __future__ import annotations
 
@@ -63,7 +63,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def key(seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string")))
+    """Hash of doc_id, or of the size where that is NULL."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))))
 
 
 def mix(sized: DataFrame, goals: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -187,6 +187,28 @@ def test_mix_meets_targets(spark):
         assert rs[0].target == pytest.approx(goal[s]) and sum(r.taken for r in rs) == int(rs[0].target + 1e-9)
 
 
+def test_mix_takes_documents_without_id(spark):
+    texts = ["a b c", "d e", "f", "g h i j", None, "k l"]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 2, F.col("doc_id")))
+    rows = mixing.mix_documents(docs, range_rows=2).collect()
+    assert sorted(r.size for r in rows) == [0, 1, 2, 2, 3, 4]
+    assert sum(r.taken for r in rows) == int(rows[0].target) and rows[0].source_size == 12
+    sized, goals = mixing.sizes(docs), spark.createDataFrame([("s", 12, 6, 7.0)], "source string, source_size long, n_docs long, target double")
+    assert sum(r.taken for r in mixing.mix(sized, goals, range_rows=2).collect()) == 7
+
+
+def test_decontamination_of_documents_without_id(spark):
+    tests = spark.createDataFrame([(1, "t1 t2 t3")], "item_id long, text string")
+    docs = docs_of(spark, ["x t1 t2 t3", "t1 t2", "a t1 t2 t3"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.decontaminate(docs, tests).collect()}
+    assert got == {None: (3, 1, True), 1: (0, 0, False), 2: (3, 1, True)}
+
+
+def test_pipeline_leaves_out_documents_without_id(spark):
+    docs = docs_of(spark, ["one two three four five six", "seven eight nine ten eleven twelve"]).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(0)))
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [1]
+
+
 def test_html_text():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body class='x'><nav><ul><li><a href=/>menu</a></ul></nav><header>top</header>"
