@@ -1,11 +1,25 @@
-"""The ten operators as queries on the test tables, with DuckDB SQL where SQL can express them."""
+"""The operators as queries on the test tables, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from checks.folder import ready
-from panelwright.llm import chat, decontamination, html_text, jaccard_join, license_scan, mixing, quality_model, quality_rules, repeated_phrases, warc
+from panelwright.llm import (
+    chat,
+    conversation_repair,
+    decontamination,
+    html_text,
+    jaccard_join,
+    license_scan,
+    merkle,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    repeated_phrases,
+    warc,
+)
 from panelwright.llm.registry import O, Q, query  # noqa: F401
 from panelwright.session import tune
 
@@ -233,3 +247,187 @@ def op3(spark, sf):
 @query("op2_license_scan")
 def op2(spark, sf):
     return license_scan.scan(table(spark, sf, "documents"), license_scan.known_licenses(spark))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text; the CTE crc must stand beside it."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::bigint)"
+    step = "xor(c >> 8, crc.steps[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+CRC = """
+    crc as (
+      select list(c order by n) as steps from (
+        select n, list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from range(256) as r(n)))"""
+
+
+def damaged(rows):
+    """Conversation rows as the contract damages them, by CRC-32 of `conv_id:turn`."""
+    text = F.coalesce("text", F.lit(" "))
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("damage"))
+    rows = rows.where("damage != 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("damage") == 3, 1).otherwise(0))))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def _least(*candidates: str) -> str:
+    return f"list_sort(list_filter([{', '.join(candidates)}], lambda x: x is not null))[1]"
+
+
+def _edit(place: str, cost: str, audit: str, line: str, when: str = "true") -> str:
+    """The best edits up to `place`, and one more; a line is what they add to the repaired text."""
+    return f"case when {place} is not null and {when} then struct_pack(c := {place}.c + {cost}, a := {place}.a || '{audit}', t := {place}.t || {line}) end"
+
+
+_KEPT, _U, _A = "chr(10) || role || ':' || text", "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_FREE, _STAYS = "not forced", "case when cut then 5 else 0 end"
+
+
+def _reach(own: str, near: tuple, initial: str, new: str, far: tuple, between: str) -> str:
+    """The best edits that end on a user (or assistant) row: from places before it, and over one inserted row."""
+    found = [_edit(own, "2", "D", "''")]
+    for p in near:
+        found.append(_edit(p, _STAYS, "K", _KEPT, f"{_FREE} and initial = '{initial}'"))
+        found.append(_edit(p, f"1 + {_STAYS}", "R", f"{new} || text", _FREE))
+    for p in far:
+        found.append(_edit(p, f"5 + {_STAYS}", "IK", f"{between} || {_KEPT}", f"{_FREE} and initial = '{initial}'"))
+        found.append(_edit(p, f"6 + {_STAYS}", "IR", f"{between} || {new} || text", _FREE))
+    return _least(*found)
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+    with recursive {CRC},
+    hit as (
+      select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32_sql("key")} % 20 as d
+      from (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations), crc
+    ),
+    rows as (
+      select conv_id, turn, case when d = 4 then 'user' else role end as role,
+        case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+      from hit, range(2) as twice(copy) where d <> 0 and (copy = 0 or d = 3)
+    ),
+    placed as (
+      select *, row_number() over (partition by conv_id, role, text order by r) as nth
+      from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as r from rows)
+    ),
+    marked as (
+      select *, role[1:1] as initial, not regexp_matches(text, '[^ 	-
+]') as blank,
+        not regexp_matches(text, '[.!?][ 	-
+]*$') as open_end,
+        lag(role[1:1]) over (partition by conv_id order by r) || role[1:1] as pair
+      from placed
+    ),
+    judged as (select *, blank or nth > 1 as forced, open_end and not blank and nth = 1 as cut from marked),
+    steps(conv_id, r, p0, p1, p2, p3) as (
+      select conv_id, 0::bigint, struct_pack(c := 0::bigint, a := '', t := ''), null::struct(c bigint, a varchar, t varchar),
+        null::struct(c bigint, a varchar, t varchar), null::struct(c bigint, a varchar, t varchar)
+      from (select distinct conv_id from judged)
+      union all
+      select s.conv_id, j.r,
+        {_edit("p0", "2", "D", "''")},
+        {_least(_edit("p1", "2", "D", "''"), _edit("p0", _STAYS, "K", _KEPT, f"{_FREE} and initial = 's'"))},
+        {_reach("p2", ("p0", "p1", "p3"), "u", _U, ("p2",), _A)},
+        {_reach("p3", ("p2",), "a", _A, ("p0", "p1", "p3"), _U)}
+      from steps s join judged j on s.conv_id is not distinct from j.conv_id and j.r = s.r + 1
+    ),
+    ended as (
+      select conv_id, {_least("p0", _edit("p1", "10", "II", f"{_U} || {_A}"), _edit("p2", "5", "I", _A), "p3")} as best
+      from steps s where r = (select max(r) from judged j where j.conv_id is not distinct from s.conv_id)
+    ),
+    counts as (
+      select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+        count(*) filter (where blank)::bigint as blank, count(*) filter (where not blank and nth > 1)::bigint as duplicate,
+        count(*) filter (where cut)::bigint as truncated,
+        count(*) filter (where r > 1 and pair not in ('su', 'ua', 'au'))::bigint as illegal
+      from judged group by conv_id
+    )
+    select ids.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+      coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost,
+      coalesce(best.a, '') as audit, sha256(coalesce(substr(best.t, 2), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) ids
+    left join counts on ids.conv_id is not distinct from counts.conv_id
+    left join ended on ids.conv_id is not distinct from ended.conv_id
+    """,
+)
+def op11(spark, sf):
+    rows = table(spark, sf, "conversations")
+    return conversation_repair.with_empty(conversation_repair.report(damaged(rows)), rows)
+
+
+@query("op12_sum_of_squares_packing")
+def op12(spark, sf):
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"{c}::varchar" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f})::varchar || ':' || {f}, '-')" for f in fields) + ")"
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+    with recursive {CRC},
+    leaves as materialized (
+      select doc_id, lang, leaf, case when changed then {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} else leaf end as now,
+        row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n
+      from (select *, {_leaf_sql("text")} as leaf, coalesce({crc32_sql("doc_id::varchar")} % 3 = 0, false) as changed from documents, crc)
+    ),
+    nodes(level, lang, i, n, h) as (
+      select 0, lang, i, n, leaf from leaves
+      union all
+      select level + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from nodes where n > 1 group by level, lang, i // 8, n
+    ),
+    subroots as materialized (
+      select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as j, count(*) over () as m from nodes where n = 1
+    ),
+    tops(level, i, n, h) as (
+      select 0, j, m, subroot from subroots
+      union all
+      select level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from tops where n > 1 group by level, i // 8, n
+    ),
+    ranked as materialized (select l.*, subroot, j, row_number() over (order by l.lang nulls first, i) as k from leaves l join subroots s on l.lang is not distinct from s.lang),
+    low(k, level, lang, i, n, h) as (
+      select k, 0, lang, i, n, now from ranked
+      union all
+      select f.k, f.level + 1, any_value(f.lang), any_value(f.i // 8), any_value((f.n + 7) // 8), sha256(string_agg(case when o.i = f.i then f.h else o.h end, '' order by o.i))
+      from low f join nodes o on o.level = f.level and o.lang is not distinct from f.lang and o.i // 8 = f.i // 8
+      where f.n > 1 group by f.k, f.level
+    ),
+    high(k, level, i, n, h) as (
+      select low.k, 0, j, m, h from low join ranked using (k) join subroots using (j) where low.n = 1
+      union all
+      select f.k, f.level + 1, any_value(f.i // 8), any_value((f.n + 7) // 8), sha256(string_agg(case when o.i = f.i then f.h else o.h end, '' order by o.i))
+      from high f join tops o on o.level = f.level and o.i // 8 = f.i // 8
+      where f.n > 1 group by f.k, f.level
+    ),
+    beside as (
+      select low.k, 0 as part, o.level, o.i, o.h from low join nodes o on o.level = low.level and o.lang is not distinct from low.lang and o.i // 8 = low.i // 8 and o.i <> low.i
+      union all
+      select high.k, 1, o.level, o.i, o.h from high join tops o on o.level = high.level and o.i // 8 = high.i // 8 and o.i <> high.i
+    ),
+    proofs as (select k, string_agg(h, '' order by part, level, i) as proof from beside group by k)
+    select doc_id, leaf, subroot, tops.h as root, sha256(coalesce(proof, '')) as proof_sha256, high.h as folded_root, high.h = tops.h as verified
+    from ranked join high using (k) left join proofs using (k), tops where high.n = 1 and tops.n = 1
+    """,
+)
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    fields = [F.col(c) for c in merkle.FIELDS[:-1]]
+    changed = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    later = F.when(changed, merkle.leaf_of(*fields, F.translate("text", _UPPER, _LOWER)))
+    leaves = docs.select(F.col("lang").alias("grp"), F.col("doc_id").alias("id"), merkle.leaf_of(*fields, F.col("text")).alias("digest"), later.alias("later"))
+    rows = merkle.manifest(leaves)
+    return rows.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
