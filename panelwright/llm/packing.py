@@ -16,7 +16,10 @@ not looked at; a long text is encoded as a whole."""
 
 from __future__ import annotations
 
+import os
+import re
 import unicodedata
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -35,8 +38,14 @@ END_ID = 0
 # The published splitting pattern of byte-level BPE vocabularies (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The same for texts whose characters are all among PLAIN: there the classes of `re`, which is faster, mean the same.
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+PLAIN = r"\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€"
+
 # Words whose ids are remembered by a worker; then it starts anew.
 REMEMBERED = 1_000_000
+# Characters whose words are held at once.
+PART = 1 << 20
 
 PIECES = pa.schema(
     [
@@ -51,11 +60,11 @@ PIECES = pa.schema(
 )
 
 
-class Ids(dict):
-    """Ids of a text as little-endian unsigned 32-bit numbers, by a byte-level BPE file of `tokenizers`.
+class Ids:
+    """Ids of texts as little-endian unsigned 32-bit numbers, by a byte-level BPE file of `tokenizers`.
 
     Such a vocabulary encodes the words of its splitting pattern one by one, so each word is encoded once. Code points
-    that are newer than this Python's Unicode tables can be split in another way by the library; a text with one goes
+    that are newer than this Python's Unicode tables can be split in another way by the library; what holds one goes
     through it whole. Strings of special tokens are ordinary text."""
 
     def __init__(self, file: str):
@@ -63,31 +72,63 @@ class Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.words = regex.compile(SPLIT).findall
-        self.later = regex.compile(r"[^\x00-\u0557]").search
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        held = self[word] = self.whole(word)
-        return held
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def of(self, text: str) -> bytes:
-        if self.later(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.words(text)))
+        self.known: dict[str, bytes] = {}
+        self.split, self.plain_split = regex.compile(SPLIT).findall, re.compile(PLAIN_SPLIT).findall
+        self.other = re.compile(f"[^{PLAIN}]").search
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        found: list[list[bytes]] = [[] for _ in texts]
+        waiting, held = [], 0
+        for i, text in enumerate(texts):
+            for part in parts_of(text):
+                waiting.append((found[i], self.words(part)))
+                held += len(part)
+                if held >= PART:
+                    self.look_up(waiting)
+                    waiting, held = [], 0
+        self.look_up(waiting)
+        return [b"".join(f) for f in found]
+
+    def words(self, part: str) -> list[str]:
+        if not self.other(part):
+            return self.plain_split(part)
+        if any(unicodedata.category(c) == "Cn" for c in set(part)):
+            return [part]
+        return self.split(part)
+
+    def look_up(self, waiting: list[tuple[list[bytes], list[str]]]) -> None:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*(words for _, words in waiting)).difference(self.known))
+        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[word] = array("I", code.ids).tobytes()
+        for found, words in waiting:
+            found.append(b"".join(map(self.known.__getitem__, words)))
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """A long text in parts of about PART characters, cut before single spaces, where a new word begins in any case."""
+    begin = 0
+    while len(text) - begin > PART:
+        cut = text.find(" ", begin + PART)
+        while cut > 0 and (cut + 1 == len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[begin:cut]
+        begin = cut
+    yield text[begin:]
 
 
 _loaded: dict[str, Ids] = {}
 
 
-def ids_of(file: str) -> Callable[[str], bytes]:
+def ids_of(file: str) -> Callable[[list[str]], list[bytes]]:
     if file not in _loaded:
+        # One core per task: Spark runs as many tasks as there are cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _loaded[file] = Ids(file)
-    return _loaded[file].of
+    return _loaded[file].of_all
 
 
 class Levels:
@@ -200,7 +241,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
 
         for batch in text_pieces(batches):
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            rows = [r for doc, t in zip(batch.column("doc_id").to_pylist(), texts) for r in packer.add(doc, encode(t) + end)]
+            rows = [r for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)) for r in packer.add(doc, ids + end)]
             if rows:
                 yield batch_of(rows)
         rows = list(packer.end())

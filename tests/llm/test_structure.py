@@ -160,6 +160,21 @@ def test_packing_round_trip_without_padding(spark):
         assert short <= 10 * parts
 
 
+def test_plain_words_are_the_words_of_the_pattern(monkeypatch):
+    monkeypatch.setattr(packing, "PART", 5)
+    ids, tokenizer = packing.Ids(FILE), Tokenizer.from_file(FILE)
+    plain = [chr(c) for c in range(0x3000) if not ids.other(chr(c))]
+    assert len(plain) > 500
+    for c in plain:
+        text = f"a{c}b1{c}2 {c}{c} .{c}._{c}_\n{c} '{c}"
+        assert ids.plain_split(text) == ids.split(text), hex(ord(c))
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b c", " ", "\n", "é", "don't", "漢", "1", ".", "\xa0", "\u2028"]) for _ in range(60))
+        assert "".join(packing.parts_of(text)) == text
+        assert np.frombuffer(ids.of_all([text])[0], dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = queries.Q["op12_sum_of_squares_packing"](spark, sf).collect()
