@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,5 +42,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     For a table that several later steps read: they then scan only the columns they need, nothing upstream is
     computed twice, and a lost executor costs no more than its own part of the scan."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/panelwright-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Paths that were written while a `settle` is under way, the outermost first.
+_open: list[list[str]] = []
+
+
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, written; the tables written on the way are removed, as nothing reads them any more.
+
+    For steps whose result is far smaller than what they write in between. The result must not be computed before
+    `make` returns it, and `make` must give away no other table."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        df = make()
+        _open.pop()
+        result = cut_lineage(df)
+    except BaseException:
+        if made in _open:
+            _open.remove(made)
+        raise
+    spark = df.sparkSession
+    for path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return result
