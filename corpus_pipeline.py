@@ -3,8 +3,10 @@ benchmark decontamination and the mix of sources.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last give the columns of `documents`. NULL and empty texts fail the quality rules; a document
-whose words all repeat earlier ones stays with the text that is left, and the mix takes nothing from it. Near duplicates
-leave out documents with a NULL doc_id, which cannot be told from one another; op4 and op6 by themselves keep them."""
+whose words all repeat earlier ones stays with the text that is left, and the mix takes nothing from it. Documents with a
+NULL doc_id are near duplicates of nothing and stay, until the mix, which joins by doc_id, leaves them out; rows of one
+doc_id stay or go together. What a stage decides is
+written as a small table, and the tables made on the way to it are removed."""
 
 from __future__ import annotations
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from panelwright.llm import decontamination, jaccard_join, mixing, quality_rules, repeated_phrases
 from panelwright.llm.queries import O as _O
 from panelwright.llm.queries import contamination_sql, jaccard_sql, repeats_sql, table
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LIKENESS = jaccard_join.Likeness(n=5, percent=80)
@@ -29,21 +31,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of linked documents."""
-    linked = jaccard_join.link_components(docs, LIKENESS)
-    first = linked.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    first = settle(lambda: jaccard_join.link_components(docs.where("doc_id is not null"), LIKENESS).where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(first, "doc_id", "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 13 words and more that an earlier document has."""
-    kept = repeated_phrases.remove_ranges(docs, repeated_phrases.removal_ranges(docs))
+    kept = repeated_phrases.remove_ranges(docs, settle(lambda: repeated_phrases.removal_ranges(docs)))
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    marked = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(marked.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=row)
+    return marked.where("not contaminated").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +84,7 @@ with s1 as materialized (
 ),
 s2 as materialized (
   select * from s1 where doc_id in (
-    select doc_id from (with recursive {jaccard_sql(LIKENESS.n, LIKENESS.percent, "s1")} select * from joined) where component_id = doc_id)
+    select doc_id from (with recursive {jaccard_sql(LIKENESS.n, LIKENESS.percent, "s1")} select * from joined) where component_id = doc_id) or doc_id is null
 ),
 s3 as materialized (
   with {repeats_sql("s2")},

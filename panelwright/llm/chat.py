@@ -2,7 +2,9 @@
 
 A template is any function from a list of (role, text) to a string. Successive prefixes of a conversation are
 rendered; the text that a turn adds to the output before it is the turn's span. A template whose longer output does not
-start with the shorter one rewrites history; such a conversation is marked and has no spans, so no loss mask.
+start with the shorter one rewrites history; such a conversation is marked and has no spans, so no loss mask. The loss
+mask too comes from renderings alone: an assistant turn is rendered with two other texts, and what those have in common
+is the template's. A template that strips a text gives the mask of what is left of it.
 
 The template here marks turns with control strings and escapes those strings inside texts reversibly. A NULL text is
 empty, a NULL role is the empty role, turns with equal numbers are ordered by role and text, repeated rows are turns of
@@ -68,19 +70,44 @@ def turn_spans(turns: Turns, template: Template = chat_template) -> tuple[str, l
     return done, spans
 
 
-def loss_spans(formatted: str, turns: Turns, spans: list[tuple[int, int]], escaped: Callable[[str], str] = escape) -> list[tuple[int, int]]:
-    """Inside each assistant turn, the part that its text became. The last place counts: the role stands before it."""
+# Two texts that share no character, so what two renderings with them have in common is the template's own.
+MARKERS = ("\ue000", "\ue001")
+
+
+def _common(a: str, b: str, backwards: bool = False) -> int:
+    """Length of the common beginning (or end) of two strings."""
+    if backwards:
+        a, b = a[::-1], b[::-1]
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
+
+
+def loss_spans(turns: Turns, spans: list[tuple[int, int]], template: Template = chat_template) -> list[tuple[int, int]] | None:
+    """Inside each assistant turn, the part that its text became, found by rendering the turn with other texts.
+
+    What stays when the text changes is the template's: the part before the text and the part behind it. None if the turn
+    does not begin and end with them, so that the text's place cannot be told."""
     out = []
-    for (role, text), (begin, end) in zip(turns, spans):
-        if role == "assistant":
-            body = escaped(text)
-            at = formatted.rindex(body, begin, end) if body else end
-            out.append((at, at + len(body)))
+    for n, ((role, _), (begin, end)) in enumerate(zip(turns, spans)):
+        if role != "assistant":
+            continue
+        one, two = (template([*turns[:n], (role, m)]) for m in MARKERS)
+        now = template(turns[: n + 1])
+        head = _common(one, two)
+        tail = _common(one[head:], two[head:], backwards=True)
+        if not (begin <= head and head + tail <= len(now) == end and now[:head] == one[:head] and now.endswith(one[len(one) - tail :])):
+            return None
+        out.append((head, end - tail))
     return out
 
 
 def format_conversations(rows: DataFrame, template: Template = chat_template) -> DataFrame:
-    """(conv_id, formatted, spans, loss_spans, rewrites) from rows of (conv_id, turn, role, text)."""
+    """(conv_id, formatted, spans, loss_spans, rewrites) from rows of (conv_id, turn, role, text).
+
+    loss_spans is NULL where the template hides the place of an assistant text."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     pair = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -95,7 +122,8 @@ def format_conversations(rows: DataFrame, template: Template = chat_template) ->
                 texts.append(formatted)
                 rewrites.append(found is None)
                 spans.append([{"begin": a, "end": b} for a, b in found or []])
-                losses.append([{"begin": a, "end": b} for a, b in loss_spans(formatted, pairs, found or [])])
+                places = loss_spans(pairs, found, template) if found else []
+                losses.append(None if places is None else [{"begin": a, "end": b} for a, b in places])
             yield pa.record_batch(
                 [pa.array(ids, type=pa.int64()), pa.array(texts, type=pa.string()), pa.array(spans, type=pair), pa.array(losses, type=pair), pa.array(rewrites, type=pa.bool_())],
                 names=["conv_id", "formatted", "spans", "loss_spans", "rewrites"],
@@ -113,7 +141,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             rows = []
             for conv, text, losses in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 turns = read_back(text)
-                loss = "".join(unescape(text[s["begin"] : s["end"]]) for s in losses)
+                loss = "".join(unescape(text[s["begin"] : s["end"]]) for s in losses or [])
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 rows.append(
                     {

@@ -6,8 +6,8 @@ stored. A phrase's occurrences are its rarest term's postings, shifted by the te
 second term's shifted postings also hold and whose words are the phrase's.
 
 NULL or wordless texts have no words and no hits; a test without words gives no phrase, one with fewer words than a
-window is one phrase. doc_id identifies a document; repeated rows repeat in the result. Rows with a NULL doc_id count as one
-document: all of them have the hits of any. Tables of terms and phrases are sent to all tasks only if a count shows them
+window is one phrase. A document is a row: doc_id and a hash of the text tell rows apart, so rows with a NULL or repeated
+doc_id have their own hits and equal rows have equal ones. Columns other than doc_id and text are not looked at. Tables of terms and phrases are sent to all tasks only if a count shows them
 to be small, and shuffled otherwise."""
 
 from __future__ import annotations
@@ -41,10 +41,15 @@ def phrases(tests: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("terms"))
 
 
+def document() -> Column:
+    """What a row's postings are kept under; NULL fields of structs are equal to one another."""
+    return F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc")
+
+
 def positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, w, pos, term)."""
-    rows = docs.select("doc_id", words("text").alias("w"))
-    return rows.select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    """(doc, w, pos, term)."""
+    rows = docs.select(document(), words("text").alias("w"))
+    return rows.select("doc", "w", F.posexplode("w").alias("pos", "term"))
 
 
 def rarest_terms(listed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -59,58 +64,58 @@ def rarest_terms(listed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def store_index(docs: DataFrame, chosen: DataFrame, radius: int) -> DataFrame:
-    """(term, doc_id, pos, around, from): postings of the chosen terms; `around` are the words from place `from`, up to
+    """(term, doc, pos, around, from): postings of the chosen terms; `around` are the words from place `from`, up to
     `radius` on both sides of a term that is the rarest of some phrase."""
     terms = chosen.select(F.col("term_1").alias("term"), F.lit(True).alias("rarest")).union(chosen.select("term_2", F.lit(False)))
     terms = terms.groupBy("term").agg(F.max("rarest").alias("rarest"))
     begin = F.greatest(F.col("pos") - radius, F.lit(0))
     around = F.when(F.col("rarest"), F.slice("w", begin + 1, F.col("pos") - begin + radius + 1))
     rows = positions(docs).join(small(terms), "term")
-    return cut_lineage(rows.select("term", "doc_id", "pos", around.alias("around"), begin.alias("from")))
+    return cut_lineage(rows.select("term", "doc", "pos", around.alias("around"), begin.alias("from")))
 
 
 def exact_matches(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, start, terms): every occurrence of every chosen phrase."""
+    """(doc, start, terms): every occurrence of every chosen phrase."""
     first = index.where("around is not null").join(chosen, F.col("term") == F.col("term_1"))
     first = first.withColumn("start", F.col("pos") - F.col("off_1"))
     first = first.where((F.col("start") >= F.col("from")) & (F.slice("around", F.greatest(F.col("start") - F.col("from") + 1, F.lit(1)), F.size("terms")) == F.col("terms")))
-    first = first.select("doc_id", "start", "terms", "term_2", (F.col("start") + F.col("off_2")).alias("pos_2"))
-    second = index.select(F.col("doc_id").alias("__d"), F.col("term").alias("__t"), F.col("pos").alias("__p"))
-    held = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("term_2") == F.col("__t")) & (F.col("pos_2") == F.col("__p"))
-    return first.join(second, held, "left_semi").select("doc_id", "start", "terms")
+    first = first.select("doc", "start", "terms", "term_2", (F.col("start") + F.col("off_2")).alias("pos_2"))
+    second = index.select(F.col("doc").alias("__d"), F.col("term").alias("__t"), F.col("pos").alias("__p"))
+    held = (F.col("doc") == F.col("__d")) & (F.col("term_2") == F.col("__t")) & (F.col("pos_2") == F.col("__p"))
+    return first.join(second, held, "left_semi").select("doc", "start", "terms")
 
 
 def near_matches(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, pos, terms): places of a phrase's rarest term that have all its other terms around them, in any order,
+    """(doc, pos, terms): places of a phrase's rarest term that have all its other terms around them, in any order,
     within the radius of the index."""
     rows = index.where("around is not null").join(chosen, F.col("term") == F.col("term_1"))
-    return rows.where(F.size(F.array_except("terms", "around")) == 0).select("doc_id", "pos", "terms")
+    return rows.where(F.size(F.array_except("terms", "around")) == 0).select("doc", "pos", "terms")
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
+def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, keep: Column | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document; `keep`, of docs, goes with it."""
     listed = cut_lineage(phrases(tests, window))
     chosen = small(rarest_terms(listed, docs))
     found = cut_lineage(exact_matches(store_index(docs, chosen, window - 1), chosen).distinct())
     hit = (
-        found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.size("terms") - 1)).alias("place"))
+        found.select("doc", F.explode(F.sequence("start", F.col("start") + F.size("terms") - 1)).alias("place"))
         .distinct()
-        .groupBy("doc_id")
+        .groupBy("doc")
         .agg(F.count(F.lit(1)).alias("n_hit"))
     )
     owners = listed.groupBy("terms").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    items = found.select("doc_id", "terms").distinct().join(owners, "terms").select("doc_id", F.explode("items").alias("item")).distinct()
-    items = items.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    rows = docs.select("doc_id", F.size(words("text")).cast("long").alias("n_words"))
-    items = items.select(F.col("doc_id").alias("__item_doc"), "items")
-    found = hit.withColumnRenamed("doc_id", "__hit_doc").join(items, F.col("__hit_doc").eqNullSafe(F.col("__item_doc")))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__hit_doc")), "left")
+    items = found.select("doc", "terms").distinct().join(owners, "terms").select("doc", F.explode("items").alias("item")).distinct()
+    items = items.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    kept = [] if keep is None else [keep]
+    rows = docs.select(document(), F.size(words("text")).cast("long").alias("n_words"), *kept)
+    rows = rows.join(hit.join(items, "doc"), "doc", "left")
     none = F.array().cast("array<string>")
     return rows.select(
-        "doc_id",
+        "doc.doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *rows.columns[2 : 2 + len(kept)],
     )

@@ -230,7 +230,9 @@ def several_components(rows: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
+
+    Rows of one doc_id are one document in links, also if their texts differ; each row keeps its own size."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     base = cut_lineage(profiles(docs, like))
     digest = ["size", "set_a", "set_b"]
@@ -299,6 +301,7 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     whole = placed.join(joined.withColumnRenamed("component", "joined"), F.col("component") == F.col("id"), "left")
     whole = whole.select("rep", F.coalesce("joined", "component").alias("whole"))
     final = whole.join(whole.groupBy("whole").agg(F.min("rep").alias("component_id")), "whole").select("rep", "component_id")
+    final = final.groupBy("rep").agg(F.min("component_id").alias("component_id"))
     named = reps.join(final, "rep").select(*digest, "component_id")
     # Equal texts by the thousand share one digest: the small side is split over them by adaptive execution.
     out = base.select("doc_id", *digest).join(named, digest, "left")

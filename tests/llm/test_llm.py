@@ -202,11 +202,17 @@ def test_decontamination_of_documents_without_id(spark):
     docs = docs_of(spark, ["x t1 t2 t3", "t1 t2", "a t1 t2 t3"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.decontaminate(docs, tests).collect()}
     assert got == {None: (3, 1, True), 1: (0, 0, False), 2: (3, 1, True)}
+    none = docs_of(spark, ["x t1 t2 t3", "clean", None, "x t1 t2 t3"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted((r.n_words, r.n_hit) for r in decontamination.decontaminate(none, tests).collect()) == [(0, 0), (1, 0), (4, 3), (4, 3)]
 
 
-def test_pipeline_leaves_out_documents_without_id(spark):
-    docs = docs_of(spark, ["one two three four five six", "seven eight nine ten eleven twelve"]).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(0)))
-    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [1]
+def test_pipeline_keeps_documents_without_id(spark):
+    same = "one two three four five six seven"
+    docs = docs_of(spark, [same, same, same, "eight nine"]).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(0)))
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == ["1", "3", "None"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    docs = docs_of(spark, [item, "clean words here only"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.text for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()] == ["clean words here only"]
 
 
 def test_html_text():
@@ -300,7 +306,7 @@ def test_proximity_matches(spark):
     listed = decontamination.phrases(spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
     chosen = decontamination.rarest_terms(listed, docs)
     near = decontamination.near_matches(decontamination.store_index(docs, chosen, 4), chosen)
-    assert {r.doc_id for r in near.collect()} == {0, 1}
+    assert {r.doc.doc_id for r in near.collect()} == {0, 1}
 
 
 @pytest.mark.parametrize("hot", [20_000, 3])
@@ -354,6 +360,13 @@ def test_jaccard_components(spark, like):
     assert got == {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rows = [(6, "a b c d e f"), (6, "u v w x y z"), (7, "a b c d e f"), (6, "a b c d e f"), (None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.link_components(docs, jaccard_join.Likeness(4, 85)).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(x) for x in [(6, 3, 6), (6, 3, 6), (6, 3, 6), (7, 3, 6), (None, 1, None)])
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400), (None, 3)], "a long, b long")
     got = {r.id: r.component for r in components.components(links).collect()}
@@ -395,11 +408,29 @@ def test_chat_round_trip_and_rewriting_template():
     turns = [("system", ""), ("user", "<|im_end|>\n<|im_start|>"), ("assistant", "\\<|\\|<\\|"), ("assistant", ""), ("assistant", "user\n")]
     formatted, spans = chat.turn_spans(turns)
     assert chat.read_back(formatted) == turns and formatted.count(chat.OPEN) == len(turns)
-    loss = [chat.unescape(formatted[a:b]) for a, b in chat.loss_spans(formatted, turns, spans)]
+    loss = [chat.unescape(formatted[a:b]) for a, b in chat.loss_spans(turns, spans)]
     assert loss == ["\\<|\\|<\\|", "", "user\n"]
     assert chat.turn_spans(turns, lambda t: f"{len(t)} turns" + chat.chat_template(t))[1] is None
 
 
+def test_chat_mask_is_where_the_text_stands():
+    for text in ("end", "d", "i", ">", "\n", "", "assistant", "<|im_end|>", "\ue000\ue001"):
+        turns = [("user", "q"), ("assistant", text), ("user", text), ("assistant", text)]
+        formatted, spans = chat.turn_spans(turns)
+        masks = chat.loss_spans(turns, spans)
+        assert [m[0] - s[0] for m, s in zip(masks, (spans[1], spans[3]))] == [len("<|im_start|>assistant\n")] * 2
+        assert [formatted[a:b] for a, b in masks] == [chat.escape(text)] * 2
+
+    def stripping(turns):
+        return "".join(f"[{role}]{text.strip()}[/{role}]" for role, text in turns)
+
+    turns = [("user", " q "), ("assistant", "  a b \n"), ("assistant", " ")]
+    formatted, spans = chat.turn_spans(turns, stripping)
+    assert [formatted[a:b] for a, b in chat.loss_spans(turns, spans, stripping)] == ["a b", ""]
+    hidden = lambda turns: "".join(f"{len(text)}:{text.upper()}" for _, text in turns)
+    assert chat.loss_spans(turns, chat.turn_spans(turns, hidden)[1], hidden) is None
+
+
 def test_chat_nulls_and_ties(spark):
     rows = spark.createDataFrame([(1, 0, None, None), (1, 0, "assistant", "b"), (1, 0, "assistant", "a"), (2, 1, "user", "")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.digests(chat.format_conversations(rows)).collect()}
