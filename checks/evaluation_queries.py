@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import views as V
-from checks.sqltext import bootstrap_block, pct, r, spearman, sql
-from panelwright.operators import agreement, diagnostics, evaluation, ranking
+from checks.sqltext import BLOCKS, HORIZONS, bootstrap_block, pct, r, spearman, sql
+from panelwright.operators import agreement, diagnostics, evaluation, gram, neighbours, ranking
 from panelwright.operators.models import TreeSettings, seeded_sample
 from panelwright.plans import evaluate as plan
+from panelwright.plans import fits
 from panelwright.plans.panel import add_ranks
 from panelwright.session import cut_lineage
 from panelwright.sources import panels
@@ -330,8 +333,11 @@ def model_panel(spark, sf, horizons=(1,)):
 
 @query("m_model_scores")
 def _(spark, sf):
-    rows = model_panel(spark, sf)
-    preds = plan.model_predictions(rows, 1, V.EVAL, SMALL_TREES)
+    """A run that is stopped after its first tree fit and taken up again."""
+    rows, opt = model_panel(spark, sf), replace(V.EVAL, horizons=(1,))
+    run = plan.new_run(spark)
+    fits.run_fits(run, rows, replace(opt, first_test_year=2000), SMALL_TREES, (fits.TREES[0], fits.RIDGE))
+    preds = plan.model_predictions(rows, opt, SMALL_TREES, run=run)
     return evaluation.score(cut_lineage(preds))
 
 
@@ -354,5 +360,40 @@ def _(spark, sf):
 @query("m_ridge_predictions")
 def _(spark, sf):
     rows = model_panel(spark, sf, V.EVAL.horizons)
-    parts = [plan.model_predictions(rows, h, V.EVAL, models=("ridge_national",)) for h in V.EVAL.horizons]
-    return plan._union(p for p in parts if p is not None).select("entity", "horizon", "test_year", "pred")
+    preds = plan.model_predictions(rows, V.EVAL, models=(fits.RIDGE,))
+    return preds.select("entity", "horizon", "test_year", "pred")
+
+
+RANKED = ("log_value", "mom_1y", "mom_2y", "mom_3y", "level_rel_group", "beta", "level_rel_sub", "sub_level_rel_group", "mom_1y_rel_sub")
+_trained = " union all ".join(
+    f"select {h} as horizon, yr, '{f}' as feature, {f} as v from ridge_panel where group_ok and target_{h}y is not null" for h in HORIZONS for f in RANKED
+)
+
+
+@query("m_ridge_folds", sql(f"""
+    select {_fold}, cast(n_train as bigint) as n_train, 'cs_' || feature as feature, {r('median(v)', 'median')},
+      {r('avg(coalesce(v, m))', 'mean')}, {r('stddev_pop(coalesce(v, m))', 'deviation')}, 0.0::double as residual
+    from (select *, median(v) over (partition by horizon, test_year, feature) as m from cells)
+    group by horizon, test_year, n_train, feature having min(v) < max(v)""",
+    ridge_panel=f"select yr, group_ok, {', '.join(f'target_{h}y' for h in HORIZONS)}, {', '.join(pct(f, 'yr, grp') + ' as ' + f for f in RANKED)} from panel",
+    trained=_trained,
+    cells="select f.horizon, f.test_year, f.n_train, t.feature, t.v from folds f join trained t on t.horizon = f.horizon and t.yr <= f.test_year - f.horizon",
+))
+def _(spark, sf):
+    """Medians, means and deviations of each fold's training rows, and how far its weights are from the optimum (0)."""
+    rows = model_panel(spark, sf, V.EVAL.horizons)
+    found = gram.ridge_folds(rows, [f"cs_{c}" for c in RANKED], V.EVAL.horizons, V.EVAL.first_test_year)
+    parts = F.explode(F.arrays_zip(F.col("features").alias("feature"), "median", "mean", "deviation")).alias("f")
+    cells = found.select("horizon", "test_year", "n_train", "residual", parts)
+    return V.rounded(cells.select("horizon", "test_year", "n_train", "f.feature", "f.median", "f.mean", "f.deviation", "residual"))
+
+
+@query("e_evaluate", sql(f"""select {_fold}, model, {_metrics}, cast(n_test as integer) as n_test, cast(n_test_focus as integer) as n_test_focus,
+    cast(n_train as bigint) as n_train from scores join (select horizon, test_year, n_train from folds) using (horizon, test_year)""",
+    rules4=BLOCKS["rules4"] + """ union all select t.entity, t.test_year, t.sub, t.in_focus, t.horizon, t.actual, 'catch_up_neighbours', -g.nbr_level_gap
+      from targets t left join nbr_gaps g on g.entity = t.entity and g.yr = t.test_year"""))
+def _(spark, sf):
+    """Every rule over every horizon and fold, from a panel with the neighbours' gaps."""
+    rows = V.written_panel(spark, sf)
+    gaps = cut_lineage(neighbours.neighbour_gaps(rows, V.points(spark, sf), V.OPT.neighbours, "mom_3y"))
+    return V.rounded(plan.evaluate(rows.join(gaps, ["entity", "midx"], "left"), V.EVAL, long=3))

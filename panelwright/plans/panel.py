@@ -111,7 +111,7 @@ def add_sources(panel: DataFrame, inputs: PanelInputs, opt: PanelOptions, plan:
     ids = ["entity", "midx"]
     months = None
     if inputs.rate is not None and inputs.rent_index is not None:
-        months = regime(inputs.series, inputs.rate, inputs.rent_index, opt.macro_window, opt.macro_min, plan)
+        months = regime(inputs.series, inputs.rate, inputs.rent_index, opt.macro_window, opt.macro_min)
     rent = None if inputs.rent is None else rent_features(inputs.rent, opt.rent_lag)
     near = None if inputs.coords is None else neighbour_gaps(panel, inputs.coords, opt.neighbours, momentum)
 
