@@ -294,8 +294,8 @@ def _(spark, sf):
 def _(spark, sf):
     rows = ranked_list(spark, sf).select(
         "*", F.lit(1).alias("horizon"), F.lit(None).cast("double").alias("hist_relative_pct"),
-        F.lit(None).cast("double").alias("forecast_1y_pct"), F.col("mom_3y_rel").alias("long_mom_rel"))
-    docs = panels.ranking_documents(cut_lineage(rows), chunk=100)
+        F.lit(None).cast("double").alias("forecast_1y_pct"))
+    docs = panels.ranking_documents(cut_lineage(rows), chunk=100, long=3)
     schema = "origin string, n_entities int, entities array<struct<rank:int, entity:long, value:double, score:double>>"
     parsed = docs.select("horizon", "part", F.from_json("json", schema).alias("d"))
     return V.rounded(parsed.select("horizon", "part", "d.origin", "d.n_entities", F.explode("d.entities").alias("e")).select(
@@ -316,6 +316,26 @@ def _(spark, sf):
     return evaluation.stamp_origin(summary, rows)
 
 
+@query("k_skill_of_fresh_summaries", sql(f"""select cast(h.horizon as integer) as horizon, cast(count(distinct model) as integer) as fresh, cast(0 as integer) as stale
+       from (select unnest([{', '.join(map(str, HORIZONS))}]) as horizon) h left join scores s on s.horizon = h.horizon group by h.horizon"""))
+def _(spark, sf):
+    """Models whose skill stands in the documents of each horizon, if the summary is of this panel and if it is of another."""
+    rows = V.written_panel(spark, sf)
+    summary = evaluation.summarize(cut_lineage(evaluation.score(cut_lineage(predictions(spark, sf)))), list(RULES), draws=20)
+    blank = ("rank", "entity", "value", "score", "focus_percentile", "hist_relative_pct", "forecast_1y_pct", "level_rel_group", "mom_3y_rel")
+    ranking_rows = spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in V.EVAL.horizons])).alias("horizon"), F.lit("2000-12-31").alias("origin"), *[F.lit(1.0).alias(c) for c in blank])
+
+    def models(stamped, name):
+        skill = panels.skill_map(stamped, list(RULES), evaluation.panel_fingerprint(rows))
+        docs = panels.ranking_documents(ranking_rows, skill=skill, long=3)
+        found = F.from_json("json", "walk_forward_skill map<string, struct<folds:int>>")["walk_forward_skill"]
+        return docs.select("horizon", F.coalesce(F.size(F.map_keys(found)), F.lit(0)).alias(name))
+
+    fresh = models(evaluation.stamp_panel(summary, rows), "fresh")
+    stale = models(evaluation.stamp_panel(summary, rows.withColumn("value", F.col("value") + 1)), "stale")
+    return fresh.join(stale, "horizon")
+
+
 @query("o_seeded_sample", "select entity from (select p_partkey as entity from part) order by md5('7|' || entity), entity limit 500")
 def _(spark, sf):
     return seeded_sample(V.parts(spark, sf).select("entity"), ["entity"], 500)

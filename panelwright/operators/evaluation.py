@@ -275,3 +275,18 @@ def is_fresh(summary: DataFrame, panel: DataFrame) -> bool:
 
 def stamp_origin(summary: DataFrame, panel: DataFrame) -> DataFrame:
     return summary.withColumn("panel_origin", panel.agg(F.max("origin")).scalar().cast("string"))
+
+
+def panel_fingerprint(panel: DataFrame) -> Column:
+    """A digest of the panel's rows, whatever their order: rows and a sum of row hashes per origin.
+
+    Sums are combined before the shuffle; one row per origin is left for the digest."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(panel.columns)]).cast("decimal(20,0)")
+    yearly = panel.select("origin", row.alias("_h")).groupBy("origin").agg(F.count("*").alias("_n"), F.sum("_h").alias("_s"))
+    line = F.concat_ws("/", F.col("origin").cast("string"), F.col("_n").cast("string"), F.col("_s").cast("string"))
+    return yearly.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256)).scalar()
+
+
+def stamp_panel(summary: DataFrame, panel: DataFrame) -> DataFrame:
+    """The summary with the last origin and the fingerprint of the panel it was computed on."""
+    return stamp_origin(summary, panel).withColumn("panel_fingerprint", panel_fingerprint(panel))

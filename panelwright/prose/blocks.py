@@ -233,17 +233,18 @@ def group_lines(lines: DataFrame) -> DataFrame:
     opens = F.col("breaks") | F.coalesce(F.lag("_blank").over(by_line), F.lit(True))
     rows = rows.withColumn("_opens", opens).where(~F.col("_blank"))
     rows = rows.withColumn("block", F.sum(F.col("_opens").cast("int")).over(by_line).cast("int"))
+    rows = rows.withColumn("first_line", F.max(F.when(F.col("_opens"), F.col("i") + 1)).over(by_line))
     tail = F.right(F.lag("text").over(by_line), F.lit(30))
     same = F.lag("block").over(by_line) == F.col("block")
     return rows.select(
-        "doc_id", "block", (F.col("i") + 1).alias("line"), "text", "headline", "starts",
+        "doc_id", "block", (F.col("i") + 1).alias("line"), "first_line", "text", "headline", "starts",
         F.when(same, F.concat(tail, F.lit(" "))).otherwise("").alias("tail"),
     )
 
 
 def json_groups(lines: DataFrame) -> DataFrame:
     return lines.select(
-        "doc_id", F.col("k").alias("block"), (F.col("i") + 1).alias("line"), "text", F.lit(False).alias("headline"),
+        "doc_id", F.col("k").alias("block"), (F.col("i") + 1).alias("line"), (F.col("i") + 1).alias("first_line"), "text", F.lit(False).alias("headline"),
         "starts", F.lit("").alias("tail"),
     )
 

@@ -31,8 +31,11 @@ def write_by_horizon(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("horizon").csv(path, header=True)
 
 
-def skill_map(summary: DataFrame, models: list[str]) -> DataFrame:
-    """(horizon, skill): a map from model to its measured walk-forward skill; one row per model goes in."""
+def skill_map(summary: DataFrame, models: list[str], fingerprint: Column | None = None) -> DataFrame:
+    """(horizon, skill): a map from model to its measured walk-forward skill; one row per model goes in.
+
+    With a panel's `fingerprint`, only rows stamped with it count: skill that was measured on another panel is not
+    written into documents."""
     entry = F.struct(
         half_even(F.col("spearman_focus_mean")).alias("spearman_focus_mean"),
         F.array(half_even(F.col("spearman_focus_ci_low")), half_even(F.col("spearman_focus_ci_high"))).alias("spearman_focus_ci90"),
@@ -40,17 +43,34 @@ def skill_map(summary: DataFrame, models: list[str]) -> DataFrame:
         F.col("n_folds").alias("folds"),
     )
     known = summary.where(F.col("model").isin(models))
+    if fingerprint is not None:
+        stamped = "panel_fingerprint" in summary.columns
+        known = known.where(F.col("panel_fingerprint") == fingerprint) if stamped else known.limit(0)
     return known.groupBy("horizon").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", entry.alias("skill"))))).alias("skill")
     )
 
 
+MEANINGS = {
+    "score": "Mean of what both models expect as the entity's percentile of growth inside its group, from 0 to 100; no forecast of growth itself.",
+    "historical_growth_vs_group_pct": "Growth against the group that earlier entities of the focus group had after the same predicted percentile; a comparison with the past.",
+    "level_vs_group_median_pct": "Value against the median entity of the group at the origin.",
+    "past_growth_vs_group_pct": "Growth over the years before the origin against the group's mean.",
+}
+
+
 def ranking_documents(
-    ranking: DataFrame, agreement: Column | None = None, skill: DataFrame | None = None, chunk: int = 1000
+    ranking: DataFrame,
+    agreement: Column | None = None,
+    skill: DataFrame | None = None,
+    chunk: int = 1000,
+    long: int = 5,
+    generated: Column | None = None,
 ) -> DataFrame:
     """(horizon, part, json): nested documents with the ranked entities.
 
-    `ranking` has horizon, rank, origin and the entity columns. A list of up to `chunk` entities is one document;
+    `ranking` is what `rank_focus` gives: horizon, rank, origin and the entity columns, past growth over `long` years
+    among them. A document says when it was made (today, or `generated`) and what its fields mean. A list of up to `chunk` entities is one document;
     a longer one continues in further parts, so no task ever holds an unbounded list. Missing values are written
     as null and numbers are rounded to two places."""
     entity = F.struct(
@@ -62,7 +82,7 @@ def ranking_documents(
         half_even(F.col("hist_relative_pct")).alias("historical_growth_vs_group_pct"),
         half_even(F.col("forecast_1y_pct")).alias("forecast_1y_pct"),
         half_even(pct_from_log(F.col("level_rel_group"))).alias("level_vs_group_median_pct"),
-        half_even(pct_from_log(F.col("long_mom_rel"))).alias("past_growth_vs_group_pct"),
+        half_even(pct_from_log(F.col(f"mom_{long}y_rel"))).alias("past_growth_vs_group_pct"),
     )
     counts = ranking.groupBy("horizon").agg(F.count("*").alias("n_entities"), F.max("origin").alias("origin"))
     parts = ranking.groupBy("horizon", F.floor((F.col("rank") - 1) / F.lit(chunk)).cast("int").alias("part")).agg(
@@ -73,8 +93,10 @@ def ranking_documents(
     doc = F.struct(
         F.col("horizon").alias("horizon_years"),
         F.col("origin").cast("string").alias("origin"),
+        (F.current_date() if generated is None else generated).cast("string").alias("generated"),
         "n_entities",
         "part",
+        F.struct(*[F.lit(v).alias(k) for k, v in MEANINGS.items()]).alias("meanings"),
         *([F.col("skill").alias("walk_forward_skill")] if skill is not None else []),
         (half_even(agreement) if agreement is not None else F.lit(None).cast("double")).alias("spearman_vs_outside_forecast"),
         "entities",

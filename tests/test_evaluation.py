@@ -10,6 +10,8 @@ from panelwright.operators import agreement, diagnostics, evaluation, ranking
 from panelwright.operators.features import ablation_sets
 from panelwright.operators.models import TreeSettings, fit_ridge, fit_trees, permutation_importance, seeded_sample
 from panelwright.operators.positions import SplitPlan
+from panelwright.options import EvaluationOptions
+from panelwright.plans import evaluate as plan
 from panelwright.sources import panels
 
 
@@ -207,31 +209,53 @@ def test_a_stamp_holds_until_the_last_origin_moves(spark):
     assert not evaluation.is_fresh(stamped.limit(0), panel) and not evaluation.is_fresh(spark.range(3), panel)
 
 
-def ranked(spark, n=40):
-    rows = [(1, f"{10000 + i}", "Town", "Kings", "NY", i + 1, 80.0 - i, None if i == 1 else 3.0 - i / 10, None, 0.0 if i == 0 else float(np.log(0.9)),
-             0.05, 0.0, 1e6 - i, 100.0 - i, "2026-07-31") for i in range(n)]
-    return spark.createDataFrame(rows, "horizon int, entity string, city string, sub string, state string, rank int, score double, hist_relative_pct double, "
-                                 "forecast_1y_pct double, level_rel_group double, mom_1y_rel double, long_mom_rel double, value double, focus_percentile double, origin string")
-
-
-def test_ranking_documents_are_null_safe_ordered_and_chunked(spark, tmp_path):
-    docs = panels.ranking_documents(ranked(spark), chunk=30).orderBy("part").collect()
-    first, second = json.loads(docs[0]["json"]), json.loads(docs[1]["json"])
-    assert [e["rank"] for e in first["entities"]] == list(range(1, 31)) and len(second["entities"]) == 10
-    assert first["n_entities"] == 40 and first["spearman_vs_outside_forecast"] is None and first["origin"] == "2026-07-31"
-    assert first["entities"][1]["historical_growth_vs_group_pct"] is None
-    assert first["entities"][1]["level_vs_group_median_pct"] == -10.0
-    panels.write_documents(panels.ranking_documents(ranked(spark), chunk=30), str(tmp_path / "docs"))
-    assert spark.read.text(str(tmp_path / "docs")).count() == 2
-
-
-def test_skill_map_in_documents(spark):
-    summary = spark.createDataFrame([(1, "momentum_1y", 0.39, 0.305, None, -0.02, 16)],
-                                    "horizon int, model string, spearman_focus_mean double, spearman_focus_ci_low double, "
-                                    "spearman_focus_ci_high double, spearman_focus_min double, n_folds int")
-    doc = json.loads(panels.ranking_documents(ranked(spark, 3), skill=panels.skill_map(summary, ["momentum_1y"])).first()["json"])
-    assert doc["walk_forward_skill"]["momentum_1y"]["folds"] == 16
-    assert doc["walk_forward_skill"]["momentum_1y"]["spearman_focus_ci90"][1] is None
+@pytest.fixture(scope="module")
+def listed(spark):
+    """A ranked list of 23 shops, as the final ranking gives it; shop 7 has no history and shop 9 no level."""
+    rng = np.random.default_rng(31)
+    pdf = pd.DataFrame({"rank": range(1, 24), "score": np.sort(rng.uniform(5, 95, 23))[::-1]})
+    pdf = pdf.assign(horizon=3, entity=[f"shop {i:02d}" for i in pdf["rank"]], sub=["north", "south", "west"] * 7 + ["north", "west"], city=[f"place {i % 4}" for i in pdf["rank"]])
+    pdf["value"], pdf["focus_percentile"] = rng.uniform(900, 1100, 23), pdf["score"].rank(pct=True) * 100
+    pdf["hist_relative_pct"], pdf["level_rel_group"], pdf["mom_4y_rel"] = rng.normal(size=23), rng.normal(size=23) / 5, rng.normal(size=23) / 9
+    pdf.loc[6, "hist_relative_pct"], pdf.loc[8, "level_rel_group"] = np.nan, np.nan
+    df = spark.createDataFrame(pdf)
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("hist_relative_pct", "level_rel_group")})
+    return pdf, df.withColumns({"forecast_1y_pct": F.lit(None).cast("double"), "origin": F.lit("2011-03-31")})
+
+
+def test_ranking_documents_hold_the_list(listed):
+    pdf, df = listed
+    docs = [json.loads(d["json"]) for d in panels.ranking_documents(df, chunk=10, long=4, generated=F.lit("2011-04-02")).orderBy("part").collect()]
+    assert [len(d["entities"]) for d in docs] == [10, 10, 3]
+    assert {(d["horizon_years"], d["origin"], d["generated"], d["n_entities"]) for d in docs} == {(3, "2011-03-31", "2011-04-02", 23)}
+    entities = [e for d in docs for e in d["entities"]]
+    assert [e["entity"] for e in entities] == pdf["entity"].tolist()
+    for e, row in zip(entities, pdf.itertuples()):
+        for name, raw in (("historical_growth_vs_group_pct", row.hist_relative_pct), ("level_vs_group_median_pct", 100 * np.expm1(row.level_rel_group)),
+                          ("past_growth_vs_group_pct", 100 * np.expm1(row.mom_4y_rel)), ("score", row.score)):
+            assert e[name] is None if np.isnan(raw) else abs(e[name] - raw) < 0.00501
+        assert e["value"] == round(row.value) and e["forecast_1y_pct"] is None
+    assert set(docs[0]["meanings"]) - {"score"} <= set(entities[0]) and "walk_forward_skill" not in docs[0]
+
+
+def test_documents_take_the_final_ranking_and_fresh_skill_only(spark, training, tmp_path):
+    _, df = training
+    mix = df.withColumns({c: F.col("cs_a") for c in ("target_1y", "target_1y_pct", "mom_5y_rel", "level_rel_group", "value")})
+    panel = mix.withColumns({"group_ok": F.lit(True), "in_focus": F.col("entity") % 2 == 0, "origin": F.lit("2000-12-31").cast("date"), "sub": F.lit("s")})
+    rows = plan.rank_focus(panel, 1, EvaluationOptions(), TreeSettings(step=0.3, trees=2, depth=2, min_rows=5, bins=16))
+    summary = spark.createDataFrame([(1, "a", 0.5, 0.25, None, -0.125, 6), (1, "b", 0.0, 0.0, 0.0, 0.0, 6)],
+                                    "horizon int, model string, spearman_focus_mean double, spearman_focus_ci_low double, spearman_focus_ci_high double, spearman_focus_min double, n_folds int")
+    print_ = evaluation.panel_fingerprint(panel)
+    for stamped, models in ((evaluation.stamp_panel(summary, panel.orderBy(F.desc("entity"))), {"a"}), (evaluation.stamp_panel(summary, panel.where("entity > 0")), None), (summary, None)):
+        docs = panels.ranking_documents(rows, skill=panels.skill_map(stamped, ["a"], print_))
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        panels.write_documents(docs, path)
+        (doc,) = [json.loads(r["value"]) for r in spark.read.text(path).collect()]
+        assert doc["n_entities"] == 200 and [e["rank"] for e in doc["entities"]] == list(range(1, 201))
+        skill = doc.get("walk_forward_skill")
+        assert (skill and set(skill)) == models
+        if skill:
+            assert skill["a"] == {"spearman_focus_mean": 0.5, "spearman_focus_ci90": [0.25, None], "spearman_focus_min": -0.12, "folds": 6}
 
 
 def test_rank_rows_breaks_ties_by_entity(spark):
@@ -240,12 +264,20 @@ def test_rank_rows_breaks_ties_by_entity(spark):
     assert got["entity"].tolist() == ["a", "b", "c", "d"] and got["focus_percentile"].tolist() == [87.5, 87.5, 50.0, 25.0]
 
 
-def test_area_lists_and_shape(spark):
-    rows = ranked(spark).withColumn("sub", F.when(F.col("rank") > 38, "Hudson").otherwise(F.col("sub"))).withColumn(
-        "city", F.when(F.col("rank") == 40, "Jersey City").otherwise(F.col("city")))
-    got = ranking.area_subset(rows, {"Boroughs": (["Kings"], None), "Hudson": (["Hudson"], "Jersey City")}, 15).toPandas()
-    assert (got["area"] == "Boroughs").sum() == 15 and got[got["flagged"]][["sub_rank", "rank"]].values.tolist() == [[2, 40]]
-    assert ranking.list_shape(rows, 15).count() == 2 and ranking.top_and_bottom(rows, 15).count() == 30
+def test_area_lists_and_shape(listed):
+    pdf, df = listed
+    areas = {"cold": (["north", "west"], None), "warm": (["south"], "place 1")}
+    got = ranking.area_subset(df, areas, 6).orderBy("area", "rank").toPandas()
+    for area, (subs, flagged) in areas.items():
+        want = pdf[pdf["sub"].isin(subs)].head(6)
+        part = got[got["area"] == area]
+        assert part["sub_rank"].tolist() == [1, 2, 3, 4, 5, 6] and part["rank"].tolist() == want["rank"].tolist()
+        assert part["flagged"].tolist() == (want["city"] == flagged).tolist()
+    ends = ranking.top_and_bottom(df, 5).toPandas()
+    shape = ranking.list_shape(df, 5, growth="mom_4y_rel").toPandas().set_index("side")
+    assert sorted(ends["rank"]) == [*range(1, 6), *range(19, 24)] and len(shape) == 2
+    for side, part in (("top", pdf.head(5)), ("bottom", pdf.tail(5))):
+        assert np.isclose(shape.loc[side, "median_growth"], part["mom_4y_rel"].median()) and shape.loc[side, "n_rows"] == 5
 
 
 @pytest.fixture(scope="module")

@@ -168,3 +168,13 @@ def test_control_characters_do_not_end_a_sentence(spark, docs):
     text = "One part\x01two part ends here. Next one."
     rows = C.with_sentences(B.join_blocks(B.group_lines(B.plain_lines(docs(text))))).first()["sentences"]
     assert rows == ["One part\x01two part ends here.", "Next one."]
+
+
+def test_a_block_over_a_piece_border_counts_as_one_piece(spark):
+    text = "We saw 12.5% here,\n12.5% there and\nexport of 12.5% at last.\n\nexport two\n\nOnly 12.5% now."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    lines = B.grouped_lines(docs, "html")
+    assert [(r.piece, r.line) for r in C.figures(lines, "(?!)").orderBy("line").collect()] == [(0, 1), (0, 2), (0, 3), (5, 7)]
+    (found,) = C.repeated_figures(lines, "(?!)", 2).collect()
+    assert found.line == 3 and "3 times" in found.message
+    assert C.repeated_figures(lines, "(?!)", 3).count() == 0
