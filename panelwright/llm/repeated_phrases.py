@@ -6,24 +6,30 @@ smaller doc_id.
 1. Anchors. Of the 4-word runs inside a window the one with the least hash is its anchor, so equal windows have equal
    anchors. Anchors found in two documents or more mark the only places where windows can recur.
 2. Segments. The windows of a document that share one anchor there form a segment of at most 22 words. Segments go to
-   cells by their anchor. A cell is a bounded group; an anchor of more than `hot` segments is spread over parts.
-3. Automata. A cell confirms which of its windows recur (by their words), compiles them into an Aho-Corasick automaton
-   over word numbers and runs all its segments through it. For a spread anchor the recurring windows come from an
-   aggregate over all parts, and every part gets them.
+   cells by their anchor; there are as many cells as the counted segments need. Segments of an anchor with more than
+   `hot` of them are cut into windows, which go to shards by their own hash; a window that is found more than `hot`
+   times has its occurrences dealt over several parts of its shard, and each of them knows the window.
+3. Automata. A cell picks the windows that two documents have, compiles them into an Aho-Corasick automaton over the
+   letters that its words were given, and runs all its segments through it in one pass. What the automaton finds gives
+   the first document of each window and the places to remove. In a shard the windows and their first documents come
+   from an aggregate, as no part of it sees every occurrence.
 4. The matches give each document's ranges of words to remove.
 
-NULL and empty texts have no words, texts under 13 words lose nothing. Rows with equal doc_id count as one document for
-step 1 to 3, and each of them loses the same ranges. Columns besides doc_id and the text are not looked at."""
+Words are told apart by 64-bit hashes. A row is known by its doc_id and a hash of its text: rows of one doc_id with
+different texts keep results of their own and, as their doc_id is not smaller, remove nothing from each other; equal
+rows lose the same ranges. Rows with a NULL doc_id lose nothing and take nothing from others. NULL and empty texts have
+no words, texts under 13 words lose nothing. Columns besides doc_id and the text are not looked at."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.words import SPACE, Words, mixed, pieces, runs, within, word_starts, words_of
@@ -32,7 +38,13 @@ from panelwright.session import cut_lineage
 WINDOW = 13
 GRAM = 4
 HOT = 20_000  # segments of one anchor that a cell takes up whole
-CELLS = 8  # cells per shuffle partition
+CELL = 20_000  # segments of one cell, about
+LETTERS = 0x110000 - 0x800 - 2  # letters beside the one between segments and the one of words found once
+
+
+def row_key() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +61,7 @@ def anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
 
 
 def recurring_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """(doc_id, anchors array<struct<anchor, parts>>) for the documents that hold anchors of two documents or more."""
+    """(anchor, doc_id, row, times, parts): anchors of two documents or more, and how often a row has them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -61,24 +73,24 @@ def recurring_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> Data
             order = np.lexsort((key, row))
             row, key = row[order], key[order]
             new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])] if len(row) else np.zeros(0, dtype=bool)
-            ids = piece.column("doc_id").take(pa.array(row[new]))
+            held = piece.select(["doc_id", "row"]).take(pa.array(row[new]))
             times = np.diff(np.r_[np.flatnonzero(new), len(row)])
-            yield pa.record_batch([ids, pa.array(key[new].view(np.int64)), pa.array(times)], names=["doc_id", "anchor", "times"])
+            yield pa.record_batch([*held.columns, pa.array(key[new].view(np.int64)), pa.array(times)], names=["doc_id", "row", "anchor", "times"])
 
-    found = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, anchor long, times long")
+    found = docs.mapInArrow(find, "doc_id long, row long, anchor long, times long")
+    parts = F.when(F.col("n") > hot, F.ceil(F.col("n") * (window - gram + 1) / hot)).otherwise(1)
     shared = (
         found.groupBy("anchor")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("times").alias("n"))
         .where("low < high")
-        .select("anchor", F.ceil(F.col("n") / hot).cast("long").alias("parts"))
+        .select("anchor", parts.cast("long").alias("parts"))
     )
-    rows = found.drop("times").join(shared, "anchor")
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "parts")).alias("anchors"))
+    return found.join(shared, "anchor")
 
 
 def segments(docs: DataFrame, shared: DataFrame, cells: int, window: int, gram: int) -> DataFrame:
-    """(cell, part, parts, doc_id, start, text): stretches of words whose windows may recur. Cells below 0 are one
-    spread anchor each."""
+    """(cell, parts, doc_id, row, start, salt, text): stretches of words whose windows may recur. Cells below 0 are one
+    hot anchor each. The salt only numbers what a task gives."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -103,97 +115,118 @@ def segments(docs: DataFrame, shared: DataFrame, cells: int, window: int, gram:
             spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
             hit = known[spot] == asked
             begin, stop, key, row, parts = begin[hit], stop[hit], key[hit], row[hit], parts[spot[hit]]
-            ids = piece.column("doc_id").to_numpy()[row]
-            spread = parts > 1
-            cell = np.where(spread, -1 - (key >> np.uint64(1)).astype(np.int64), (key % np.uint64(cells)).astype(np.int64))
-            part = np.where(spread, (mixed(ids.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), 0)
-            text = [x.decode() for x in words.spans(begin, stop)]
-            yield pa.record_batch(
-                [pa.array(cell), pa.array(part), pa.array(parts), pa.array(ids), pa.array(begin - words.first[row]), pa.array(text, type=pa.string())],
-                names=["cell", "part", "parts", "doc_id", "start", "text"],
-            )
-
-    rows = docs.select("doc_id", "text").join(shared, "doc_id")
-    return rows.mapInArrow(cut, "cell long, part long, parts long, doc_id long, start long, text string")
-
-
-def spread_phrases(found: DataFrame, window: int) -> DataFrame:
-    """(cell, part, phrase, first): recurring windows of spread anchors and the first document of each, for every part."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, " ".join(w[k : k + window])) for i, t in enumerate(batch.column("text").to_pylist()) for w in (_split(t),) for k in range(len(w) - window + 1)]
-            kept = batch.select(["cell", "parts", "doc_id"]).take(pa.array([i for i, _ in rows], type=pa.int64()))
-            yield pa.record_batch([*kept.columns, pa.array([p for _, p in rows], type=pa.string())], names=["cell", "parts", "doc_id", "phrase"])
+            cell = np.where(parts > 1, -1 - (key >> np.uint64(1)).astype(np.int64), (key % np.uint64(cells)).astype(np.int64))
+            held = piece.select(["doc_id", "row"]).take(pa.array(row)).columns
+            text = pa.array([x.decode() for x in words.spans(begin, stop)], type=pa.string())
+            columns = [pa.array(cell), pa.array(parts), *held, pa.array(begin - words.first[row]), pa.array(np.arange(len(row))), text]
+            yield pa.record_batch(columns, names=["cell", "parts", "doc_id", "row", "start", "salt", "text"])
 
-    rows = found.where("cell < 0").select("cell", "parts", "doc_id", "text").mapInArrow(explode, "cell long, parts long, doc_id long, phrase string")
-    first = rows.groupBy("cell", "phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("parts").alias("parts"))
-    return first.where("first < last").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "phrase", "first")
+    lists = shared.groupBy("doc_id", "row").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
+    rows = docs.join(lists, ["doc_id", "row"])
+    return rows.mapInArrow(cut, "cell long, parts long, doc_id long, row long, start long, salt long, text string")
 
 
-def _split(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()]
+def single_windows(hot_segments: DataFrame, window: int) -> DataFrame:
+    """Every window of the segments as a segment of its own, with `key`, the hash of its words."""
 
-
-def located(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, ranges): ranges of words that recur from an earlier document, by the automaton of each cell."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            words = words_of(piece.column("text"))
+            at = np.flatnonzero(within(words, window))
+            if not len(at):
+                continue
+            row = words.row[at]
+            held = piece.select(["cell", "parts", "doc_id", "row", "salt"]).take(pa.array(row)).columns
+            start = piece.column("start").to_numpy()[row] + at - words.first[row]
+            key = runs(words.hash, window)[at].view(np.int64)
+            text = pa.array([x.decode() for x in words.spans(at, at + window)], type=pa.string())
+            yield pa.record_batch([*held, pa.array(start), pa.array(key), text], names=["cell", "parts", "doc_id", "row", "salt", "start", "key", "text"])
+
+    return hot_segments.mapInArrow(split, "cell long, parts long, doc_id long, row long, salt long, start long, key long, text string")
+
+
+def letters(words: Words) -> str:
+    """One letter per word and one after every text. Words found once share a letter, as no recurring window has them."""
+    _, number, times = np.unique(words.hash, return_inverse=True, return_counts=True)
+    letter = np.where(times > 1, np.cumsum(times > 1) + 1, 1)
+    if len(letter) and letter.max() > LETTERS:
+        raise ValueError(f"more than {LETTERS} words in a cell")
+    letter += 0x800 * (letter >= 0xD800)  # there are no letters among surrogates
+    out = np.zeros(len(words.hash) + len(words.first) - 1, dtype="<u4")
+    out[np.arange(len(words.hash)) + words.row] = letter[number]
+    return out.tobytes().decode("utf-32-le")
+
+
+def located(found: DataFrame, window: int, hot: int) -> DataFrame:
+    """(doc_id, row, ranges): ranges of words that recur from an earlier document, by the automaton of each cell."""
     import ahocorasick
 
     def run(here: pa.Table, given: pa.Table) -> pa.Table:
-        ids, starts = here.column("doc_id").to_pylist(), here.column("start").to_pylist()
-        numbers: dict[str, int] = {}
-        texts = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in _split(t)) for t in here.column("text").to_pylist()]
-        first: dict[tuple, int] = {}
-        if here.num_rows and here.column("cell")[0].as_py() < 0:
-            for phrase, doc in zip(given.column("phrase").to_pylist(), given.column("first").to_pylist()):
-                first[tuple(numbers.setdefault(w, len(numbers) + 1) for w in phrase.split(" "))] = doc
+        ids, n = here.column("doc_id").to_numpy(), here.num_rows
+        words = words_of(pa.concat_arrays([c for t in (here, given) for c in t.column("text").chunks]) if n else pa.array([], type=pa.string()))
+        line = letters(words)
+        if given.num_rows:
+            place, row = words.first[n:-1], np.arange(n, n + given.num_rows)
+            low = given.column("low").to_numpy()
         else:  # the cell holds every document of its anchors
-            last: dict[tuple, int] = {}
-            for doc, words in zip(ids, texts):
-                for k in range(len(words) - window + 1):
-                    phrase = words[k : k + window]
-                    low = first.get(phrase)
-                    if low is None:
-                        first[phrase] = last[phrase] = doc
-                    elif doc < low:
-                        first[phrase] = doc
-                    elif doc > last[phrase]:
-                        last[phrase] = doc
-            first = {phrase: doc for phrase, doc in first.items() if doc < last[phrase]}
-        out_ids, out_ranges = [], []
-        if first:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, doc in first.items():
-                automaton.add_word(phrase, doc)
+            at = np.flatnonzero(within(words, window))
+            key, doc = runs(words.hash, window)[at], ids[words.row[at]]
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(at) else np.zeros(0, dtype=np.int64)
+            two = np.minimum.reduceat(doc[order], new) < np.maximum.reduceat(doc[order], new) if len(at) else np.zeros(0, dtype=bool)
+            place = at[order[new[two]]]
+            row, low = words.row[place], None
+        match = np.zeros((0, 2), dtype=np.int64)
+        if n and len(place):
+            automaton = ahocorasick.Automaton()
+            for i, a in enumerate((place + row).tolist()):
+                automaton.add_word(line[a : a + window], i)
             automaton.make_automaton()
-            for doc, start, words in zip(ids, starts, texts):
-                ranges: list[list[int]] = []
-                for end, low in automaton.iter(words):
-                    if low < doc:
-                        a, b = start + end + 1 - window, start + end + 1
-                        if ranges and a <= ranges[-1][1]:
-                            ranges[-1][1] = b
-                        else:
-                            ranges.append([a, b])
-                for a, b in ranges:
-                    out_ids.append(doc)
-                    out_ranges.append({"a": a, "b": b})
-        return pa.table([pa.array(out_ids, type=pa.int64()), pa.array(out_ranges, type=pa.struct([("a", pa.int64()), ("b", pa.int64())]))], names=["doc_id", "range"])
-
-    given = spread_phrases(found, window)
-    both = found.groupBy("cell", "part").cogroup(given.groupBy("cell", "part"))
-    ranges = both.applyInArrow(run, "doc_id long, range struct<a:long,b:long>")
-    return ranges.groupBy("doc_id").agg(F.collect_list("range").alias("ranges"))
-
-
-def removal_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, ranges array<struct<a, b>>) for the documents that lose words."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = recurring_anchors(docs, window, gram, hot)
-    # Written because hot cells and all cells read it; the anchors and texts behind it are done with then.
-    return located(cut_lineage(segments(docs, shared, cells, window, gram)), window)
+            begins = words.first[:-1] + np.arange(len(words.first) - 1)  # of each text, among the letters
+            stop = int(words.first[n]) + n
+            match = np.fromiter(chain.from_iterable(automaton.iter(line, 0, stop)), dtype=np.int64).reshape(-1, 2)
+        if not len(match):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "range": pa.array([], span)})
+        end, phrase = match.T
+        text = np.searchsorted(begins[:n], end, side="right") - 1
+        doc = ids[text]
+        if low is None:
+            low = np.full(len(place), np.iinfo(np.int64).max)
+            np.minimum.at(low, phrase, doc)
+        gone = low[phrase] < doc
+        text, a = text[gone], (end - window + 1 - begins[text])[gone]
+        new = np.r_[True, (text[1:] != text[:-1]) | (a[1:] > a[:-1] + window)] if len(a) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(new)
+        text, first, last = text[at], a[at], a[np.r_[at[1:] - 1, len(a) - 1]] if len(at) else a
+        shift = here.column("start").to_numpy()[text]
+        ranges = pa.StructArray.from_arrays([pa.array(first + shift), pa.array(last + shift + window)], names=["a", "b"])
+        return pa.table({"doc_id": pa.array(ids[text]), "row": pa.array(here.column("row").to_numpy()[text]), "range": ranges})
+
+    span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    shard = F.pmod("key", "parts").alias("part")
+    windows = single_windows(found.where("cell < 0"), window)
+    known = windows.groupBy("cell", "key").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("parts").alias("parts"), F.ceil(F.count(F.lit(1)) / hot).alias("copies"), F.first("text").alias("text")
+    )
+    known = known.where("low < high")
+    dealt = windows.join(known.select("cell", "key", "copies"), ["cell", "key"])
+    dealt = dealt.select("cell", shard, F.pmod("salt", "copies").alias("copy"), "doc_id", "row", "start", "text")
+    given = known.select("cell", shard, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "low", "text")
+    whole = found.where("cell >= 0").select("cell", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("copy"), "doc_id", "row", "start", "text")
+    group = ("cell", "part", "copy")
+    both = whole.unionByName(dealt).groupBy(*group).cogroup(given.groupBy(*group))
+    ranges = both.applyInArrow(run, "doc_id long, row long, range struct<a:long,b:long>")
+    return ranges.groupBy("doc_id", "row").agg(F.collect_set("range").alias("ranges"))
+
+
+def removal_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, cell: int = CELL) -> DataFrame:
+    """(doc_id, row, ranges array<struct<a, b>>) for the rows that lose words; `row` is `row_key`."""
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    # Written because the number of cells is counted from it and the texts are joined to it.
+    shared = cut_lineage(recurring_anchors(docs, window, gram, hot))
+    counted = shared.where("parts = 1").agg(F.sum("times")).first()[0] or 0
+    # Written because hot anchors and all others read it; the anchors and texts behind it are done with then.
+    return located(cut_lineage(segments(docs, shared, max(1, -(-counted // cell)), window, gram)), window, hot)
 
 
 def digest_kept(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -214,24 +247,29 @@ def digest_kept(docs: DataFrame, ranges: DataFrame) -> DataFrame:
             n, gone, sha = zip(*rows)
             yield pa.record_batch([ids, pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    rows = rows.join(ranges, ["doc_id", "row"], "left").select("doc_id", "text", "ranges")
     return rows.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """The documents with all their columns, the removed words cut out of the text and other bytes as they were."""
     columns = docs.columns
+    own = "_"  # begins no name of theirs
+    while any(c.startswith(own) for c in columns):
+        own += "_"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            texts, spans = piece.column("text").to_pylist(), piece.column("__ranges").to_pylist()
+            texts, spans = piece.column("text").to_pylist(), piece.column(f"{own}ranges").to_pylist()
             out = [_cut(t, s) if s else t for t, s in zip(texts, spans)]
             held = {c: piece.column(c) for c in columns}
             held["text"] = pa.array(out, type=pa.string())
             yield pa.RecordBatch.from_arrays([held[c] for c in columns], names=columns)
 
-    gone = ranges.select(F.col("doc_id").alias("__id"), F.col("ranges").alias("__ranges"))
-    rows = docs.join(gone, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    gone = ranges.select(*[F.col(c).alias(own + c) for c in ("doc_id", "row", "ranges")])
+    same = (F.col("doc_id").cast("long") == F.col(f"{own}doc_id")) & (row_key() == F.col(f"{own}row"))
+    rows = docs.join(gone, same, "left").drop(f"{own}doc_id", f"{own}row")
     return rows.mapInArrow(cut, docs.schema)
 
 

@@ -318,7 +318,7 @@ def test_substring_dedup(spark, hot):
         words = words_of(text)
         for k in range(len(words) - 12):
             first.setdefault(tuple(words[k : k + 13]), i)
-    ranges = repeated_phrases.removal_ranges(docs, hot=hot)
+    ranges = repeated_phrases.removal_ranges(docs, hot=hot, cell=hot)
     got = {r.doc_id: r for r in repeated_phrases.digest_kept(docs, ranges).collect()}
     cut = {r.doc_id: r.text for r in repeated_phrases.remove_ranges(docs, ranges).collect()}
     for i, text in enumerate(texts):
@@ -330,6 +330,32 @@ def test_substring_dedup(spark, hot):
         assert words_of(cut[i]) == kept.split() and (gone or cut[i] == text)
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_substring_dedup_of_repeated_and_missing_ids(spark, hot):
+    """Rows of one doc_id keep results of their own; a row without one loses nothing and takes nothing."""
+    shared, other = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(14))
+    rows = [(None, shared), (5, shared + " tail"), (6, shared), (6, "x y z"), (6, shared), (6, "lead " + other), (None, other), (6, other), (9, "lead " + other)]
+    rows += [(i, "a  b " + shared) for i in range(10, 30)]
+    docs = spark.createDataFrame([(i, t, "kept", 1) for i, t in rows], "doc_id int, text string, row string, __row int")
+    first = {}
+    for i, text in rows:
+        for k in range(len(words_of(text)) - 12):
+            phrase = tuple(words_of(text)[k : k + 13])
+            if i is not None:
+                first[phrase] = min(i, first.get(phrase, i))
+    expected = []
+    for i, text in rows:
+        words = words_of(text)
+        gone = {k + j for k in range(len(words) - 12) if i is not None and first[tuple(words[k : k + 13])] < i for j in range(13)}
+        expected.append((str(i), len(words), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in gone).encode()).hexdigest()))
+    ranges = repeated_phrases.removal_ranges(docs, hot=hot, cell=hot)
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in repeated_phrases.digest_kept(docs, ranges).collect()]
+    assert sorted(got) == sorted(expected)
+    cut = repeated_phrases.remove_ranges(docs, ranges)
+    assert cut.columns == docs.columns
+    assert sorted((str(r.doc_id), len(words_of(r.text)), r.row, r["__row"]) for r in cut.collect()) == sorted((i, n - gone, "kept", 1) for i, n, gone, _ in expected)
+
+
 @pytest.mark.parametrize("like", [jaccard_join.Likeness(4, 85), jaccard_join.Likeness(5, 80), jaccard_join.Likeness(1, 50)])
 def test_jaccard_components(spark, like):
     rng = random.Random(5)
