@@ -145,10 +145,12 @@ def single_windows(hot_segments: DataFrame, window: int) -> DataFrame:
     return hot_segments.mapInArrow(split, "cell long, parts long, doc_id long, row long, salt long, start long, key long, text string")
 
 
-def letters(words: Words) -> str:
-    """One letter per word and one after every text. Words found once share a letter, as no recurring window has them."""
-    _, number, times = np.unique(words.hash, return_inverse=True, return_counts=True)
-    letter = np.where(times > 1, np.cumsum(times > 1) + 1, 1)
+def letters(words: Words, times: np.ndarray) -> str:
+    """One letter per word and one after every text. Words found once, where each text counts as often as `times` says,
+    share a letter: no recurring window has them."""
+    kinds, number = np.unique(words.hash, return_inverse=True)
+    again = np.bincount(number, weights=times[words.row], minlength=len(kinds)) > 1
+    letter = np.where(again, np.cumsum(again) + 1, 1)
     if len(letter) and letter.max() > LETTERS:
         raise ValueError(f"more than {LETTERS} words in a cell")
     letter += 0x800 * (letter >= 0xD800)  # there are no letters among surrogates
@@ -162,45 +164,55 @@ def located(found: DataFrame, window: int, hot: int) -> DataFrame:
     import ahocorasick
 
     def run(here: pa.Table, given: pa.Table) -> pa.Table:
-        ids, n = here.column("doc_id").to_numpy(), here.num_rows
-        words = words_of(pa.concat_arrays([c for t in (here, given) for c in t.column("text").chunks]) if n else pa.array([], type=pa.string()))
-        line = letters(words)
+        none = pa.table({"doc_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "range": pa.array([], span)})
+        if not here.num_rows:
+            return none
+        # Equal segments go through the automaton once.
+        ids, held = here.column("doc_id").to_numpy(), pa.concat_arrays(here.column("text").chunks).dictionary_encode()
+        kind, n = held.indices.to_numpy(), len(held.dictionary)
+        least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        np.minimum.at(least, kind, ids)
+        np.maximum.at(most, kind, ids)
+        words = words_of(pa.concat_arrays([held.dictionary, *given.column("text").chunks]))
+        line = letters(words, np.r_[np.bincount(kind, minlength=n), np.ones(given.num_rows, dtype=np.int64)])
         if given.num_rows:
             place, row = words.first[n:-1], np.arange(n, n + given.num_rows)
             low = given.column("low").to_numpy()
         else:  # the cell holds every document of its anchors
             at = np.flatnonzero(within(words, window))
-            key, doc = runs(words.hash, window)[at], ids[words.row[at]]
+            key = runs(words.hash, window)[at]
             order = np.argsort(key, kind="stable")
-            new = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(at) else np.zeros(0, dtype=np.int64)
-            two = np.minimum.reduceat(doc[order], new) < np.maximum.reduceat(doc[order], new) if len(at) else np.zeros(0, dtype=bool)
+            new, text = np.flatnonzero(np.r_[len(at) > 0, np.diff(key[order]) != 0]), words.row[at[order]]
+            two = np.minimum.reduceat(least[text], new) < np.maximum.reduceat(most[text], new)
             place = at[order[new[two]]]
             row, low = words.row[place], None
-        match = np.zeros((0, 2), dtype=np.int64)
-        if n and len(place):
-            automaton = ahocorasick.Automaton()
-            for i, a in enumerate((place + row).tolist()):
-                automaton.add_word(line[a : a + window], i)
-            automaton.make_automaton()
-            begins = words.first[:-1] + np.arange(len(words.first) - 1)  # of each text, among the letters
-            stop = int(words.first[n]) + n
-            match = np.fromiter(chain.from_iterable(automaton.iter(line, 0, stop)), dtype=np.int64).reshape(-1, 2)
-        if not len(match):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "range": pa.array([], span)})
-        end, phrase = match.T
-        text = np.searchsorted(begins[:n], end, side="right") - 1
-        doc = ids[text]
+        if not len(place):
+            return none
+        automaton = ahocorasick.Automaton()
+        for i, a in enumerate((place + row).tolist()):
+            automaton.add_word(line[a : a + window], i)
+        automaton.make_automaton()
+        match = np.fromiter(chain.from_iterable(automaton.iter(line, 0, int(words.first[n]) + n)), dtype=np.int64)
+        end, phrase = match.reshape(-1, 2).T
+        begins = words.first[:n] + np.arange(n)  # of each text, among the letters
+        text = np.searchsorted(begins, end, side="right") - 1
         if low is None:
             low = np.full(len(place), np.iinfo(np.int64).max)
-            np.minimum.at(low, phrase, doc)
-        gone = low[phrase] < doc
-        text, a = text[gone], (end - window + 1 - begins[text])[gone]
-        new = np.r_[True, (text[1:] != text[:-1]) | (a[1:] > a[:-1] + window)] if len(a) else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(new)
-        text, first, last = text[at], a[at], a[np.r_[at[1:] - 1, len(a) - 1]] if len(at) else a
-        shift = here.column("start").to_numpy()[text]
+            np.minimum.at(low, phrase, least[text])
+        # The matches of a text for every segment that has it.
+        times = np.bincount(text, minlength=n)
+        each = times[kind]
+        segment = np.repeat(np.arange(len(kind)), each)
+        found_at = np.arange(len(segment)) + np.repeat((np.cumsum(times) - times)[kind] - (np.cumsum(each) - each), each)
+        gone = low[phrase[found_at]] < ids[segment]
+        segment, a = segment[gone], (end - window + 1 - begins[text])[found_at[gone]]
+        new = np.flatnonzero(np.r_[len(a) > 0, (segment[1:] != segment[:-1]) | (a[1:] > a[:-1] + window)])
+        if not len(new):
+            return none
+        first, last, segment = a[new], a[np.r_[new[1:] - 1, len(a) - 1]], segment[new]
+        shift = here.column("start").to_numpy()[segment]
         ranges = pa.StructArray.from_arrays([pa.array(first + shift), pa.array(last + shift + window)], names=["a", "b"])
-        return pa.table({"doc_id": pa.array(ids[text]), "row": pa.array(here.column("row").to_numpy()[text]), "range": ranges})
+        return pa.table({"doc_id": pa.array(ids[segment]), "row": pa.array(here.column("row").to_numpy()[segment]), "range": ranges})
 
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
     shard = F.pmod("key", "parts").alias("part")
