@@ -7,8 +7,8 @@ into ranges, sums of ranges give each range its offset, and a running sum inside
 document in which the budget ends gives only its first words, so a source's mix ends exactly at its budget.
 
 A document with a NULL doc_id is keyed by its size, so that those of one size are alike. NULL and empty texts have size 0
-and give nothing; a source without words has target 0. Ties in keys are broken by doc_id, and equal rows of one doc_id by
-nothing: they have equal sizes and one of them comes first. No source is ever held by one task: the number of ranges grows with its documents."""
+and give nothing; a source without words has target 0. Ties in keys are broken by doc_id and size, then by a hash of the row
+where rows are kept; equal rows of one doc_id by nothing: one of them comes first. No source is ever held by one task: the number of ranges grows with its documents."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from panelwright.llm.words import pieces, word_counts
 from panelwright.session import cut_lineage
@@ -27,17 +28,19 @@ RANGE_ROWS = 20_000  # documents of one key range, about
 SEED = "mix-1"
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, source, size): words of every whole text."""
+def sizes(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, source, size): words of every whole text; with `keep` also `row`, a struct of all columns."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             size = pa.array(word_counts(piece.column("text")), type=pa.int64())
-            yield pa.record_batch([piece.column("doc_id"), piece.column("source"), size], names=["doc_id", "source", "size"])
+            yield pa.record_batch([*(piece.column(c) for c in names), size], names=[*names, "size"])
 
-    rows = docs.select("doc_id", F.col("source").cast("string"), F.col(f"`{text}`").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, source string, size long")
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select("doc_id", F.col("source").cast("string"), *([held] if keep else []), F.col(f"`{text}`").alias("text"))
+    names = rows.columns[:-1]
+    schema = StructType([*rows.schema.fields[:-1], StructField("size", LongType())])
+    return rows.mapInArrow(count, schema)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -68,7 +71,8 @@ def key(seed: str = SEED) -> Column:
 
 
 def mix(sized: DataFrame, goals: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every document."""
+    """(doc_id, source, size, source_size, target, taken) for every document, and its `row` where that was kept."""
+    held = ["row"] if "row" in sized.columns else []
     goal = goals.select(F.col("source").alias("__source"), "source_size", "n_docs", "target")
     rows = sized.join(goal, F.col("source").eqNullSafe(F.col("__source"))).withColumn("key", key(seed))
     # The first 7 hex digits of the key in equal steps: as many ranges as the source's documents need.
@@ -79,18 +83,19 @@ def mix(sized: DataFrame, goals: DataFrame, seed: str = SEED, range_rows: int =
     offset = F.sum("words").over(Window.partitionBy("__source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select(F.col("__source").alias("__s"), F.col("range").alias("__r"), F.coalesce(offset, F.lit(0)).alias("offset"))
     rows = rows.join(parts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
-    inside = Window.partitionBy("__source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "range").orderBy("key", "doc_id", "size", *[F.xxhash64(c) for c in held]).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - before))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", *held, "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, text: str = "text", seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Sizes are written once, so that texts are read once; totals, ranges and sums work on the small table."""
-    sized = cut_lineage(sizes(docs, text))
+def mix_documents(docs: DataFrame, text: str = "text", seed: str = SEED, range_rows: int = RANGE_ROWS, keep: bool = False) -> DataFrame:
+    """Sizes are written once, so that texts are counted once; totals, ranges and sums read the small columns. With
+    `keep` rows travel with their sizes, so that no id is needed to find them again."""
+    sized = cut_lineage(sizes(docs, text, keep))
     return mix(sized, targets(sized), seed, range_rows)
 
 

@@ -215,6 +215,23 @@ def test_pipeline_keeps_documents_without_id(spark):
     assert [r.text for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()] == ["clean words here only"]
 
 
+def test_the_mix_keeps_rows_of_repeated_and_missing_ids(spark):
+    rows = [(None, "a b c"), (None, "d e f"), (1, "g h i j"), (1, "k l"), (2, "m n"), (2, "m n"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "s", f"x{i}", 7) for i, t in rows], "doc_id long, text string, source string, row string, size int")
+    mixed = corpus_pipeline.mixed(spark, docs, SF).collect()
+    # One source: every word is taken once.
+    assert sorted((str(r.doc_id), r.text, r.row) for r in mixed) == sorted((str(i), t, f"x{i}") for i, t in rows if t)
+    assert all(r.taken == r["size"] == len(words_of(r.text)) and r.n_chars == len(r.text) for r in mixed)
+    two = docs.unionByName(docs.withColumn("source", F.lit("t")).withColumn("text", F.concat("text", F.lit(" z"))))
+    again = [sorted(str(tuple(r)) for r in corpus_pipeline.mixed(spark, two.repartition(n), SF).collect()) for n in (1, 3)]
+    assert again[0] == again[1]
+    taken = Counter()
+    for r in corpus_pipeline.mixed(spark, two, SF).collect():
+        taken[r.source] += r.taken
+        assert len(words_of(r.text)) == r.taken
+    assert taken == {"s": 13, "t": 26}  # 16 and 23 words, shared one to two
+
+
 def test_html_text():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body class='x'><nav><ul><li><a href=/>menu</a></ul></nav><header>top</header>"
