@@ -4,8 +4,8 @@ benchmark decontamination and the mix of sources.
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last give the columns of `documents`. NULL and empty texts fail the quality rules; a document
 whose words all repeat earlier ones stays with the text that is left, and the mix takes nothing from it. Documents with a
-NULL doc_id are near duplicates of nothing and stay, until the mix, which joins by doc_id, leaves them out; rows of one
-doc_id stay or go together. What a stage decides is
+NULL doc_id are near duplicates of nothing and lose no passages; near duplicates stay or go by doc_id, in all other stages
+each row of one doc_id has a result of its own. What a stage decides is
 written as a small table, and the tables made on the way to it are removed."""
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the words it takes of them as their text."""
-    taken = mixing.mix_documents(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken").distinct()
-    rows = docs.drop("size", "source_size", "target", "taken").join(taken, "doc_id")
+    new = ("size", "source_size", "target", "taken")
+    rows = mixing.mix_documents(docs.drop(*new), keep=True).where("taken > 0").select("row.*", *new)
     rows = rows.withColumn("text", mixing.taken_text(F.col("text"), F.col("size"), F.col("taken")))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
