@@ -242,6 +242,9 @@ def test_html_text():
     assert html_text.main_text(page) == "Head & line\nFirst bold text\na < b c\nLast é"
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p><!-- x -->") == ""
     assert html_text.main_text("only text") == "only text"
+    assert html_text.main_text("<p data-a=it's>The first one.</p><p>That's the second.</p>") == "The first one.\nThat's the second."
+    assert html_text.main_text("<p title='a > b' data-b = \"c > d\" e'f>Held</p>") == "Held"
+    assert html_text.main_text("<p title='never closed>Kept</p><p>Also</p>") == "Kept\nAlso"
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
