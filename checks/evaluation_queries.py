@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import views as V
 from checks.sqltext import BLOCKS, HORIZONS, bootstrap_block, pct, r, spearman, sql
 from panelwright.operators import agreement, diagnostics, evaluation, gram, neighbours, ranking
-from panelwright.operators.models import TreeSettings, seeded_sample
+from panelwright.operators.models import Rule, TreeSettings, permutation_importance, seeded_sample
 from panelwright.plans import evaluate as plan
 from panelwright.plans import fits
 from panelwright.plans.panel import add_ranks
@@ -371,6 +371,27 @@ def _(spark, sf):
     return plan.feature_importance(model_panel(spark, sf), 1, V.EVAL, SMALL_TREES)
 
 
+_blend = "coalesce(beta * group_mom_1y, 0) - 0.25 * coalesce(level_rel_group, 0)"
+_moved = lambda f, i: f"case when which = {i} then g.{f} else r.{f} end"
+_used = ("beta", "group_mom_1y", "level_rel_group")
+
+
+@query("m_importance_of_a_rule", sql(f"""
+    select feature, {r('avg(rise)', 'importance_mean', 9)}, {r('stddev_pop(rise)', 'importance_std', 9)} from (
+      select feature, repeat, avg(power({_blend} - y, 2)) - (select avg(power({_blend} - y, 2)) from scored) as rise from exchanged group by 1, 2) group by 1""",
+    scored="select *, target_1y as y, row_number() over (order by entity, yr) as place from panel where target_1y is not null",
+    givers="""select s.*, t.repeat, row_number() over (partition by repeat order by md5('7|' || repeat || '|' || entity || '|' || (yr * 12 + 11)), entity, yr) as gives
+              from scored s, (select unnest([0, 1, 2]) as repeat) t""",
+    exchanged="select r.y, g.repeat, w.feature, " + ", ".join(f"{_moved(f, i)} as {f}" for i, f in enumerate(_used)) + " from scored r "
+    "join givers g on g.gives = r.place, (select unnest([0, 1, 2]) as which, unnest([" + ", ".join(f"'{f}'" for f in _used) + "]) as feature) w",
+))
+def _(spark, sf):
+    """Permutation importance of a formula of three features, over all labelled rows."""
+    rule = Rule(F.coalesce(F.col("beta") * F.col("group_mom_1y"), F.lit(0.0)) - 0.25 * F.coalesce("level_rel_group", F.lit(0.0)), _used)
+    found = permutation_importance(rule, V.written_panel(spark, sf), "target_1y", ["entity", "midx"])
+    return V.rounded(found, 9)
+
+
 @query("m_focus_ranking")
 def _(spark, sf):
     out = plan.rank_focus(model_panel(spark, sf), 1, V.EVAL, SMALL_TREES)

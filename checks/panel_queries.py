@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as V
-from checks.sqltext import pct, r, spearman, sql
+from checks.sqltext import HORIZONS, LAGS, RATES, pct, r, spearman, sql
 from panelwright.functions import calendar, scalar
 from panelwright.operators import agreement, groups, history, macro, neighbours, positions, signs
 from panelwright.operators import vintages as vint
@@ -273,17 +273,13 @@ def _(spark, sf):
     return V.rounded(macro.rolling_deviation(months, "val", "dev", 12, 6, by=("series",)).drop("val"))
 
 
-_rates = """(select midx, value from (select year(o_orderdate) * 12 + month(o_orderdate) - 1 as midx, o_totalprice as value,
-       row_number() over (partition by year(o_orderdate), month(o_orderdate) order by cast(o_orderdate as date) desc, o_orderkey desc) as i from orders) where i = 1)"""
-
-
 @query("x_regime", f"""with m as (select a.midx, a.natl, a.natl - ln(c.v) as ptr from {_months_sql} a
          left join (select year(l_shipdate) * 12 + month(l_shipdate) - 1 as midx, avg(l_quantity) as v from lineitem group by 1) c on c.midx = a.midx),
        d as (select *, case when count(ptr) over w >= 6 then ptr - avg(ptr) over w end as dev from m
              window w as (order by midx rows between 11 preceding and current row))
        select cast(d.midx as integer) as midx, {r('r.value', 'rg_rate_level')}, {r('r.value - s.value', 'rg_rate_change_1y')},
               {r('d.natl - p.natl', 'rg_natl_mom_1y')}, {r('d.dev', 'rg_price_to_rent_dev')}
-       from d left join {_rates} r on r.midx = d.midx left join {_rates} s on s.midx = d.midx - 12 left join m p on p.midx = d.midx - 12""")
+       from d left join {RATES} r on r.midx = d.midx left join {RATES} s on s.midx = d.midx - 12 left join m p on p.midx = d.midx - 12""")
 def _(spark, sf):
     items = V.table(spark, sf, "lineitem").select(
         F.concat_ws("/", "l_orderkey", "l_linenumber").alias("entity"),
@@ -298,7 +294,7 @@ def _(spark, sf):
 
 @query("j_macro_on_panel", f"""select p.p_partkey as entity, cast(y.yr * 12 + 11 as integer) as midx, {r('m.value', 'rate')}
        from part p join (select distinct l_partkey, year(l_shipdate) as yr from lineitem) y on y.l_partkey = p.p_partkey
-       left join {_rates} m on m.midx = y.yr * 12 + 11""")
+       left join {RATES} m on m.midx = y.yr * 12 + 11""")
 def _(spark, sf):
     rate = macro.last_observation_per_month(V.order_observations(spark, sf).withColumn("series", F.lit("rate")), "id")
     rows = V.part_panel(spark, sf).select("entity", "midx")
@@ -434,18 +430,11 @@ def _(spark, sf):
     return agreement.paired_ranks(fwd, ["midx", "grp"], ["entity"], "inventory", "fwd_1y").select("entity", "midx", "rank_a", "rank_b")
 
 
-_sign = lambda f, e: f"select '{f}' as factor, yr, rho from ({spearman('yr', e, 'fwd_1y', 'panel')})"
-_signg = lambda f, e: f"select '{f}' as factor, yr, grp, rho from ({spearman('yr, grp', e, 'fwd_1y', 'panel')})"
-_roll = "select factor, yr, rho, case when count(rho) over w >= 2 then avg(rho) over w end as m from signs window w as (partition by factor order by yr rows between 2 preceding and current row)"
-
-
 @query("b_trailing_signs", sql(f"""select p.entity, cast(p.yr * 12 + 11 as integer) as midx, {r('c.rho', 'rg_cheap_sign_1y')}, {r('m.rho', 'rg_mom_sign_1y')},
        {r('c.m', 'rg_cheap_sign_3y')}, {r('m.m', 'rg_mom_sign_3y')}, {r('gc.rho', 'rg_group_cheap_sign_1y')}, {r('gm.rho', 'rg_group_mom_sign_1y')}
        from panel p left join rolled c on c.factor = 'cheap' and c.yr = p.yr - 1 left join rolled m on m.factor = 'mom' and m.yr = p.yr - 1
        left join gsigns gc on gc.factor = 'cheap' and gc.yr = p.yr - 1 and gc.grp = p.grp
-       left join gsigns gm on gm.factor = 'mom' and gm.yr = p.yr - 1 and gm.grp = p.grp""",
-       signs=_sign("cheap", "-level_rel_group") + " union all " + _sign("mom", "mom_1y_rel"), rolled=_roll,
-       gsigns=_signg("cheap", "-level_rel_group") + " union all " + _signg("mom", "mom_1y_rel")))
+       left join gsigns gm on gm.factor = 'mom' and gm.yr = p.yr - 1 and gm.grp = p.grp"""))
 def _(spark, sf):
     out = signs.add_trailing_signs(V.written_panel(spark, sf))
     return V.rounded(out.select("entity", "midx", *[c for c in out.columns if c.startswith("rg_")]))
@@ -475,3 +464,57 @@ def _(spark, sf):
     a, b = F.when(size > 10, size), F.when(size < 30, size * 2)
     return V.table(spark, sf, "part").select(
         k.alias("entity"), scalar.sum_or_null([a, b]).alias("sum_known"), scalar.share_of_parts([a, b], F.col("p_retailprice")).alias("share"))
+
+
+# ---------------------------------------------------------------- the whole panel
+
+_VINTAGE = ["log_pop", "log_income", "log_attr_rent", "log_housing_units", "median_age", "median_year_built", "young_adult_share",
+            "owner_share", "vacancy_share", "bachelors_share", "inflow_share", "unemployment_rate", "transit_share"]
+ENTITY_LEVEL = [
+    "log_value", *[f"mom_{k}y" for k in LAGS], "level_rel_group", "beta", *SUB_COLUMNS, *plan.TEMPO_COLUMNS,
+    "nbr_level_gap", "nbr_mom_3y_gap", "nbr_dist_km", "rent_mom_2y", "rent_yield", *_VINTAGE,
+    *[f"d2_{c}" for c in vint.CHANGE_COLUMNS], "price_to_income", "attr_rent_to_price", "inv_per_1k_units",
+]
+TWINS = ["rent_yield", "rent_mom_2y", *plan.ATTRIBUTE_TWINS, *[f"d2_{c}" for c in vint.CHANGE_COLUMNS]]
+SIGNS = [f"rg_{f}_sign_{k}y" for f in ("cheap", "mom") for k in (1, 3)] + [f"rg_group_{f}_sign_1y" for f in ("cheap", "mom")]
+OTHERS = [*[f"mom_{k}y_rel" for k in LAGS], *[f"fwd_{h}y" for h in HORIZONS], *[f"target_{h}y" for h in HORIZONS],
+          *[c for c in GROUP_COLUMNS if c != "level_rel_group"], *[f"{c}_rel" for c in TWINS], *plan.REGIME_COLUMNS, *SIGNS]
+
+
+@query("p_whole_panel", sql(f"""select entity, {DEC}, cast(yr as integer) as origin_year, grp, sub, cast(vintage as integer) as vintage, group_ok, in_focus,
+       """ + ", ".join(r(c, digits=8) for c in [*ENTITY_LEVEL, *OTHERS]) + " from whole"))
+def _(spark, sf):
+    """The whole plan with every source: all columns but the percentiles. Eight places, as means of a few short decimals end
+    in a half at the seventh."""
+    out = plan.build_panel(V.every_input(spark, sf), V.WHOLE)
+    return V.rounded(out.select("entity", "midx", "origin_year", "grp", "sub", "vintage", "group_ok", "in_focus", *ENTITY_LEVEL, *OTHERS), 8)
+
+
+# Columns that rank like another one (`_rel`) or hold one value for a group have no percentile.
+RANKED_OF_ALL = [c for c in ENTITY_LEVEL if not c.endswith("_rel")]
+
+
+@query("w_all_percentiles", sql(f"select entity, {DEC}, " + ", ".join(
+    [r(pct(c, "yr, grp"), f"cs_{c}") for c in RANKED_OF_ALL] + [r(pct(f, "yr, grp"), f"{t}_pct") for f, t in _tp]
+    + [r(pct(f, "yr, grp, sub"), f"{t}_sub_pct") for f, t in _tp]) + " from fixed",
+    fixed="select entity, yr, grp, sub, " + ", ".join(r(c, digits=9) for c in [*RANKED_OF_ALL, *[f for f, _ in _tp]]) + " from whole"))
+def _(spark, sf):
+    """Every percentile column of the whole panel. Sums end differently in their last places from engine to engine, which
+    would tell equal values apart, so both sides rank values of nine places."""
+    i = V.every_input(spark, sf)
+    base = cut_lineage(plan.base_panel(i, V.WHOLE))
+    rows = cut_lineage(V.rounded(plan.add_sources(base, i, V.WHOLE), 9))
+    out = plan.add_ranks(rows, HORIZONS)
+    found = [c for c in out.columns if c.startswith("cs_") or c.endswith("_pct")]
+    return V.rounded(out.select("entity", "midx", *found))
+
+
+@query("w_split_ranks_with_null_keys", """with t as (select o_orderkey, case when o_orderstatus <> 'F' then o_orderstatus end as status, floor(o_totalprice / 1000) as v from orders)
+       select o_orderkey, status, cast(rank() over (partition by status order by v) - 1 as bigint) as before,
+              cast(count(*) over (partition by status, v) as bigint) as ties, cast(count(*) over (partition by status) as bigint) as n from t""")
+def _(spark, sf):
+    """Positions with few rows per range, so that every key is cut; NULL is the largest of them."""
+    status = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status")
+    rows = V.table(spark, sf, "orders").select("o_orderkey", status, F.floor(F.col("o_totalprice") / 1000).alias("v"))
+    out = positions.with_positions(rows, ["status"], "v", ["o_orderkey"], positions.SplitPlan(256, 64, 4))
+    return out.select("o_orderkey", "status", F.col("_before").alias("before"), F.col("_ties").cast("long").alias("ties"), F.col("_n").alias("n"))

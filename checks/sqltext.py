@@ -154,6 +154,62 @@ BLOCKS = {
 }
 
 
+RATES = """(select midx, value from (select year(o_orderdate) * 12 + month(o_orderdate) - 1 as midx, o_totalprice as value,
+       row_number() over (partition by year(o_orderdate), month(o_orderdate) order by cast(o_orderdate as date) desc, o_orderkey desc) as i from orders) where i = 1)"""
+_sign = lambda f, e: f"select '{f}' as factor, yr, rho from ({spearman('yr', e, 'fwd_1y', 'panel')})"
+_signg = lambda f, e: f"select '{f}' as factor, yr, grp, rho from ({spearman('yr, grp', e, 'fwd_1y', 'panel')})"
+_CHANGED = ("log_pop", "log_income", "log_housing_units", "bachelors_share", "young_adult_share", "inflow_share", "owner_share")
+_TWINS = ["rent_yield", "rent_mom_2y", "price_to_income", "log_income", "bachelors_share", "young_adult_share"] + [f"d2_{c}" for c in _CHANGED]
+
+# Every source joined to the panel: what the whole plan makes, but for the percentiles.
+BLOCKS |= {
+    "signs": _sign("cheap", "-level_rel_group") + " union all " + _sign("mom", "mom_1y_rel"),
+    "rolled": "select factor, yr, rho, case when count(rho) over w >= 2 then avg(rho) over w end as m from signs "
+    "window w as (partition by factor order by yr rows between 2 preceding and current row)",
+    "gsigns": _signg("cheap", "-level_rel_group") + " union all " + _signg("mom", "mom_1y_rel"),
+    "tempo": """
+        select a.entity, a.yr, ln(a.inventory) - ln(q.inventory) as inventory_yoy, ln(a.new_listings) - ln(q.new_listings) as new_listings_yoy,
+               a.inventory / a.new_listings as inv_to_new_listings, a.rent as days_pending, a.rent - q.rent as days_pending_yoy,
+               a.cut_share as price_cut_share, a.cut_share - q.cut_share as price_cut_share_yoy, 12 * a.rent / a.val as rent_yield,
+               ln(a.rent) - ln(o.rent) as rent_mom_2y, a.inventory as listed
+        from part_panel a left join part_panel q on q.entity = a.entity and q.yr = a.yr - 1
+        left join part_panel o on o.entity = a.entity and o.yr = a.yr - 2""",
+    "natl": """
+        select a.yr, a.natl, a.natl - ln(c.v) as ptr from (select yr, ln(median(val)) as natl from part_panel group by 1) a
+        left join (select year(l_shipdate) as yr, avg(l_quantity) as v from lineitem where month(l_shipdate) = 12 group by 1) c on c.yr = a.yr""",
+    "macro_years": f"""
+        select d.yr, r.value as rg_rate_level, r.value - s.value as rg_rate_change_1y, d.natl - p.natl as rg_natl_mom_1y, d.dev as rg_price_to_rent_dev
+        from (select *, case when count(ptr) over w >= 6 then ptr - avg(ptr) over w end as dev from natl
+              window w as (order by yr rows between 11 preceding and current row)) d
+        left join {RATES} r on r.midx = d.yr * 12 + 11 left join {RATES} s on s.midx = d.yr * 12 - 1 left join natl p on p.yr = d.yr - 1""",
+    "counts": """
+        select entity, yr as vintage, ln(1000 * inventory) as log_pop, ln(val / 10) as log_income, ln(30 * rent) as log_attr_rent,
+               ln(100 * inventory + entity % 50) as log_housing_units, cast(20 + entity % 40 as double) as median_age,
+               case when entity % 9 > 0 then cast(1900 + entity * 7 % 120 as double) end as median_year_built,
+               (2 * rent + inventory) / (1000 * inventory) as young_adult_share, rent / (2 * rent + inventory) as owner_share,
+               new_listings / (100 * inventory + entity % 50) as vacancy_share, rent / (60 + inventory) as bachelors_share,
+               (inventory + case when entity % 3 > 0 then rent else 0 end) / (100 * new_listings) as inflow_share,
+               100 * cut_share / (100 + rent) as unemployment_rate, inventory / (inventory + rent) as transit_share
+        from part_panel""",
+    "counts_changed": "select v.*, " + ", ".join(f"v.{c} - o.{c} as d2_{c}" for c in _CHANGED)
+    + " from counts v left join counts o on o.entity = v.entity and o.vintage = v.vintage - 2",
+    "vintage_of": "select y.yr, max(v.vintage) as vintage from (select distinct yr from part_panel) y "
+    "left join (select distinct vintage from counts) v on v.vintage <= y.yr - 2 group by 1",
+    "joined": """
+        select p.*, t.* exclude (entity, yr, listed), m.* exclude (yr), n.* exclude (entity, yr), c.vintage, a.* exclude (entity, vintage),
+               p.log_value - a.log_income as price_to_income, a.log_attr_rent + ln(12) - p.log_value as attr_rent_to_price,
+               1000 * t.listed / exp(a.log_housing_units) as inv_per_1k_units, sc.rho as rg_cheap_sign_1y, sm.rho as rg_mom_sign_1y,
+               sc.m as rg_cheap_sign_3y, sm.m as rg_mom_sign_3y, gc.rho as rg_group_cheap_sign_1y, gm.rho as rg_group_mom_sign_1y
+        from panel p join tempo t on t.entity = p.entity and t.yr = p.yr join macro_years m on m.yr = p.yr
+        left join nbr_gaps n on n.entity = p.entity and n.yr = p.yr join vintage_of c on c.yr = p.yr
+        left join counts_changed a on a.entity = p.entity and a.vintage = c.vintage
+        left join rolled sc on sc.factor = 'cheap' and sc.yr = p.yr - 1 left join rolled sm on sm.factor = 'mom' and sm.yr = p.yr - 1
+        left join gsigns gc on gc.factor = 'cheap' and gc.yr = p.yr - 1 and gc.grp = p.grp
+        left join gsigns gm on gm.factor = 'mom' and gm.yr = p.yr - 1 and gm.grp = p.grp""",
+    "whole": "select *, " + ", ".join(f"{c} - avg({c}) over g as {c}_rel" for c in _TWINS) + " from joined window g as (partition by yr, grp)",
+}
+
+
 def bootstrap_block(name: str, source: str, keys: str, value: str, draws: int = 200) -> dict[str, str]:
     """Blocks computing (keys, ci_low, ci_high) of the mean of `value` by test_year from `source`."""
     on = " and ".join(f"v.{k.strip()} = s.{k.strip()}" for k in keys.split(","))

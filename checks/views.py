@@ -5,10 +5,14 @@ is always aggregated by part before it meets the part table, so a hot part is co
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.folder import ready
+from panelwright.operators.macro import last_observation_per_month
+from panelwright.operators.vintages import attribute_features
 from panelwright.options import EvaluationOptions, PanelOptions
 from panelwright.plans.panel import PanelInputs, base_panel
 from panelwright.session import cut_lineage, tune
@@ -26,6 +30,7 @@ OPT = PanelOptions(
     macro_window=12,
     macro_min=6,
 )
+WHOLE = replace(OPT, vintage_gap=2)  # so that the few years hold changes of attributes
 EVAL = EvaluationOptions(horizons=(1, 2, 3, 5), first_test_year=1997, draws=200, focus_min_rows=100)
 
 
@@ -78,6 +83,37 @@ def inputs(spark, sf) -> PanelInputs:
     )
 
 
+def attribute_vintages(spark, sf) -> DataFrame:
+    """Attribute counts of every part and year, made from its line items, under their normalised names."""
+    e, c = F.col("entity"), F.col
+    return yearly(spark, sf).select(
+        "entity", c("yr").alias("vintage"), (1000 * c("inventory")).alias("pop"), (c("val") / 10).alias("median_income"),
+        (30 * c("rent")).alias("median_rent"), (100 * c("inventory") + e % 50).alias("housing_units"),
+        (20.0 + e % 40).alias("median_age"), F.when(e % 9 > 0, 1900.0 + e * 7 % 120).otherwise(0.0).alias("median_year_built"),
+        c("rent").alias("male_25_29"), F.lit(None).cast("double").alias("male_30_34"), c("inventory").alias("female_25_29"),
+        c("rent").alias("female_30_34"), c("rent").alias("owner_occupied"), (2 * c("rent") + c("inventory")).alias("occupied_units"),
+        c("new_listings").alias("vacant_units"), c("rent").alias("edu_bachelors_plus"), (60 + c("inventory")).alias("edu_total"),
+        c("inventory").alias("moved_other_county"), F.when(e % 3 > 0, c("rent")).alias("moved_other_state"),
+        F.lit(None).cast("double").alias("moved_abroad"), (100 * c("new_listings")).alias("mobility_total"),
+        (100 * c("cut_share")).alias("unemployed"), (100 + c("rent")).alias("labor_force"), c("inventory").alias("transit_commuters"),
+        (c("inventory") + c("rent")).alias("commuters"),
+    )
+
+
+def every_input(spark, sf) -> PanelInputs:
+    """All sources that a panel can have."""
+    some = inputs(spark, sf)
+    items = table(spark, sf, "lineitem").select((F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("midx"), "l_quantity")
+    rates = last_observation_per_month(order_observations(spark, sf).withColumn("series", F.lit("rate")), "id")
+    return replace(
+        some,
+        tempo={**some.tempo, "days_pending": some.rent},
+        rate=rates.select("midx", "value"),
+        rent_index=items.groupBy("midx").agg(F.avg("l_quantity").alias("value")),
+        attributes=attribute_features(attribute_vintages(spark, sf)),
+    )
+
+
 def panel(spark, sf) -> DataFrame:
     """Momentum, outcomes, beta, group and subgroup features and flags."""
     return base_panel(inputs(spark, sf), OPT)

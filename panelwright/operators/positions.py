@@ -44,8 +44,8 @@ cuts AS (
          filter(array_distinct(_drawn), (x, i) -> i % <step> = <step> - 1) AS _coarse
   FROM sorted),
 searched AS (
-  SELECT *, size(filter(_coarse, x -> x < <value>)) AS _skip, array_contains(_heavy, <value>) AS _tied
-  FROM known LEFT JOIN cuts USING (<keys>)),
+  SELECT known.*, _cuts, size(filter(_coarse, x -> x < <value>)) AS _skip, array_contains(_heavy, <value>) AS _tied
+  FROM known LEFT JOIN cuts ON <same_cuts>),
 placed AS (
   SELECT <columns>, _cuts IS NOT NULL AS _was_cut,
          CASE WHEN _cuts IS NULL THEN 0L ELSE 2L * (_skip * <step>
@@ -58,8 +58,8 @@ summed AS (
          sum(_in_range) OVER (PARTITION BY <keys>) AS _in_key
   FROM counted),
 ranges AS (
-  SELECT <keys>, _range, _in_range, _offset, _in_key,
-         explode(sequence(0L, CASE WHEN _range % 2 = 1 THEN <tie_salts>L - 1 ELSE 0L END)) AS _salt
+  SELECT <keys>, _range AS _at_range, _in_range, _offset, _in_key,
+         explode(sequence(0L, CASE WHEN _range % 2 = 1 THEN <tie_salts>L - 1 ELSE 0L END)) AS _at_salt
   FROM summed)"""
 
 _POSITIONS = """
@@ -70,18 +70,18 @@ local AS (
                         RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS _same,
          count(*) OVER (PARTITION BY <keys>, _range, _salt) AS _rows
   FROM placed)
-SELECT <columns>,
+SELECT <local_columns>,
        coalesce(_offset, 0L) + CASE WHEN _range % 2 = 1 THEN 0L ELSE _rank - 1L END AS _before,
        CASE WHEN _range % 2 = 1 THEN _in_range ELSE _same END AS _ties,
        coalesce(_in_key, _rows) AS _n
-FROM local LEFT JOIN ranges USING (<keys>, _range, _salt)"""
+FROM local LEFT JOIN ranges ON _range = _at_range AND _salt = _at_salt AND <same_ranges>"""
 
 _ROW_NUMBER = """
 WITH known AS (SELECT * FROM {rows}), <split>,
 local AS (
   SELECT *, row_number() OVER (PARTITION BY <keys>, _range, _salt ORDER BY <value>) AS _row FROM placed)
-SELECT <columns>, cast(coalesce(_offset, 0L) + _row AS int) AS <name>
-FROM local LEFT JOIN ranges USING (<keys>, _range, _salt)"""
+SELECT <local_columns>, cast(coalesce(_offset, 0L) + _row AS int) AS <name>
+FROM local LEFT JOIN ranges ON _range = _at_range AND _salt = _at_salt AND <same_ranges>"""
 
 
 def quoted(names: list[str]) -> str:
@@ -92,6 +92,9 @@ def _fill(text: str, rows: DataFrame, keys: list[str], value: str, ids: list[str
     parts = {
         "split": _SPLIT,
         "columns": quoted(rows.columns),
+        "local_columns": ", ".join(f"local.`{c}`" for c in rows.columns),
+        "same_cuts": " AND ".join(f"known.`{k}` <=> cuts.`{k}`" for k in keys),
+        "same_ranges": " AND ".join(f"local.`{k}` <=> ranges.`{k}`" for k in keys),
         "keys": quoted(keys),
         "value": f"`{value}`",
         "ids": quoted(ids),
@@ -110,7 +113,7 @@ def with_positions(
     rows: DataFrame, keys: list[str], value: str, ids: list[str], plan: SplitPlan = DEFAULT_PLAN
 ) -> DataFrame:
     """Keep rows with a value and add, per key: `_before` (rows with a smaller value), `_ties` (rows with the
-    same value, itself included) and `_n` (rows). `keys` must not be NULL; `ids` identify a row."""
+    same value, itself included) and `_n` (rows). NULL is a key like any other; `ids` identify a row."""
     return rows.sparkSession.sql(_fill(_POSITIONS, rows, keys, value, ids, plan), rows=rows)
 
 

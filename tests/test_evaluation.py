@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import agreement, diagnostics, evaluation, ranking
 from panelwright.operators.features import ablation_sets
-from panelwright.operators.models import TreeSettings, fit_ridge, fit_trees, permutation_importance, seeded_sample
+from panelwright.operators.models import Rule, TreeSettings, fit_ridge, fit_trees, permutation_importance, seeded_sample
 from panelwright.operators.positions import SplitPlan
 from panelwright.options import EvaluationOptions
 from panelwright.plans import evaluate as plan
@@ -359,3 +359,22 @@ def test_ridge_query_has_every_horizon_and_fold(spark):
     panel = views.written_panel(spark, sf)
     want = {(h, y) for h in views.EVAL.horizons for y in plan.fold_list(panel, h, views.EVAL.first_test_year)}
     assert {(r.horizon, r.test_year) for r in rows.select("horizon", "test_year").distinct().collect()} == want and len(want) > 4
+
+
+def test_importance_of_a_stump_is_the_error_of_its_exchanged_rows(spark):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"entity": range(300), "x": rng.normal(size=300), "z": rng.normal(size=300)})
+    pdf.loc[::7, "x"] = np.nan
+    pdf["label"] = np.where(pdf["x"] > 0.2, 1.0, 0.0) + pdf["z"] / 10
+    df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None)))
+    stump = Rule(F.when(F.col("x") > 0.2, 1.0).otherwise(0.0), ("x", "z"))
+    got = permutation_importance(stump, df, "label", ["entity"], repeats=3, plan=SplitPlan(50, 16, 2)).toPandas().set_index("feature")
+    rises = []
+    for repeat in range(3):
+        order = sorted(range(300), key=lambda e: hashlib.md5(f"7|{repeat}|{e}".encode()).hexdigest())
+        pred = np.where(pdf["x"].to_numpy()[order] > 0.2, 1.0, 0.0)
+        rises.append(((pred - pdf["label"]) ** 2).mean() - ((pdf["z"] / 10) ** 2).mean())
+    np.testing.assert_allclose(got.loc["x"], [np.mean(rises), np.std(rises)], atol=1e-12)
+    assert got.loc["z"].abs().max() < 1e-12

@@ -76,3 +76,12 @@ def test_a_large_key_is_cut_and_a_heavy_tie_is_spread(spark, table):
 def test_positions_of_an_all_null_column_are_empty(spark):
     df = spark.createDataFrame([(1, "k", None)], "id long, key string, value double")
     assert with_positions(df, ["key"], "value", ["id"]).count() == 0
+
+
+def test_a_null_key_is_cut_like_any_other(spark, table, rows):
+    df = table.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
+    got = add_percentiles(df, ["key"], ["id"], {"p": "value"}, PLANS[1]).toPandas().sort_values("id")
+    want = rows.groupby("key")["value"].rank(pct=True)
+    np.testing.assert_allclose(got["p"].to_numpy(dtype=float), want.to_numpy(), rtol=1e-12)
+    ordered = with_row_number(df.where("key is null"), ["key"], ["id"], ["id"], "at", PLANS[1]).toPandas().sort_values("id")
+    assert ordered["at"].tolist() == list(range(1, len(ordered) + 1))
