@@ -287,4 +287,4 @@ def _(spark, sf):
 def _(spark, sf):
     text = F.replace(F.col("text"), F.lit("the"), F.lit("the " + B.IGNORE))
     lines = B.group_lines(B.markdown_lines(docs(spark, sf, text)))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return B.line_rows(lines).groupBy("doc_id").agg(F.count("*").alias("n_lines"))

@@ -1,13 +1,12 @@
 """Documents (doc_id, text) to the lines a reader sees and to blocks of joined lines.
 
-State inside a document (front matter, fences, lists, blocks) is kept per document: in-row over its array of
-lines, or by windows partitioned by document. A document arrives in one cell, so such a partition is never larger
-than a row the table already holds."""
+A document stays in its row until its blocks are known, so nothing here shuffles and rows of one doc_id are never
+mixed. State that runs along the lines (lists, blocks) is kept in one text for the whole document, in which a line end
+is the only mark: lines never hold one. That is linear in the lines, where growing an array line by line is not."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.prose.text import blanked, newlines, not_prose, replace_matches, trim
@@ -88,8 +87,21 @@ def _fenced_spans(lines: Column, after: Column) -> Column:
     return F.aggregate(marks, start, step, finish)
 
 
+def _once(parts: dict[str, Column], use) -> Column:
+    """`use` of the named parts, each computed once per row: as a column that a lambda names, the optimiser may put the
+    whole expression into the lambda and so compute it for every line."""
+    bound = F.struct(*[c.alias(name) for name, c in parts.items()])
+    return F.get(F.transform(F.array(bound), use), F.lit(0))
+
+
+def _in_list(events: Column) -> Column:
+    """Per line, whether the last event above it opened a list. Events are L (a list), P (its end) and - (neither)."""
+    held = replace_matches(F.array_join(events, ""), "L-+", lambda m: F.repeat(F.lit("L"), F.length(m)))
+    return F.split(held, "", -1)
+
+
 def markdown_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, text, breaks, headline, starts): visible text per zero-based line, blank where nothing shows."""
+    """(doc_id, starts, lines): visible text per line with `breaks` and `headline`, blank where nothing shows."""
     text = replace_matches(F.col("text"), _COMMENT, blanked)
     text = replace_matches(text, _WRAPPED_CODE, lambda m: F.when(m.rlike(r"\n\s*\n"), m).otherwise(blanked(m)))
     cells = docs.select("doc_id", F.split(text, "\n", -1).alias("_lines"))
@@ -100,63 +112,71 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
         & F.array_contains(F.slice(trimmed, 2, 1 << 30), "---")
     )
     front_end = F.when(front, F.array_position(F.slice(trimmed, 2, 1 << 30), "---")).otherwise(-1).cast("int")
-    fences = cells.withColumn("_front", front_end).withColumn("_spans", _fenced_spans(F.col("_lines"), F.col("_front")))
-    rows = fences.select("doc_id", "_front", "_spans", F.posexplode("_lines").alias("i", "line"))
-    line = F.col("line")
-    hidden = (
-        (F.col("i") <= F.col("_front"))
-        | line.rlike(_FENCE)
-        | F.exists("_spans", lambda s: (F.col("i") > s["first"]) & (F.col("i") < s["last"]))
-        | line.contains(IGNORE)
-    )
-    rows = rows.withColumn("hidden", hidden).drop("_front", "_spans")
-    is_list, deep = line.rlike(_LIST), line.rlike(r"^\s{4,}\S")
-    event = (
-        F.when(F.col("hidden"), None)
-        .when(is_list & ~deep, True)
-        .when(~is_list & (trim(line) != "") & ~line.rlike(r"^\s{2,}\S"), False)
-    )
-    by_line = W.partitionBy("doc_id").orderBy("i")
-    before = by_line.rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_event", event).withColumn(
-        "in_list", F.coalesce(F.last("_event", ignorenulls=True).over(before), F.lit(False))
-    )
-    shown = ~F.col("hidden") & ~(deep & ~F.col("in_list"))
-    heading, table = line.rlike(r"^\s{0,3}#{1,6}\s"), line.rlike(r"^\s*\|")
-    reference = line.rlike(r"^\s{0,3}\[[^\]]+\]:\s*\S")
-    plain = F.regexp_replace(visible_markdown(line), r"^\s*[#>*\-+]+\s*", "")
-    plain = F.regexp_replace(plain, r"\*\*|__|(?<=\S)\*(?=\S)", "")
-    plain = F.regexp_replace(plain, r"^\s*\d+\.\s*", "")
-    visible = (
-        F.when(~shown | reference, "")
-        .when(table & line.rlike(r"^[\s|:-]+$"), "")
-        .when(table, F.replace(visible_markdown(line), F.lit("|"), F.lit(". ")))
-        .otherwise(plain)
+    fences = cells.withColumn("_front", front_end)
+
+    def seen(line, i, doc):
+        hidden = (
+            (i <= doc["front"])
+            | line.rlike(_FENCE)
+            | F.exists(doc["spans"], lambda s: (i > s["first"]) & (i < s["last"]))
+            | line.contains(IGNORE)
+        )
+        return F.struct(line.alias("line"), hidden.alias("hidden"), line.rlike(_LIST).alias("list"), line.rlike(r"^\s{4,}\S").alias("deep"))
+
+    def event(e):
+        ends = ~e["list"] & (trim(e["line"]) != "") & ~e["line"].rlike(r"^\s{2,}\S")
+        return F.when(e["hidden"], "-").when(e["list"] & ~e["deep"], "L").when(ends, "P").otherwise("-")
+
+    def kind(e, i, doc):
+        line = e["line"]
+        in_list = F.coalesce(F.get(doc["held"], i - 1) == "L", F.lit(False))
+        shown = ~e["hidden"] & ~(e["deep"] & ~in_list)
+        return F.struct(
+            line.alias("line"), e["list"].alias("list"), shown.alias("shown"),
+            line.rlike(r"^\s{0,3}#{1,6}\s").alias("heading"), line.rlike(r"^\s*\|").alias("table"),
+        )
+
+    def visible(e, i, doc):
+        line = e["line"]
+        plain = F.regexp_replace(visible_markdown(line), r"^\s*[#>*\-+]+\s*", "")
+        plain = F.regexp_replace(plain, r"\*\*|__|(?<=\S)\*(?=\S)", "")
+        plain = F.regexp_replace(plain, r"^\s*\d+\.\s*", "")
+        text = (
+            F.when(~e["shown"] | line.rlike(r"^\s{0,3}\[[^\]]+\]:\s*\S"), "")
+            .when(e["table"] & line.rlike(r"^[\s|:-]+$"), "")
+            .when(e["table"], F.replace(visible_markdown(line), F.lit("|"), F.lit(". ")))
+            .otherwise(plain)
+        )
+        above = F.get(doc["kinds"], i - 1)
+        own = e["shown"] & (e["list"] | line.rlike(r"^\s*\*\*") | e["heading"] | e["table"])
+        after_heading = F.coalesce(above["shown"] & above["heading"], F.lit(False))
+        return F.struct(
+            text.alias("text"), (own | after_heading).alias("breaks"), (e["shown"] & line.rlike(r"^\s{0,3}#\s")).alias("headline")
+        )
+
+    spans = _fenced_spans(F.col("_lines"), F.col("_front"))
+    all_seen = _once(
+        {"lines": F.col("_lines"), "front": F.col("_front"), "spans": spans},
+        lambda doc: F.transform(doc["lines"], lambda line, i: seen(line, i, doc)),
     )
-    return rows.select(
-        "doc_id",
-        "i",
-        visible.alias("text"),
-        (shown & (is_list | line.rlike(r"^\s*\*\*") | heading | table)).alias("_own"),
-        (shown & heading).alias("_heading"),
-        (shown & line.rlike(r"^\s{0,3}#\s")).alias("headline"),
-    ).select(
-        "doc_id",
-        "i",
-        "text",
-        (F.col("_own") | F.coalesce(F.lag("_heading").over(by_line), F.lit(False))).alias("breaks"),
-        "headline",
-        F.array().cast("array<int>").alias("starts"),
+    all_kinds = _once(
+        {"seen": F.col("_seen"), "held": _in_list(F.transform("_seen", event))},
+        lambda doc: F.transform(doc["seen"], lambda e, i: kind(e, i, doc)),
     )
+    lines = _once({"kinds": F.col("_kinds")}, lambda doc: F.transform(doc["kinds"], lambda e, i: visible(e, i, doc)))
+    rows = fences.select("doc_id", all_seen.alias("_seen")).select("doc_id", all_kinds.alias("_kinds"))
+    return rows.select("doc_id", F.array().cast("array<int>").alias("starts"), lines.alias("lines"))
 
 
 def plain_lines(docs: DataFrame) -> DataFrame:
     """Lines as they are, with list items, bold lead-ins, headings and table rows opening a block."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
-    opens = F.col("text").rlike(r"^\s*([-*+]|\d+\.)\s|^\s*\*\*|^\s{0,3}#{1,6}\s|^\s*\|")
-    return rows.select(
-        "*", opens.alias("breaks"), F.lit(False).alias("headline"), F.array().cast("array<int>").alias("starts")
-    )
+
+    def whole(line):
+        opens = line.rlike(r"^\s*([-*+]|\d+\.)\s|^\s*\*\*|^\s{0,3}#{1,6}\s|^\s*\|")
+        return F.struct(line.alias("text"), opens.alias("breaks"), F.lit(False).alias("headline"))
+
+    lines = F.transform(F.split("text", "\n", -1), whole)
+    return docs.select("doc_id", F.array().cast("array<int>").alias("starts"), lines.alias("lines"))
 
 
 def piece_starts(text: Column) -> Column:
@@ -180,29 +200,27 @@ def html_lines(docs: DataFrame) -> DataFrame:
     text = replace_matches(F.col("text"), _HIDDEN, blanked)
     text = replace_matches(text, _COMMENT, blanked)
     text = replace_matches(text, _OPEN_TAG, flat)
-    rows = docs.select(
-        "doc_id", piece_starts(F.col("text")).alias("starts"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line")
-    )
-    line = F.col("line")
-    shown = F.concat(visible_attributes(line), line)
-    for pattern, put in (
-        (_BLOCK_ANY, ". "),
-        (r"<[^>]*>", " "),
-        (r"&(nbsp|#160);", " "),
-        (r"&(rsquo|apos|#39);", "'"),
-        (r"&(mdash|#8212);", "\u2014"),
-        (r"&[a-z]+;|&#\d+;", " "),
-    ):
-        shown = F.regexp_replace(shown, pattern, put)
-    ignored = line.contains(IGNORE)
-    return rows.select(
-        "doc_id",
-        "i",
-        F.when(ignored, "").otherwise(shown).alias("text"),
-        (~ignored & line.rlike(_BLOCK_START)).alias("breaks"),
-        F.lit(False).alias("headline"),
-        "starts",
-    )
+
+    def visible(line):
+        shown = F.concat(visible_attributes(line), line)
+        for pattern, put in (
+            (_BLOCK_ANY, ". "),
+            (r"<[^>]*>", " "),
+            (r"&(nbsp|#160);", " "),
+            (r"&(rsquo|apos|#39);", "'"),
+            (r"&(mdash|#8212);", "\u2014"),
+            (r"&[a-z]+;|&#\d+;", " "),
+        ):
+            shown = F.regexp_replace(shown, pattern, put)
+        ignored = line.contains(IGNORE)
+        return F.struct(
+            F.when(ignored, "").otherwise(shown).alias("text"),
+            (~ignored & line.rlike(_BLOCK_START)).alias("breaks"),
+            F.lit(False).alias("headline"),
+        )
+
+    lines = F.transform(F.split(text, "\n", -1), visible)
+    return docs.select("doc_id", piece_starts(F.col("text")).alias("starts"), lines.alias("lines"))
 
 
 _JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
@@ -210,62 +228,74 @@ _JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
 
 def json_lines(docs: DataFrame) -> DataFrame:
     """String values of JSON documents that read as prose, each a block of its own, at the line they stand on.
-    Documents that do not parse give nothing."""
+    Documents that do not parse give nothing. In one that does, no string holds a line end."""
     valid = docs.where(F.try_parse_json(F.col("text")).isNotNull())
-    zipped = F.arrays_zip(
-        F.split("text", _JSON_STRING, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_JSON_STRING), 0).alias("hit")
+    colons = F.regexp_replace("text", r'"(\s*\n\s*):', '":$1')  # a colon belongs to the line of its key
+    lines = valid.select(
+        "doc_id", piece_starts(F.col("text")).alias("starts"), F.posexplode(F.split(colons, "\n", -1)).alias("i", "line")
     )
-    rows = valid.select("doc_id", piece_starts(F.col("text")).alias("starts"), F.posexplode(zipped).alias("k", "z"))
-    line = W.partitionBy("doc_id").orderBy("k")
-    hit, gap = F.col("z.hit"), F.col("z.gap")
-    above = F.sum(newlines(gap) + F.coalesce(newlines(hit), F.lit(0))).over(line.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("i", (F.coalesce(above, F.lit(0)) + newlines(gap)).cast("int"))
-    rows = rows.where(hit.isNotNull() & ~hit.endswith(":"))  # a string followed by a colon is a key
-    value = F.get(F.from_json(F.concat(F.lit("["), hit, F.lit("]")), "array<string>"), F.lit(0))
-    rows = rows.select("doc_id", "starts", "k", "i", F.regexp_replace(value, r"<[^>]+>", ". ").alias("text"))
+    hits = F.posexplode(F.regexp_extract_all("line", F.lit(_JSON_STRING), 0)).alias("j", "hit")
+    rows = lines.where(F.col("line").contains('"')).select("doc_id", "starts", "i", hits)
+    rows = rows.where(~F.col("hit").endswith(":"))  # a string followed by a colon is a key
+    value = F.get(F.from_json(F.concat(F.lit("["), F.col("hit"), F.lit("]")), "array<string>"), F.lit(0))
+    place = F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")
+    rows = rows.select("doc_id", "starts", place.alias("k"), "i", F.regexp_replace(value, r"<[^>]+>", ". ").alias("text"))
     return rows.where(F.col("text").isNotNull() & ~not_prose(F.col("text")))
 
 
-def group_lines(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with their block number: a blank line or a break ends the block before."""
-    by_line = W.partitionBy("doc_id").orderBy("i")
-    rows = lines.withColumn("text", trim(F.col("text"))).withColumn("_blank", F.col("text") == "")
-    opens = F.col("breaks") | F.coalesce(F.lag("_blank").over(by_line), F.lit(True))
-    rows = rows.withColumn("_opens", opens).where(~F.col("_blank"))
-    rows = rows.withColumn("block", F.sum(F.col("_opens").cast("int")).over(by_line).cast("int"))
-    rows = rows.withColumn("first_line", F.max(F.when(F.col("_opens"), F.col("i") + 1)).over(by_line))
-    tail = F.right(F.lag("text").over(by_line), F.lit(30))
-    same = F.lag("block").over(by_line) == F.col("block")
-    return rows.select(
-        "doc_id", "block", (F.col("i") + 1).alias("line"), "first_line", "text", "headline", "starts",
-        F.when(same, F.concat(tail, F.lit(" "))).otherwise("").alias("tail"),
-    )
+def group_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, block, starts, lines): one row per block with its non-blank lines (line, text, headline). A blank line or
+    a break ends the block before."""
+    trimmed = F.transform("lines", lambda e: e.withField("text", trim(e["text"])))
+
+    def marked(e, i, doc):
+        opens = e["breaks"] | F.coalesce(F.get(doc["lines"], i - 1)["text"] == "", F.lit(True))
+        mark = F.concat(F.when(opens, "\n\n").otherwise("\n"), F.when(e["headline"], "h").otherwise("-"))
+        return F.when(e["text"] == "", "").otherwise(F.concat(mark, (i + 1).cast("string"), F.lit(" "), e["text"]))
+
+    parts = _once({"lines": trimmed}, lambda doc: F.transform(doc["lines"], lambda e, i: marked(e, i, doc)))
+    found = F.filter(F.split(F.array_join(parts, ""), "\n\n", -1), lambda x: x != "")
+    rows = docs.select("doc_id", "starts", F.posexplode(found).alias("_at", "_raw"))
+
+    def entry(x):
+        space = F.instr(x, " ")
+        return F.struct(
+            F.substring(x, F.lit(2), space - 2).cast("int").alias("line"),
+            F.substring(x, space + 1, F.length(x)).alias("text"),
+            x.startswith("h").alias("headline"),
+        )
+
+    return rows.select("doc_id", (F.col("_at") + 1).alias("block"), "starts", F.transform(F.split("_raw", "\n", -1), entry).alias("lines"))
 
 
 def json_groups(lines: DataFrame) -> DataFrame:
-    return lines.select(
-        "doc_id", F.col("k").alias("block"), (F.col("i") + 1).alias("line"), (F.col("i") + 1).alias("first_line"), "text", F.lit(False).alias("headline"),
-        "starts", F.lit("").alias("tail"),
-    )
+    one = F.struct((F.col("i") + 1).alias("line"), "text", F.lit(False).alias("headline"))
+    return lines.select("doc_id", F.col("k").alias("block"), "starts", F.array(one).alias("lines"))
+
+
+def line_rows(grouped: DataFrame) -> DataFrame:
+    """(doc_id, block, starts, first_line, line, text, headline, tail): the lines of the blocks, each with the end of the
+    line above it in its block."""
+
+    def with_tail(e, k, block):
+        above = F.get(block["lines"], k - 1)["text"]
+        return e.withField("tail", F.coalesce(F.concat(F.right(above, F.lit(30)), F.lit(" ")), F.lit("")))
+
+    first = F.get("lines", F.lit(0))["line"]
+    tailed = _once({"lines": F.col("lines")}, lambda block: F.transform(block["lines"], lambda e, k: with_tail(e, k, block)))
+    return grouped.select("doc_id", "block", "starts", first.alias("first_line"), F.inline(tailed))
 
 
 def join_blocks(grouped: DataFrame) -> DataFrame:
-    """(doc_id, block, line, text, pieces, headline): lines joined by a space, with the offset each one starts at.
+    """(doc_id, block, line, text, pieces, headline): lines joined by a space, with the length and the number of each.
     A phrase wrapped over lines is then seen whole."""
-    by_line = W.partitionBy("doc_id").orderBy("line", "block").rowsBetween(W.unboundedPreceding, -1)
-    rows = grouped.withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(by_line), F.lit(0)))
-    joined = rows.groupBy("doc_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("line", "_at", "text", "headline"))).alias("_rows")
-    )
-    first = F.get("_rows", F.lit(0))
-    return joined.select(
+    first = F.get("lines", F.lit(0))
+    return grouped.select(
         "doc_id",
         "block",
         first["line"].alias("line"),
-        F.array_join(F.transform("_rows", lambda r: r["text"]), " ").alias("text"),
-        F.transform(
-            "_rows", lambda r: F.struct((r["_at"] - first["_at"]).cast("int").alias("start"), r["line"].alias("line"))
-        ).alias("pieces"),
+        F.array_join(F.transform("lines", lambda e: e["text"]), " ").alias("text"),
+        F.transform("lines", lambda e: F.struct(F.length(e["text"]).alias("length"), e["line"].alias("line"))).alias("pieces"),
         first["headline"].alias("headline"),
     )
 
@@ -274,6 +304,7 @@ READERS = {"markdown": markdown_lines, "plain": plain_lines, "html": html_lines}
 
 
 def grouped_lines(docs: DataFrame, kind: str) -> DataFrame:
+    """The blocks of documents of one kind with their lines."""
     if kind == "json":
         return json_groups(json_lines(docs))
     return group_lines(READERS[kind](docs))

@@ -173,5 +173,10 @@ def sentence_start(all_sentences: Column, position: Column) -> Column:
 
 def line_of(pieces: Column, offset: Column, first: Column) -> Column:
     """Source line of a character of a joined block."""
-    reached = F.filter(pieces, lambda p: p["start"] <= offset)
-    return F.coalesce(F.try_element_at(reached, F.lit(-1))["line"], first)
+    start = F.struct(F.lit(0).alias("at"), first.cast("int").alias("line"))
+
+    def step(acc, p):
+        reached = acc["at"] <= offset
+        return F.struct((acc["at"] + p["length"] + 1).alias("at"), F.when(reached, p["line"]).otherwise(acc["line"]).alias("line"))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["line"])

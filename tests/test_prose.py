@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.prose import blocks as B
 from panelwright.prose import findings as C
@@ -178,3 +179,34 @@ def test_a_block_over_a_piece_border_counts_as_one_piece(spark):
     (found,) = C.repeated_figures(lines, "(?!)", 2).collect()
     assert found.line == 3 and "3 times" in found.message
     assert C.repeated_figures(lines, "(?!)", 3).count() == 0
+
+
+def test_blocks_need_no_shuffle_and_rows_of_one_id_are_not_mixed(spark):
+    texts = ["one\ntwo\n\n- three", "", None, "\n\n", "# four\nfive", "- list\n\n    deep in it\n\nout\n\n    code\n" * 3]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    for kind in ("markdown", "plain", "html", "json"):
+        plan = B.join_blocks(B.grouped_lines(docs, kind))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    got = sorted((r.block, r.line, r.text) for r in B.join_blocks(B.grouped_lines(docs, "markdown")).collect())
+    want = [(1, 1, "one two"), (2, 4, "three"), (1, 1, "four"), (2, 2, "five")]
+    want += [(1 + 3 * k, 1 + 7 * k, "list") for k in range(3)] + [(2 + 3 * k, 3 + 7 * k, "deep in it") for k in range(3)]
+    assert got == sorted(want + [(3 + 3 * k, 5 + 7 * k, "out") for k in range(3)])
+
+
+def test_a_colon_on_the_next_line_still_makes_a_key(spark):
+    text = '{"the key of this entry"\n : "a value that reads as prose",\n "list": ["an item \\" : of plain words"]}'
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r.i, r.text) for r in B.json_lines(docs).orderBy("k").collect()]
+    assert got == [(1, "a value that reads as prose"), (2, 'an item " : of plain words')]
+
+
+def test_a_text_of_very_many_lines_stays_linear(spark):
+    import time
+
+    seconds = []
+    for n in (20_000, 80_000):
+        docs = spark.createDataFrame([(1, "- a line of words\n" * n)], "doc_id long, text string")
+        began = time.time()
+        assert B.join_blocks(B.grouped_lines(docs, "markdown")).agg(F.sum(F.length("text"))).first()[0] == 15 * n
+        seconds.append(time.time() - began)
+    assert seconds[1] < 9 * seconds[0] + 2
