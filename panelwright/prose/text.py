@@ -150,18 +150,20 @@ def not_prose(text: Column) -> Column:
 
 # A stop with closing marks, and words whose period does not end a sentence.
 _CLOSERS = "[\"'\u2019\u201d)\\]*_]"
-_SENTENCE_END = f"(?<=[.!?]{_CLOSERS}{{0,3}})\\s+"
+_SENTENCE_END = f"([.!?]{_CLOSERS}{{0,3}})\\s+"
+_MARK = "\n\x01\n"  # a block has no line ends, so its own text never holds this
+# The mark stands first, so that what is before it is looked at only where a mark is and not at every character.
 _ABBREVIATION = (
-    r"(?<=(?:^|\s)(?:[eE]\.g|[iI]\.e|vs|approx|cf|al|fig|eq|Mr|Mrs|Ms|Dr|Prof|Jr|Sr|U\.S|[A-Z])\."
-    + f"{_CLOSERS}{{0,3}})"
+    _MARK
+    + r"(?<=(?:^|\s)(?:[eE]\.g|[iI]\.e|vs|approx|cf|al|fig|eq|Mr|Mrs|Ms|Dr|Prof|Jr|Sr|U\.S|[A-Z])\."
+    + f"{_CLOSERS}{{0,3}}{_MARK})"
 )
-_MARK = "\n\x01\n"  # a block has no line ends, so its own text never holds this
 
 
 def sentences(text: Column) -> Column:
     """Array of sentences: marked after each stop, the mark taken back after an abbreviation, then split."""
-    marked = F.regexp_replace(text, _SENTENCE_END, _MARK)
-    glued = F.regexp_replace(marked, _ABBREVIATION + _MARK, " ")
+    marked = F.regexp_replace(text, _SENTENCE_END, "$1" + _MARK)
+    glued = F.regexp_replace(marked, _ABBREVIATION, " ")
     return F.filter(F.transform(F.split(glued, _MARK, -1), trim), lambda s: s != "")
 
 

@@ -210,3 +210,23 @@ def test_a_text_of_very_many_lines_stays_linear(spark):
         assert B.join_blocks(B.grouped_lines(docs, "markdown")).agg(F.sum(F.length("text"))).first()[0] == 15 * n
         seconds.append(time.time() - began)
     assert seconds[1] < 9 * seconds[0] + 2
+
+
+def test_sentence_patterns_begin_with_what_they_look_for(spark):
+    """A pattern that begins with a lookbehind is tried in full at every character; the results stay those of one."""
+    from panelwright.prose import text as X
+
+    assert not X._SENTENCE_END.startswith("(?<") and not X._ABBREVIATION.startswith("(?<")
+    said = [
+        "One. Two!  Three? (Four.) Five.",
+        'He said "no." Then e.g. this, Dr. Mr. X. and J. Doe.',
+        "A.)*_  B vs. C.))))) d approx.\t e\x0b cf.\" g.",
+        "Wait...  what?! U.S. troops. al.)] gone.  nbsp. end.  ",
+    ]
+    end = f"(?<=[.!?]{X._CLOSERS}{{0,3}})\\s+"
+    glue = X._ABBREVIATION[len(X._MARK):-len(X._MARK) - 1] + ")" + X._MARK
+    marked = F.regexp_replace(F.regexp_replace("t", end, X._MARK), glue, " ")
+    plain = F.filter(F.transform(F.split(marked, X._MARK, -1), X.trim), lambda s: s != "")
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select(X.sentences(F.col("t")).alias("now"), plain.alias("then")).collect()
+    assert [r["now"] for r in rows] == [r["then"] for r in rows]
+    assert rows[0]["now"] == ["One.", "Two!", "Three?", "(Four.)", "Five."]
