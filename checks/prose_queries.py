@@ -85,8 +85,9 @@ def _(spark, sf):
 @query("t_sentences", sql("select doc_id, cast(block as integer) as block, cast(s as integer) as position, text from sents", **PLAIN, **SENTENCES))
 def _(spark, sf):
     rows = C.with_sentences(plain_blocks(spark, sf))
-    return rows.select("doc_id", "block", F.posexplode("sentences").alias("k", "text")).select(
-        "doc_id", "block", (F.col("k") + 1).alias("position"), "text")
+    # An outer explode: for a plain one the sentences are made a second time, to filter empty arrays.
+    each = rows.select("doc_id", "block", F.posexplode_outer("sentences").alias("k", "text")).where("k is not null")
+    return each.select("doc_id", "block", (F.col("k") + 1).alias("position"), "text")
 
 
 @query("t_long_sentences", sql(f"select doc_id, 'sentence runs ' || {words_sql('text')} || ' words (limit 45)' as message, text as evidence from sents where {words_sql('text')} > 45", **PLAIN, **SENTENCES))

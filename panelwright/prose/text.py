@@ -173,8 +173,19 @@ def sentence_start(all_sentences: Column, position: Column) -> Column:
     return F.aggregate(before, F.lit(0), lambda acc, s: acc + F.length(s) + 1)
 
 
+def sentence_starts(all_sentences: Column) -> Column:
+    """Offsets of all sentences, as a running sum."""
+    state = "struct<at:int, out:array<int>>"
+    return F.aggregate(
+        all_sentences,
+        F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state),
+        lambda acc, s: F.struct((acc["at"] + F.length(s) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(state),
+        lambda acc: acc["out"],
+    )
+
+
 def line_of(pieces: Column, offset: Column, first: Column) -> Column:
-    """Source line of a character of a joined block."""
+    """Source line of a character of a joined block. The offset is compared for every line, so give a column or a field."""
     start = F.struct(F.lit(0).alias("at"), first.cast("int").alias("line"))
 
     def step(acc, p):

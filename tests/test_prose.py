@@ -230,3 +230,16 @@ def test_sentence_patterns_begin_with_what_they_look_for(spark):
     rows = spark.createDataFrame([(t,) for t in said], "t string").select(X.sentences(F.col("t")).alias("now"), plain.alias("then")).collect()
     assert [r["now"] for r in rows] == [r["then"] for r in rows]
     assert rows[0]["now"] == ["One.", "Two!", "Three?", "(Four.)", "Five."]
+
+
+def test_lines_of_many_sentences_in_one_block(spark):
+    """The place of a sentence is found once, not once per line of its block."""
+    import time
+
+    text = "\n".join(f"Line {i} says so much." for i in range(1200))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = C.with_sentences(B.join_blocks(B.group_lines(B.plain_lines(docs))))
+    begun = time.time()
+    found = C.long_sentences(rows, 4).select("line", "evidence").collect()
+    assert time.time() - begun < 30
+    assert [(r["line"], r["evidence"]) for r in found] == [(i + 1, f"Line {i} says so much.") for i in range(1200)]
