@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from panelwright.session import cut_lineage
 from pyspark.sql import functions as F
 
 from panelwright.operators.positions import (
@@ -85,3 +86,21 @@ def test_a_null_key_is_cut_like_any_other(spark, table, rows):
     np.testing.assert_allclose(got["p"].to_numpy(dtype=float), want.to_numpy(), rtol=1e-12)
     ordered = with_row_number(df.where("key is null"), ["key"], ["id"], ["id"], "at", PLANS[1]).toPandas().sort_values("id")
     assert ordered["at"].tolist() == list(range(1, len(ordered) + 1))
+
+
+def test_wide_rows_are_neither_long_nor_sorted_by_key(spark):
+    """Cells travel as arrays: no window and no pivot, and one shuffle of the rows that both sides use."""
+    rows = cut_lineage(spark.range(200).selectExpr("id", "id % 3 as k", "id % 7 as a", "nullif(id % 5, 0) as b"))
+    out = add_percentiles(rows, ["k"], ["id"], {"pa": "a", "pb": "b"}, SplitPlan(16, 8, 4))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rank(" not in plan and "max(CASE" not in plan
+    assert out.where("pb is null").count() == 40
+
+
+def test_cut_keys_repeated_and_null_ids_and_odd_values(spark):
+    """Rows of one id share the greatest of their percentiles, rows without an id have none; NaN is above all, NULL is a key."""
+    given = [(1, "x", 1.0), (1, "x", 3.0), (2, "x", float("nan")), (None, "x", 2.0), (3, None, -0.0), (4, None, 0.0), (5, None, None)]
+    rows = cut_lineage(spark.createDataFrame(given, "id long, k string, v double"))
+    for plan in (SplitPlan(), SplitPlan(1, 4, 2)):
+        found = {(r["id"], r["k"]): r["p"] for r in add_percentiles(rows, ["k"], ["id"], {"p": "v"}, plan).collect()}
+        assert found == {(1, "x"): 0.75, (2, "x"): 1.0, (None, "x"): None, (3, None): 0.75, (4, None): 0.75, (5, None): None}
