@@ -504,8 +504,9 @@ def _(spark, sf):
     i = V.every_input(spark, sf)
     base = cut_lineage(plan.base_panel(i, V.WHOLE))
     # Only what is ranked: every other column would go through the shuffle of the ranking.
-    wanted = ["entity", "midx", "grp", "sub", *RANKED_OF_ALL, *[f for f, _ in _tp]]
-    rows = cut_lineage(V.rounded(plan.add_sources(base, i, V.WHOLE).select(*wanted), 9))
+    wanted = {"entity", "midx", "grp", "sub", *RANKED_OF_ALL, *[f for f, _ in _tp]}
+    whole = plan.add_sources(base, i, V.WHOLE)
+    rows = cut_lineage(V.rounded(whole.select(*[c for c in whole.columns if c in wanted]), 9))
     out = plan.add_ranks(rows, HORIZONS)
     found = [c for c in out.columns if c.startswith("cs_") or c.endswith("_pct")]
     return V.rounded(out.select("entity", "midx", *found))
