@@ -1,12 +1,15 @@
 """What keeps large runs small: rounding without text, values that travel with neighbours, tables that go when read."""
 
+import functools
 import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from checks.views import rounded
+from panelwright.operators import chunks, positions
 from panelwright.operators.neighbours import neighbour_gaps
+from panelwright.operators.positions import SplitPlan, add_percentiles
 from panelwright.options import PanelOptions
 from panelwright.plans.panel import PanelInputs, build_panel
 
@@ -62,3 +65,18 @@ def test_a_built_panel_leaves_only_the_tables_it_reads(spark):
     made = tables(spark) - before
     read = {p for p in made if any(p in f for f in panel.inputFiles())}
     assert panel.count() == 24 * 7 and made == read and len(made) == 2  # rows with every source, means of groups
+
+
+def test_columns_sent_in_batches_get_the_same_positions(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 3), f"s{i % 5}" if i % 7 else None, *[None if rng.random() < 0.1 else float(rng.integers(40)) for _ in range(3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k int, s string, a double, b double, c double")
+    plan = SplitPlan(rows_per_split=64, max_splits=8)
+    cells = {"pa": "a", "pb": "b", "pc": "c"}
+    want = {r["id"]: r for r in add_percentiles(df, ["k"], ["id"], cells, plan, {"s": {"sa": "a"}}).collect()}
+    before = tables(spark)
+    for n, per in ((2, 1 << 20), (4, 64)):
+        monkeypatch.setattr(positions, "with_spots", functools.partial(chunks.with_spots, batch_cells=400 * 4 // n, chunk_rows=100))
+        got = {r["id"]: r for r in add_percentiles(df, ["k"], ["id"], cells, SplitPlan(rows_per_split=per, max_splits=8), {"s": {"sa": "a"}}).collect()}
+        assert got == want
+    assert len(tables(spark) - before) == 2 + 4
