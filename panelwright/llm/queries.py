@@ -27,7 +27,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def table(spark, sf, name):
-    return ready(tune(spark)).read.parquet(f"{sf}/{name}.parquet")
+    return ready(tune(spark, wide=False)).read.parquet(f"{sf}/{name}.parquet")
 
 
 def _rule_sql(rule) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.views import rounded
 from panelwright.operators import chunks, positions
-from panelwright.operators.neighbours import neighbour_gaps
+from panelwright.operators.neighbours import nearest, neighbour_gaps
 from panelwright.operators.positions import SplitPlan, add_percentiles
 from panelwright.options import PanelOptions
 from panelwright.plans.panel import PanelInputs, build_panel
@@ -80,3 +80,17 @@ def test_columns_sent_in_batches_get_the_same_positions(spark, monkeypatch):
         got = {r["id"]: r for r in add_percentiles(df, ["k"], ["id"], cells, SplitPlan(rows_per_split=per, max_splits=8), {"s": {"sa": "a"}}).collect()}
         assert got == want
     assert len(tables(spark) - before) == 2 + 4
+
+
+def test_repeated_keys_weigh_as_often_as_they_stand_in_the_panel(spark):
+    rows = [(e, 0, e + 0.5 * i, None if (e + i) % 4 == 0 else e / 2 + i) for e in range(12) for i in range(1 + (e % 3 == 0) + (e % 4 == 0))]
+    panel = spark.createDataFrame(rows, "entity long, midx int, log_value double, mom_3y double")
+    coords = spark.createDataFrame([(e, float(e * e + 1), 10.0) for e in range(8) for _ in range(1 + e % 2)], "entity long, lat double, lon double")
+    points = panel.select("midx", "entity").join(coords, "entity")
+    near = nearest(points, 3, ["midx"]).select("midx", "entity", F.explode("neighbours").alias("n")).select("midx", "entity", "n.dist_km", F.col("n.entity").alias("other"))
+    values = panel.select("midx", F.col("entity").alias("other"), F.col("log_value").alias("v"), F.col("mom_3y").alias("m"))
+    means = near.join(values, ["midx", "other"]).groupBy("entity").agg(F.avg("v").alias("v"), F.avg("m").alias("m"), F.avg("dist_km").alias("d"))
+    want = panel.join(means, "entity").select("entity", F.col("log_value") - F.col("v"), F.col("mom_3y") - F.col("m"), "d").collect()
+    got = neighbour_gaps(panel, coords, 3, "mom_3y").select("entity", "nbr_level_gap", "nbr_mom_3y_gap", "nbr_dist_km").collect()
+    plain = lambda rows: sorted([-99.0 if x is None else round(x, 9) for x in r] for r in rows)
+    assert len(want) == len(got) > 8 and plain(want) == plain(got)
